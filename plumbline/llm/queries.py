@@ -11,6 +11,50 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .common import crc_mod
+    from .langid import fit, identify
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = identify(docs, fit(docs, holdout=(3, 1)))
+    return out.select("doc_id", F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .linededup import drop_lines
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return drop_lines(docs, "source", "text", ratio=0.1, min_pages=5).selectExpr("doc_id", "source as host", "_n_lines as n_lines", "_n_dropped as n_dropped", "text as cleaned")
+
+
+OP5_SQL = """
+with lines as (
+  select doc_id, source, text, list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13) || chr(12) || chr(11))) as keys
+  from documents),
+held as (
+  select source, key, count(distinct text) as pages
+  from (select source, text, unnest(keys) as key from lines) where key <> '' group by 1, 2),
+totals as (select source, count(distinct text) as total from documents group by 1),
+dropped as (
+  select source, list(key) as keys from held join totals using (source) where pages >= 5 and pages > 0.1::double * total group by 1),
+marked as (
+  select l.*, coalesce(d.keys, []::varchar[]) as bad from lines l left join dropped d on l.source is not distinct from d.source)
+select doc_id, source as host, coalesce(len(keys), 0)::bigint as n_lines,
+  coalesce(len(list_filter(keys, lambda k: list_contains(bad, k))), 0)::bigint as n_dropped,
+  case when text is not null then array_to_string(
+    list_filter(string_split(text, chr(10)), lambda x: not list_contains(bad, trim(x, ' ' || chr(9) || chr(13) || chr(12) || chr(11)))), chr(10)) end as cleaned
+from marked
+"""
+
+
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"), words=2, percent=80)
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -20,7 +64,12 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_language_id": op4_language_id,
+    "op5_line_dedup": op5_line_dedup,
+    "op6_minhash": op6_minhash,
     "op9_byte_bpe": op9_byte_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_line_dedup": OP5_SQL,
+}
