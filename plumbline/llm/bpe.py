@@ -21,26 +21,24 @@ from pyspark.sql import functions as F
 from .common import prepare
 
 #: Distinct words in one generation of the cache; two generations are kept.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 350_000
 #: Words up to so many bytes contract one pair per step; longer ones contract every safe occurrence of it.
 SHORT = 64
 
 #: One step contracts the leftmost pair of least rank of every word that still has a pair.
 CONTRACT = """
 with recursive s as (
-  select w, p, t, 0 as it from base
+  select (w::bigint << 16) | p as k, t, 0 as it from base
   union all
-  (with n as (
-     select w, p, t, lead(t) over x as nt, lead(p) over x as np from s window x as (partition by w order by p)),
-   k as (
-     select n.w, n.np, (m.m::bigint << 32) | n.p as r, min((m.m::bigint << 32) | n.p) over (partition by n.w) as b
-     from n join merges m on n.t = m.l and n.nt = m.r),
-   c as (select w, np, b >> 32 as m, b & 4294967295 as p from k where r = b)
-   select s.w, s.p, (case when s.p = c.p then c.m else s.t end)::int as t, s.it + 1 as it
-   from s join c on s.w = c.w where s.p <> c.np)
+  (with n as (select k, t, lead(t) over x as nt, lead(k) over x as nk from s window x as (order by k)),
+   c as (
+     select n.k >> 16 as w, min((m.m::bigint << 32) | ((n.k & 65535) << 16) | (n.nk & 65535)) as b
+     from n join merges m on n.t = m.l and n.nt = m.r where n.k >> 16 = n.nk >> 16 group by 1)
+   select s.k, (case when s.k & 65535 = (c.b >> 16) & 65535 then c.b >> 32 else s.t end)::int as t, s.it + 1 as it
+   from s join c on s.k >> 16 = c.w where s.k & 65535 <> c.b & 65535)
 )
-select w, string_agg(t::varchar, ' ' order by p) as ids
-from (select *, max(it) over (partition by w) as last from s) where it = last group by w
+select s.k >> 16 as w, string_agg(t::varchar, ' ' order by k) as ids
+from s join (select k >> 16 as w, max(it) as it from s group by 1) e on s.k >> 16 = e.w and s.it = e.it group by 1
 """
 
 #: One step for long words: occurrences of the least-rank pair, left to right without overlap, as far as none
@@ -148,7 +146,9 @@ class Codec:
         """Ids and decoded bytes of these words, from the cache or by the queries."""
         out = {}
         for w in words:
-            hit = self.young.get(w) or self.old.get(w)
+            hit = self.young.get(w)
+            if hit is None and (hit := self.old.get(w)):
+                self.young[w] = hit  # what is still in use survives the next change of generations
             if hit:
                 out[w] = hit
         new = [w for w in words if w not in out]
