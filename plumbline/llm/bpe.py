@@ -182,23 +182,34 @@ def codec(path: str, pattern: str) -> Codec:
     return _codecs[path, pattern]
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """Per row: id, n_tokens, ids_sha256, decoded_sha256, and with with_ids also ids (array) and decoded (string)."""
+def round_trip(
+    docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = False, decoded: bool = False
+) -> DataFrame:
+    """Per row: id, n_tokens, ids_sha256, decoded_sha256; with ids also the ids, with decoded also the text decoded."""
+    import numpy as np
+
     prepare(docs.sparkSession)
+    names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * ids + ["decoded"] * decoded
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
         for b in batches:
-            texts = [t or "" for t in b.column(1).to_pylist()]
-            got = []
-            for lo in range(0, len(texts), 4096):
-                for ids, n, back in c.encode_texts(texts[lo : lo + 4096]):
-                    row = (n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(back).hexdigest())
-                    got.append(row + ((list(map(int, ids.split())), back.decode("utf-8", "replace")) if with_ids else ()))
-            kinds = [pa.int64(), pa.string(), pa.string()] + [pa.list_(pa.int32()), pa.string()] * with_ids
-            cols = [pa.array([r[i] for r in got], k) for i, k in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=["id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids", "decoded"] * with_ids][: 4 + 2 * with_ids])
+            n, ids_sha, text_sha, numbers, back = [], [], [], [np.zeros(0, np.int32)], []
+            for line, k, raw in c.encode_texts([t or "" for t in b.column(1).to_pylist()]):
+                n.append(k)
+                ids_sha.append(hashlib.sha256(line.encode()).hexdigest())
+                text_sha.append(hashlib.sha256(raw).hexdigest())
+                if ids and k:
+                    numbers.append(np.fromstring(line, np.int32, sep=" "))
+                if decoded:
+                    back.append(raw.decode("utf-8", "replace"))
+            cols = [b.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
+            if ids:
+                cols.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n]), pa.int32()), pa.array(np.concatenate(numbers))))
+            if decoded:
+                cols.append(pa.array(back, pa.string()))
+            yield pa.RecordBatch.from_arrays(cols, names=names)
 
     df = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
-    schema = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if with_ids else "")
+    schema = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids + ", decoded string" * decoded
     return df.mapInArrow(run, schema).withColumnRenamed("id", id_col)
