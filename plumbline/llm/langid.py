@@ -20,6 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import chunks, crc_mod, prepare, text_buffer
 
@@ -227,8 +228,9 @@ def fit(
     return train(got.column("t").to_pylist(), got.column("l").to_pylist(), order)
 
 
-def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Per row: id, the columns in keep, lang_pred, score (0 to 1), cross_entropy (nats a symbol), rejected."""
+def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), prefix: str = "") -> DataFrame:
+    """Per row: id, the columns in keep, and lang_pred, score (0 to 1), cross_entropy (nats a symbol), rejected,
+    whose names begin with prefix."""
     prepare(docs.sparkSession)
     m = model
 
@@ -250,8 +252,10 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             cols = [pa.array(pred, pa.string()), pa.array(score), pa.array(best, from_pandas=True), pa.array(out)]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *cols], names=names)
 
-    df = docs.select(F.col(id_col), *[F.col(c) for c in keep], F.col(text_col).cast("string").alias("_t"))
+    df = docs.select(*dict.fromkeys([id_col, *keep]), F.col(text_col).cast("string").alias("_t"))
     fields = df.schema.fields[:-1]
-    names = [f.name for f in fields] + ["lang_pred", "score", "cross_entropy", "rejected"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", lang_pred string, score double, cross_entropy double, rejected boolean"
+    schema = T.StructType(fields)
+    for name, kind in (("lang_pred", T.StringType()), ("score", T.DoubleType()), ("cross_entropy", T.DoubleType()), ("rejected", T.BooleanType())):
+        schema = schema.add(prefix + name, kind)
+    names = schema.names
     return df.mapInArrow(run, schema)
