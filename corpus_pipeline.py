@@ -16,8 +16,8 @@ from plumbline.llm.common import written
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go; the others carry the language identified."""
-    found = langid.identify(docs, langid.fit(docs), keep=tuple(docs.columns)).where(~F.col("rejected"))
-    return found.select(*[F.col("lang_pred").alias("lang") if c == "lang" else c for c in docs.columns])
+    found = langid.identify(docs, langid.fit(docs), keep=tuple(docs.columns), prefix="_lid_").where(~F.col("_lid_rejected"))
+    return found.select(*[F.col("_lid_lang_pred").alias("lang") if c == "lang" else c for c in docs.columns])
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
