@@ -114,18 +114,20 @@ def word_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return starts, ends
 
 
-def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans: differences of one prefix polynomial, then mixed."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    fwd, inv = _powers(len(data) + 1)
-    cs = np.empty(len(data) + 1, np.uint64)
-    cs[0] = 0
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * fwd[: len(data)], out=cs[1:])
-    return mix((cs[ends] - cs[starts]) * inv[starts] + (ends - starts).astype(np.uint64))
+class SpanHasher:
+    """64-bit hashes of byte spans of one buffer: differences of one prefix polynomial, then mixed."""
+
+    def __init__(self, data: np.ndarray):
+        fwd, self.inv = _powers(len(data) + 1)
+        self.cs = np.empty(len(data) + 1, np.uint64)
+        self.cs[0] = 0
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * fwd[: len(data)], out=self.cs[1:])
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mix((self.cs[ends] - self.cs[starts]) * self.inv[starts] + (ends - starts).astype(np.uint64))
 
 
 def word_hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words with A-Z lower-cased, and word offsets by row (n + 1)."""
     starts, ends = word_spans(data, offs)
-    return hash_spans(LOWER[data], starts, ends), np.searchsorted(starts, offs)
+    return SpanHasher(LOWER[data])(starts, ends), np.searchsorted(starts, offs)

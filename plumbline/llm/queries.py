@@ -21,6 +21,18 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.explode("_matches").alias("m")).select("doc_id", "m.*")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .common import crc_mod
+    from .toxicity import DECISION, fit, score
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = score(docs, fit(docs, _table(spark, sf_dir, "labels").select("doc_id", "toxic"), holdout=(3, 1)), lang_col="lang")
+    held = F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False)).alias("held_out")
+    return out.select("doc_id", held, "score", (F.col("score") >= DECISION).cast("int").alias("predicted"), "flagged")
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -65,6 +77,12 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"), words=2, percent=80)
 
 
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .htmltext import extract
+
+    return extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -73,12 +91,21 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secretscan import digest, find_secrets
+
+    return digest(find_secrets(_table(spark, sf_dir, "documents").select("doc_id", "source", "text")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op3_toxicity": op3_toxicity,
     "op4_language_id": op4_language_id,
     "op5_line_dedup": op5_line_dedup,
     "op6_minhash": op6_minhash,
+    "op7_main_text": op7_main_text,
     "op9_byte_bpe": op9_byte_bpe,
+    "op10_secrets": op10_secrets,
 }
 
 ORACLE_SQL: dict[str, str] = {
