@@ -54,6 +54,9 @@ LABELLED = [
     (150, 0.0, 20, 0.0, 80, 0.0, 0, -1, 0), (300, 0.0, 9, 0.0, 0, 0.0, 0, -1, 0), (17, 0.0, 17, 0.0, 17, 0.0, 0, -1, 0),
     (55, 0.0, 60, 0.0, 50, 0.0, 0, -1, 0), (7, 0.0, 25, 0.0, 19, 0.0, 1, -1, 0), (2, 0.0, 0, 0.0, 4, 0.0, 1, -1, 0),
     (33, 0.0, 2, 0.0, 1, 0.0, 0, -1, 0), (27, 0.1, 3, 1.0, 70, 0.0, 0, -1, 0), (9, 0.0, 9, 0.0, 9, 0.0, 1, -1, 0),
+    (5, 0.0, 30, 0.0, 3, 1.0, 0, 1, 1), (2, 0.0, 10, 0.0, 2, 0.5, 0, 1, 1), (9, 0.0, 1, 1.0, 4, 1.0, 1, 1, 1),
+    (13, 0.0, 50, 0.0, 6, 1.0, 0, 1, 1), (1, 0.0, 4, 0.0, 1, 1.0, 0, 1, 1), (35, 0.5, 12, 0.0, 5, 0.8, 0, 1, 1),
+    (7, 0.1, 7, 0.0, 9, 0.4, 0, 1, 1), (3, 0.0, 0, 0.0, 12, 0.3, 1, 1, 1), (11, 0.3, 60, 0.0, 2, 1.0, 0, 1, 1),
     (16, 0.0, 2, 0.5, 3, 0.0, 0, 1, 1), (19, 0.0, 0, 0.0, 4, 0.0, 0, 1, 1), (24, 0.1, 30, 0.0, 0, 0.0, 0, 1, 1),
     (38, 0.0, 6, 0.0, 8, 0.0, 0, 1, 1), (64, 0.2, 5, 0.0, 4, 0.0, 0, 1, 1), (300, 0.0, 9, 0.0, 0, 0.0, 0, 1, 1),
     (7, 0.0, 25, 0.0, 19, 0.0, 1, 1, 1), (2, 0.0, 0, 0.0, 4, 0.0, 1, 1, 1), (6, 0.0, 6, 0.0, 2, 0.0, 0, 1, 1),
