@@ -21,6 +21,12 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.explode("_matches").alias("m")).select("doc_id", "m.*")
 
 
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mih import search
+
+    return search(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), lambda i: i % 20 == 0, k=20)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -99,6 +105,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op2_nearest_neighbours": op2_nearest_neighbours,
     "op3_toxicity": op3_toxicity,
     "op4_language_id": op4_language_id,
     "op5_line_dedup": op5_line_dedup,
