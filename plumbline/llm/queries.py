@@ -89,6 +89,16 @@ def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op8_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .common import crc_mod
+    from .katz import score_texts
+
+    out = score_texts(_table(spark, sf_dir, "documents").select("doc_id", "text"), holdout=(5, 1))
+    return out.withColumn("held_out", F.coalesce(crc_mod("doc_id", 5) == 1, F.lit(False)))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -111,6 +121,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_line_dedup": op5_line_dedup,
     "op6_minhash": op6_minhash,
     "op7_main_text": op7_main_text,
+    "op8_katz": op8_katz,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_secrets": op10_secrets,
 }
