@@ -4,12 +4,14 @@ A first permutation (a 64-bit bijection, then 32 bits of it) scatters a document
 circularly by 0..K-1, gives all K coordinates. Rows of R coordinates make a band; documents that share a band
 are candidates, and exact Jaccard similarity on the full shingle sets decides.
 
-No pairs are emitted within a group. (1) Equal sets are one class with one representative. (2) In each bucket
-every representative is compared with the smallest one. (3) Only where a bucket still holds several components are
-members compared across components: in blocks of bounded size, after a filter on the signatures, first the best
-two of each member and component, then all that are left. So every candidate link between components is decided.
+No pairs are emitted within a group. (1) Equal sets are one class with one representative. (2) In each bucket every
+representative's signature is compared with the smallest one's; what is still apart within a bucket is compared in
+pairs of blocks, of which only a spanning forest is kept. This gives components of near signatures. (3) The same
+two steps with exact similarity: first the near pairs with a bucket's smallest, then what is still apart within a
+near component, in pairs of blocks that keep a spanning forest of exact links. So every candidate link between
+components is decided, rows stay in proportion to documents and blocks, and no task holds a whole group.
 
-The chance to miss a link of similarity 0.8 is (1 - 0.8^4)^24 < 4e-6; the signature filter's is below 1e-8.
+The chance to miss a link of similarity 0.8 is (1 - 0.8^4)^24 < 4e-6; the signature filter's is below 1e-7.
 
 Defined cases: null or empty texts and texts without words have an empty set, no links, and their own id as
 component; rows that share an id are one document; null ids are returned with a null component and kept; empty
@@ -33,8 +35,8 @@ BANDS, ROWS = 24, 4
 K = BANDS * ROWS
 #: Standard errors of the signature's estimate below the threshold at which a pair is still verified.
 SLACK = 5.5
-#: Members of a bucket compared with each other in one task.
-BLOCK = 512
+#: Documents on either side of a task that compares signatures, or whole sets.
+SIG_BLOCK, SET_BLOCK = 2048, 4096
 #: Candidate ids are broadcast up to this many (8 bytes each), joined by a shuffle beyond.
 BROADCAST_IDS = 400_000
 _SHIFT = np.arange(K, dtype=np.uint32)[:, None]
@@ -149,37 +151,89 @@ def verify(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, words:
     return rows.join(left, ["a", "salt"]).select("a", "b", "x", "y").mapInArrow(run, "u long, v long")
 
 
-def _across(members: DataFrame, percent: int, best: int) -> DataFrame:
-    """Pairs (a, b) of one bucket but two components that may be linked; best: so many of each member, component
-    and block at most (0: all)."""
+class Forest:
+    """Labels of documents in a task; edges are kept only where they join two labels."""
+
+    def __init__(self, left: np.ndarray, right: np.ndarray):
+        self.left, self.right, self.edges = left.copy(), right.copy(), []
+
+    def join(self, i: int, ys: np.ndarray, ids: np.ndarray, x: int) -> None:
+        """Document x, the i-th on the left, is linked with the documents ys on the right."""
+        if len(ys):
+            labels, first = np.unique(self.right[ys], return_index=True)
+            for label, y in zip(labels, ys[first], strict=True):
+                if label != self.left[i]:
+                    self.edges.append((x, int(ids[y])))
+                    mine = self.left[i]
+                    self.left[self.left == label] = mine
+                    self.right[self.right == label] = mine
+
+    def table(self) -> pa.Table:
+        u, v = (pa.array([e[k] for e in self.edges], pa.int64()) for k in (0, 1))
+        return pa.table({"u": u, "v": v})
+
+
+def _within(rows: DataFrame, percent: int, block: int, exact: bool) -> DataFrame:
+    """Edges (u, v) that join different labels `comp` within a group `grp`: of near signatures, or of exact links.
+
+    Rows (grp, id, comp, n, sig, lead, set): documents that lead are compared with all of their group, in pairs of
+    blocks of about `block` documents. A task keeps a spanning forest, so it never returns more edges than it has
+    documents, however many pairs it looks at.
+    """
     least = _least_matches(percent)
 
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        i, j = key[1].as_py(), key[2].as_py()
-        block, ids, comp, n = (rows.column(c).to_numpy() for c in ("block", "id", "comp", "n"))
+        lead = rows.column("lead").to_numpy(zero_copy_only=False).astype(bool)
+        if lead.all() or not lead.any():
+            return pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64())})
+        ids, comp, n = (rows.column(c).to_numpy() for c in ("id", "comp", "n"))
         sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint8).reshape(-1, K)
-        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        a, b = [], []
-        for x in left:
-            ys = right[(comp[right] != comp[x]) & ((ids[right] > ids[x]) | (i != j))]
-            ys = ys[100 * np.minimum(n[ys], n[x]) >= percent * np.maximum(n[ys], n[x])]
-            hits = (sig[ys] == sig[x]).sum(axis=1)
-            ys, hits = ys[hits >= least], hits[hits >= least]
-            if best and len(ys):
-                order = np.lexsort((ids[ys], -hits, comp[ys]))
-                c = comp[ys][order]
-                first = np.searchsorted(c, c)
-                ys = ys[order][np.arange(len(c)) - first < best]
-            a.append(np.full(len(ys), ids[x]))
-            b.append(ids[ys])
-        a, b = (np.concatenate([np.zeros(0, np.int64), *z]).astype(np.int64) for z in (a, b))
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-    blocks = F.ceil(F.col("c") / BLOCK).cast("int")
-    rows = members.withColumn("nb", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "comp", "n", "sig")
-    return rows.groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
+        left, right = np.flatnonzero(lead), np.flatnonzero(~lead)
+        r_sig, r_n, r_ids = np.ascontiguousarray(sig[right]), n[right], ids[right]
+        forest = Forest(comp[left], comp[right])
+        if exact:
+            raw = rows.column("set").to_pylist()
+            known, flat = np.unique(np.frombuffer(b"".join(raw[k] for k in right), np.uint64), return_inverse=True)
+            first = np.concatenate(([0], np.cumsum(r_n)))
+            mark = np.zeros(len(known) + 1, bool)
+        for i, x in enumerate(left):
+            ys = np.flatnonzero((forest.right != forest.left[i]) & (100 * np.minimum(r_n, n[x]) >= percent * np.maximum(r_n, n[x])))
+            if len(ys):
+                ys = ys[(r_sig[ys] == sig[x]).sum(axis=1) >= least]
+            if exact and len(ys):
+                own = np.frombuffer(raw[x], np.uint64)
+                at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                at = at[known[at] == own]
+                mark[at] = True
+                size = r_n[ys]
+                begin = np.cumsum(size) - size
+                span = np.arange(size.sum()) + np.repeat(first[ys] - begin, size)
+                both = np.add.reduceat(mark[flat[span]].astype(np.int64), begin)
+                mark[at] = False
+                ys = ys[100 * both >= percent * (n[x] + size - both)]
+            forest.join(i, ys, r_ids, int(ids[x]))
+        return forest.table()
+
+    size = rows.groupBy("grp").agg(F.ceil(F.count("*") / block).cast("int").alias("nr"), F.ceil(F.sum(F.col("lead").cast("int")) / block).cast("int").alias("nl"))
+    rows = rows.join(size, "grp")
+    part = lambda m: F.pmod(F.xxhash64("id"), F.col(m)).cast("int")
+    every = lambda m: F.sequence(F.lit(0), F.col(m) - 1)
+    cols = ["id", "comp", "n", "sig"] + ["set"] * exact
+    right = rows.withColumn("j", part("nr")).select("grp", F.explode(every("nl")).alias("i"), "j", F.lit(False).alias("lead"), *cols)
+    left = rows.where("lead").withColumn("i", part("nl")).select("grp", "i", F.explode(every("nr")).alias("j"), F.lit(True).alias("lead"), *cols)
+    return left.unionByName(right).groupBy("grp", "i", "j").applyInArrow(run, "u long, v long")
+
+
+def _stragglers(placed: DataFrame) -> DataFrame:
+    """Of rows (grp, id, comp) those groups that hold several labels, with lead: not of the label that most have."""
+    share = placed.groupBy("grp", "comp").agg(F.count("*").alias("k"))
+    torn = share.groupBy("grp").agg(F.max(F.struct("k", "comp")).alias("top"), F.count("*").alias("labels")).where("labels > 1")
+    return placed.join(torn, "grp").select("grp", "id", "comp", (F.col("comp") != F.col("top.comp")).alias("lead"))
+
+
+def _labelled(rows: DataFrame, edges: DataFrame, label: str) -> DataFrame:
+    """rows with the column label: the component of id under edges, or id itself."""
+    return rows.join(components(edges).withColumnRenamed("root", "_root"), "id", "left").withColumn(label, F.coalesce("_root", "id")).drop("_root")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -196,15 +250,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = buckets.where("c > 1").groupBy("center", "c", "who").agg(F.min("key").alias("key"))  # buckets with the same members count once
     members = written(banded.join(buckets.select("key", "center", "c"), "key"), "members")
     light = reps.select("id", "n", "sig")
-    first = _near(members.where("id <> center").select(F.col("center").alias("a"), F.col("id").alias("b")).distinct(), light, percent)
+    # 1. near signatures: every member of a bucket with its center, then what is still apart within a bucket
+    first = written(_near(members.where("id <> center").select(F.col("center").alias("a"), F.col("id").alias("b")).distinct(), light, percent), "near")
+    edges = first.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    apart = _stragglers(_labelled(members.select(F.col("key").alias("grp"), "id"), edges, "comp"))
+    more = written(_within(apart.join(light, "id"), percent, SIG_BLOCK, False), "near")
+    # 2. exact links: every near pair with a center, then what is still apart within a near component
     links = written(verify(first, docs, id_col, text_col, words, percent), "links")
-    for best in (2, 0):
-        roots = components(links)
-        placed = members.join(roots, "id", "left").withColumn("comp", F.coalesce("root", "id")).select("key", "c", "id", "comp")
-        torn = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-        rest = placed.join(torn, "key").join(light, "id")
-        found = verify(_across(rest, percent, best), docs, id_col, text_col, words, percent)
-        links = written(links.unionByName(found), "links")
+    near = components(edges.unionByName(more)).select("id", F.col("root").alias("grp"))
+    apart = written(_stragglers(_labelled(near, links, "comp")), "apart")
+    sets = _sets(docs, apart.select("id"), id_col, text_col, words)
+    links = links.unionByName(written(_within(apart.join(light, "id").join(sets, "id"), percent, SET_BLOCK, True), "links"))
     roots = components(links)
     out = signed.select("id", "n").join(classes, "id", "left").withColumn("rep", F.coalesce("rep", "id"))
     out = out.join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left")
