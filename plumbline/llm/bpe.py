@@ -18,10 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import prepare, release_memory
 
 #: Distinct words in one generation of the cache; two generations are kept.
-CACHE_WORDS = 350_000
+CACHE_WORDS = 180_000
+#: Characters of text that are split at a time (whole texts; one text may be longer).
+GROUP_CHARS = 1_000_000
 #: Words up to so many bytes contract one pair per step; longer ones contract every safe occurrence of it.
 SHORT = 64
 
@@ -79,7 +81,7 @@ class Codec:
         self.ranks = ranks = load_ranks(path)
         self.byte_ids = [ranks[bytes([i])] for i in range(256)]
         rows = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "500MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB"})
         left, right, merged = map(list, zip(*rows)) if rows else ([], [], [])
         self._table("merges", {"l": left, "r": right, "m": merged})
         self.db.register("v", pa.table({"t": pa.array(list(ranks.values()), pa.int32()), "hex": [t.hex() for t in ranks]}))
@@ -164,12 +166,19 @@ class Codec:
 
     def encode_texts(self, texts: list[str]) -> Iterator[tuple[str, int, bytes]]:
         """Of each text: ids joined by spaces, their number, and the bytes decoded from them."""
-        split = [self.find(t) for t in texts]
-        known = self.learn(set().union(*split)) if split else {}
-        for ws in split:
-            parts = [known[w] for w in ws]
-            ids = " ".join([a for a, _ in parts])
-            yield ids, ids.count(" ") + bool(ids), b"".join([b for _, b in parts])
+        lo = 0
+        while lo < len(texts):
+            hi, size = lo, 0
+            while hi < len(texts) and (hi == lo or size + len(texts[hi]) <= GROUP_CHARS):
+                size += len(texts[hi])
+                hi += 1
+            split = [self.find(t) for t in texts[lo:hi]]
+            known = self.learn(set().union(*split))
+            for ws in split:
+                parts = [known[w] for w in ws]
+                ids = " ".join([a for a, _ in parts])
+                yield ids, ids.count(" ") + bool(ids), b"".join([b for _, b in parts])
+            lo = hi
 
 
 _codecs: dict[tuple[str, str], Codec] = {}
@@ -209,6 +218,7 @@ def round_trip(
             if decoded:
                 cols.append(pa.array(back, pa.string()))
             yield pa.RecordBatch.from_arrays(cols, names=names)
+            release_memory()
 
     df = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
     schema = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids + ", decoded string" * decoded

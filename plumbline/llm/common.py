@@ -42,6 +42,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system: workers are reused by stages with other needs."""
+    import ctypes
+
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def crc_mod(id_col: str, n: int):
     """crc32 of the id as text, modulo n (never negative)."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % F.lit(n)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, prepare, written
+from .common import mix, prepare, release_memory, written
 from .graph import components
 from .shingles import distinct_shingles
 
@@ -85,6 +85,7 @@ def sign(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
                 [b.column(0), pa.array(n, pa.int64()), pa.array(setkey, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sig, pa.binary())],
                 names=["id", "n", "setkey", "bands", "sig"],
             )
+            release_memory()
 
     df = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
     return df.mapInArrow(run, "id long, n long, setkey binary, bands array<long>, sig binary")
