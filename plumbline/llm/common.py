@@ -42,6 +42,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files of finished work now: it does so when the driver collects its garbage."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def release_memory() -> None:
     """Give freed memory back to the system: workers are reused by stages with other needs."""
     import ctypes
