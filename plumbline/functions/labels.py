@@ -28,7 +28,7 @@ def expected_label(type_: Column, fold: bool = False, marks: bool = False) -> Co
 
 def expected_labels(types: Column) -> Column:
     """Labels of exactly three passages, or null."""
-    found = F.transform(types, expected_label)
+    found = F.transform(types, lambda t: expected_label(t))
     return F.when((F.size(types) == 3) & ~F.exists(found, lambda x: x.isNull()), found)
 
 
@@ -76,7 +76,7 @@ def _is_stop(line: Column) -> Column:
 
 def _inline(text: Column) -> Column:
     """Labels of numbered items within a text, in order."""
-    items = F.transform(F.regexp_extract_all(text, F.lit(INLINE_ITEM), F.lit(1)), canonical_label)
+    items = F.transform(F.regexp_extract_all(text, F.lit(INLINE_ITEM), F.lit(1)), lambda x: canonical_label(x))
     return F.filter(items, lambda x: x.isNotNull())
 
 
@@ -180,7 +180,7 @@ def recover_labels(text: Column, found: list[Column]) -> list[Column]:
         tries = [F.when(text.rlike(p), marked_label(F.regexp_extract(text, p, 1))) for p in (mention + b + _LABEL for b in _BETWEEN)]
         near.append(F.coalesce(marked_label(c), c, *tries))
     every = F.concat(F.regexp_extract_all(text, F.lit(_MARKED), F.lit(1)), F.regexp_extract_all(text, F.lit(_BARE), F.lit(1)))
-    distinct = F.array_distinct(F.filter(F.transform(every, marked_label), lambda x: x.isNotNull()))
+    distinct = F.array_distinct(F.filter(F.transform(every, lambda x: marked_label(x)), lambda x: x.isNotNull()))
     out, missing = [], F.lit(0)
     for c in near:
         out.append(F.coalesce(c, F.get(distinct, missing), F.lit("")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -30,16 +30,24 @@ def words(normalized: Column) -> Column:
     return F.filter(F.split(normalized, " "), lambda x: x != "")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body names it."""
+    return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))
+
+
 def _count(xs: Column, x: Column) -> Column:
     return F.size(F.filter(xs, lambda y: y == x))
 
 
 def token_f1_of(p: Column, t: Column) -> Column:
     """F1 of two word arrays as multisets; 0 if either is empty."""
-    same = F.aggregate(F.array_distinct(p), F.lit(0), lambda acc, w: acc + F.least(_count(p, w), _count(t, w)))
-    same, n, m = same.cast("double"), F.size(p).cast("double"), F.size(t).cast("double")
-    precision, recall = same / n, same / m
-    return F.when((F.size(p) == 0) | (F.size(t) == 0) | (same == 0), F.lit(0.0)).otherwise(2 * precision * recall / (precision + recall))
+
+    def score(x: Column) -> Column:
+        n, m = F.size(x["p"]).cast("double"), F.size(x["t"]).cast("double")
+        same = F.aggregate(F.array_distinct(x["p"]), F.lit(0), lambda acc, w: acc + F.least(_count(x["p"], w), _count(x["t"], w))).cast("double")
+        return let(same, lambda k: F.when(k == 0, F.lit(0.0)).otherwise(2 * (k / n) * (k / m) / (k / n + k / m)))
+
+    return let(F.struct(p.alias("p"), t.alias("t")), score)
 
 
 def token_f1(prediction: Column, truth: Column) -> Column:
@@ -56,12 +64,13 @@ def judge(prediction: Column, truths: Column, threshold: float = 0.8) -> Column:
     Null and empty predictions and empty lists of truths are wrong; "N/A" is no truth; an empty truth is contained
     in everything.
     """
-    low, toks = F.lower(strip(prediction)), words(normalize(prediction))
-    hit = F.exists(
-        truths,
-        lambda t: (t != FALLBACK_LABEL) & (low.contains(F.lower(strip(t))) | (token_f1_of(toks, words(normalize(t))) >= threshold)),
-    )
-    return F.coalesce((prediction != "") & hit, F.lit(False))
+
+    def hit(x: Column) -> Column:
+        near = lambda t: token_f1_of(x["toks"], words(normalize(t))) >= threshold
+        return F.exists(truths, lambda t: (t != FALLBACK_LABEL) & (x["low"].contains(F.lower(strip(t))) | near(t)))
+
+    said = F.struct(F.lower(strip(prediction)).alias("low"), words(normalize(prediction)).alias("toks"))
+    return F.coalesce((prediction != "") & let(said, hit), F.lit(False))
 
 
 def judge_bool(prediction: Column, truth: Column) -> Column:
@@ -73,8 +82,8 @@ def judge_bool(prediction: Column, truth: Column) -> Column:
 
 def best_f1(prediction: Column, truths: Column) -> Column:
     """The judge's score form: the best F1 over the truths."""
-    toks = words(normalize(prediction))
-    return F.coalesce(F.array_max(F.transform(truths, lambda t: token_f1_of(toks, words(normalize(t))))), F.lit(0.0))
+    best = let(words(normalize(prediction)), lambda p: F.array_max(F.transform(truths, lambda t: token_f1_of(p, words(normalize(t))))))
+    return F.coalesce(best, F.lit(0.0))
 
 
 def _number(c: Column) -> Column:
