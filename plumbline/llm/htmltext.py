@@ -70,6 +70,8 @@ LABELLED = [
     (40, 0.3, 60, 0.0, 20, 0.0, 0, 1, 1), (8, 0.0, 40, 0.0, 35, 0.0, 0, 1, 1), (5, 0.4, 30, 0.0, 28, 0.0, 0, 1, 1),
     (200, 0.0, 8, 0.0, 150, 0.0, 0, 1, 1), (1, 0.0, 1, 1.0, 14, 0.1, 1, 1, 1), (3, 0.0, 20, 0.0, 25, 0.0, 0, 1, 1),
     (2, 1.0, 50, 0.0, 2, 1.0, 0, 1, 0), (4, 1.0, 2, 1.0, 4, 1.0, 0, 1, 0), (7, 1.0, 40, 0.0, 14, 0.1, 0, 1, 0),
+    (3, 0.67, 0, 0.0, 48, 0.0, 0, 0, 0), (4, 0.5, 2, 1.0, 40, 0.0, 0, 0, 0), (6, 0.6, 0, 0.0, 60, 0.0, 0, 0, 0),
+    (5, 0.45, 1, 1.0, 35, 0.0, 0, 0, 0), (2, 0.5, 0, 0.0, 90, 0.0, 0, 0, 0), (7, 0.7, 9, 0.0, 30, 0.0, 0, 0, 0),
     (2, 1.0, 0, 0.0, 2, 1.0, 0, 0, 0), (1, 1.0, 2, 1.0, 1, 1.0, 0, 0, 0), (3, 1.0, 1, 1.0, 12, 0.0, 0, 0, 0),
     (2, 0.0, 1, 1.0, 3, 1.0, 0, 0, 0), (4, 0.0, 3, 1.0, 2, 1.0, 0, 0, 0), (3, 0.5, 0, 0.0, 2, 1.0, 0, 0, 0),
     (9, 0.9, 5, 1.0, 4, 1.0, 0, 0, 0), (18, 0.8, 30, 0.0, 8, 1.0, 0, 0, 0), (4, 0.0, 40, 0.0, 0, 0.0, 0, 0, 0),

@@ -108,6 +108,7 @@ def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     names = F.array(*[F.lit(k) for k in KINDS])
     text = lambda xs: F.array_join(F.transform(xs, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
     base = F.filter("marked", lambda s: s["kind"] < 3)
-    n = [F.size(F.filter("marked", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(3)]
+    of_kind = lambda k: F.size(F.filter("marked", lambda s: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")
+    n = [of_kind(k) for k in range(3)]
     lives = F.size(F.filter("marked", lambda s: s["live"])).cast("long").alias("n_live")
     return found.select(id_col, *n, F.sha2(text(base), 256).alias("base_sha256"), text(F.col("marked")).alias("spans"), lives)
