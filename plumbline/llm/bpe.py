@@ -191,10 +191,27 @@ def codec(path: str, pattern: str) -> Codec:
     return _codecs[path, pattern]
 
 
+def forget(path: str, pattern: str) -> None:
+    import gc
+
+    old = _codecs.pop((path, pattern), None)
+    if old:
+        old.db.close()
+        old.young, old.old = {}, {}
+    del old
+    gc.collect()
+    release_memory()
+
+
 def round_trip(
-    docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = False, decoded: bool = False
-) -> DataFrame:
-    """Per row: id, n_tokens, ids_sha256, decoded_sha256; with ids also the ids, with decoded also the text decoded."""
+    docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = False, decoded: bool = False,
+    keep_codec: bool = True,
+) -> DataFrame:
+    """Per row: id, n_tokens, ids_sha256, decoded_sha256; with ids also the ids, with decoded also the text decoded.
+
+    keep_codec: workers keep tables and cache for their next task; without it they give the memory back, for jobs
+    whose other stages need it.
+    """
     import numpy as np
 
     prepare(docs.sparkSession)
@@ -219,6 +236,9 @@ def round_trip(
                 cols.append(pa.array(back, pa.string()))
             yield pa.RecordBatch.from_arrays(cols, names=names)
             release_memory()
+        if not keep_codec:
+            del c
+            forget(path, pattern)
 
     df = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
     schema = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids + ", decoded string" * decoded
