@@ -91,7 +91,7 @@ def _number(c: Column) -> Column:
 
 
 def _clamp(c: Column, top: float) -> Column:
-    return F.least(F.greatest(c, F.lit(0.0)), F.lit(top))
+    return F.when(c.isNotNull(), F.least(F.greatest(c, F.lit(0.0)), F.lit(top)))
 
 
 def confidence_unit(c: Column) -> Column:
@@ -130,7 +130,7 @@ def calibration_bin(unit: Column) -> Column:
 
 
 def reliability_bin(percent: Column) -> Column:
-    return F.least(F.floor(percent / F.lit(10.0)), F.lit(9)).cast("int")
+    return F.when(percent.isNotNull(), F.least(F.floor(percent / F.lit(10.0)), F.lit(9)).cast("int"))
 
 
 def word_count(c: Column) -> Column:

@@ -13,10 +13,10 @@ def _label(t: str) -> str:
 
 _NL = "chr(10)"
 
-#: Judged predictions with a stated confidence.
+#: Judged predictions with a stated confidence, some of which is no number.
 PRED = """
 select event_id as id, user_id % 4 as model, event_type as dataset, event_type as answer,
-  concat(cast(cast(floor(least(value, 100)) as bigint) as string), '%') as confidence, (user_id + event_id) % 3 = 0 as correct, user_id, value
+  case when event_id % 37 = 0 then 'high' else concat(cast(cast(floor(least(value, 100)) as bigint) as string), '%') end as confidence, (user_id + event_id) % 3 = 0 as correct, user_id, value
 from {events}
 """
 

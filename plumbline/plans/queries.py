@@ -45,8 +45,8 @@ def _said() -> list[Column]:
 # --- SQL pieces -----------------------------------------------------------------------------------------------
 
 _X = "try_cast(replace(trim(confidence), '%', '') as double)"
-_UNIT = f"least(greatest(case when {_X} > 1 then {_X} / 100 else {_X} end, 0), 1)"
-_PERCENT = f"least(greatest(case when {_X} > 1 then least({_X}, 100) else {_X} * 100 end, 0), 100)"
+_UNIT = f"case when {_X} is not null then least(greatest(case when {_X} > 1 then {_X} / 100 else {_X} end, 0), 1) end"
+_PERCENT = f"case when {_X} is not null then least(greatest(case when {_X} > 1 then least({_X}, 100) else {_X} * 100 end, 0), 100) end"
 _RANK = "coalesce(least(greatest(try_cast(trim(trim(confidence), '%') as double) / 100, 0), 1), 0)"
 _EDGES = "[0.1, 0.2, 0.30000000000000004, 0.4, 0.5, 0.6000000000000001, 0.7000000000000001, 0.8, 0.9]::double[]"
 _BIN = f"len(list_filter({_EDGES}, lambda e: e <= u))"
@@ -124,13 +124,13 @@ select s as model, count(*) as seen, {', '.join(f"count(*) filter (reason = '{r}
 # --- confidences and calibration ------------------------------------------------------------------------------
 
 
-@query("conf_norm_ece", f"select id, u as unit, {_BIN} as bin from {_SCORED} s")
+@query("conf_norm_ece", f"select id, u as unit, case when u is not null then {_BIN} end as bin from {_SCORED} s")
 def conf_norm_ece(spark: SparkSession, d: str) -> DataFrame:
     unit = T.confidence_unit(_c("confidence"))
     return view(spark, d, "pred").select("id", unit.alias("unit")).withColumn("bin", T.calibration_bin(_c("unit")))
 
 
-@query("conf_norm_reliability", f"select id, pc as percent, least(floor(pc / 10), 9)::int as bin from {_SCORED} s")
+@query("conf_norm_reliability", f"select id, pc as percent, case when pc is not null then least(floor(pc / 10), 9)::int end as bin from {_SCORED} s")
 def conf_norm_reliability(spark: SparkSession, d: str) -> DataFrame:
     return view(spark, d, "pred").select("id", T.confidence_percent(_c("confidence")).alias("percent")).withColumn("bin", T.reliability_bin(_c("percent")))
 
