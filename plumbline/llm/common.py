@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows that a Python worker holds at a time are bounded by bytes, not by row count, so long texts are safe.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 #: Bytes of text that the vectorised kernels look at together (whole texts; one text may be longer).
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def prepare(spark: SparkSession) -> None:
@@ -106,7 +106,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_pow[0]) < n:
-        size = 1 << (n - 1).bit_length()
+        size = n + 4096
         for i, base in enumerate((_BASE, _INV)):
             p = np.full(size, base, np.uint64)
             p[0] = 1

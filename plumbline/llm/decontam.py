@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, prepare, text_buffer, word_hashes
+from .common import chunks, prepare, release_memory, text_buffer, word_hashes
 from .shingles import shingle_hashes
 
 RADIUS, BLOCKS = 23, 8
@@ -211,5 +211,6 @@ def _scan(docs: DataFrame, index: Index, text_col: str, out_col: str) -> DataFra
             names = [f.name for f in _MATCH.value_type]
             new = pa.array([(o or []) + [dict(zip(names, m, strict=True)) for m in f] for o, f in zip(old, found, strict=True)], _MATCH)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], new], names=b.schema.names)
+            release_memory()
 
     return docs.mapInArrow(run, docs.schema)

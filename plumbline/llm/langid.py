@@ -22,10 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, crc_mod, prepare, text_buffer
+from .common import chunks, crc_mod, prepare, release_memory, text_buffer
 
 #: Bits of a symbol in an n-gram's code; symbol 0 is space, OTHER any letter not in the sample.
 BITS, OTHER = 8, 255
+#: Bytes of text scored together.
+SCORE_BYTES = 1 << 18
 #: Below so many letters only texts without any letter are rejected: their cross-entropy says too little.
 SURE_LETTERS = 40
 #: The limit is this quantile of the cross-entropy of calibration texts of the language, times SLACK.
@@ -236,10 +238,10 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data, offs = _lower(b.column(b.num_columns - 1))
+            data, offs = _lower(b.column(at))
             n = b.num_rows
             pred, score, best, out = np.full(n, "und", object), np.zeros(n), np.full(n, np.nan), np.ones(n, bool)
-            for lo, hi in chunks(offs, 1 << 20) if m.langs else ():
+            for lo, hi in chunks(offs, SCORE_BYTES) if m.langs else ():
                 ce, letters = cross_entropies(m, data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
                 j = ce.argmin(axis=1)
                 p = softmax(-ce * m.sharpness)
@@ -250,10 +252,13 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                 best[lo:hi][some] = ce[row, j][some]
                 out[lo:hi] = ~some | ((ce[row, j] > m.limits[j]) & (letters >= SURE_LETTERS))
             cols = [pa.array(pred, pa.string()), pa.array(score), pa.array(best, from_pandas=True), pa.array(out)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *cols], names=names)
+            yield pa.RecordBatch.from_arrays([*b.columns[:kept], *cols], names=names)
+            release_memory()
 
-    df = docs.select(*dict.fromkeys([id_col, *keep]), F.col(text_col).cast("string").alias("_t"))
-    fields = df.schema.fields[:-1]
+    columns = list(dict.fromkeys([id_col, *keep]))
+    kept, at = len(columns), columns.index(text_col) if text_col in columns else len(columns)
+    df = docs.select(*columns, *[text_col] * (at == kept))  # the text travels once
+    fields = df.schema.fields[:kept]
     schema = T.StructType(fields)
     for name, kind in (("lang_pred", T.StringType()), ("score", T.DoubleType()), ("cross_entropy", T.DoubleType()), ("rejected", T.BooleanType())):
         schema = schema.add(prefix + name, kind)
