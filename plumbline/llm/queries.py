@@ -83,6 +83,22 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"), words=2, percent=80)
 
 
+OP6_SQL = """
+with recursive words as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w from documents),
+sets as (
+  select doc_id, list_distinct(case when len(w) = 1 then w else list_transform(range(1, len(w)), lambda i: concat(w[i], ' ', w[i + 1])) end) as s from words),
+rows_ as (select doc_id, len(s) as n, unnest(s) as x from sets),
+pairs as (select a.doc_id as a, b.doc_id as b, a.n as na, b.n as nb, count(*) as shared from rows_ a join rows_ b on a.x = b.x and a.doc_id < b.doc_id group by all),
+links as (select a, b from pairs where 100 * shared >= 80 * (na + nb - shared)),
+edges as (select a, b from links union select b, a from links),
+reach as (select a as doc_id, a as root from edges union select e.a, r.root from reach r join edges e on e.b = r.doc_id),
+least_ as (select doc_id, min(root) as root from reach group by 1)
+select s.doc_id, len(s.s)::bigint as n_shingles, coalesce(l.root, s.doc_id) as component_id, coalesce(l.root, s.doc_id) = s.doc_id as kept
+from sets s left join least_ l using (doc_id)
+"""
+
+
 def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .htmltext import extract
 
@@ -128,4 +144,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op5_line_dedup": OP5_SQL,
+    "op6_minhash": OP6_SQL,
 }
