@@ -355,7 +355,8 @@ def normalize_block(spark: SparkSession, d: str) -> DataFrame:
     return view(spark, d, "resp").select("prompt", "s", L.normal_block(_c("text")).alias("content"))
 
 
-@query("label_recovery")
+@query("label_recovery", f"""
+select prompt, s, concat('##', l1, '##') as passage_1_label, concat('##', l2, '##') as passage_2_label, concat('##', case when prompt % 2 = 0 then l3 else l2 end, '##') as passage_3_label from {duck('resp')} r""")
 def label_recovery(spark: SparkSession, d: str) -> DataFrame:
     text = F.concat(F.lit("The first passage talks of it, so it is "), _c("l1"), F.lit(". Passage 2 is ##"), _c("l2"), F.lit("##. "), F.when(_c("prompt") % 2 == 0, F.concat(F.lit("Third passage: "), _c("l3"))).otherwise(F.lit("")))
     rows = view(spark, d, "resp").select("prompt", "s", text.alias("text"))
@@ -389,7 +390,7 @@ def extract_rag_plain(spark: SparkSession, d: str) -> DataFrame:
     return E.extract(view(spark, d, "resp").select("prompt", "s", "text"), E.spec_for("rag_test", "vanilla")).select("prompt", "s", "answer", "confidence")
 
 
-@query("extract_multistep")
+@query("extract_multistep", f"select prompt, s, answer, '40' as confidence from {duck('resp')} r")
 def extract_multistep(spark: SparkSession, d: str) -> DataFrame:
     steps = F.concat(F.lit("Step 1 Confidence: 40%\nAnswer: first\nStep 2 Confidence: "), _c("conf").cast("string"), F.lit("%\nFinal Output:\nAnswer: "), _c("answer"), F.lit("\n"))
     rows = view(spark, d, "resp").select("prompt", "s", steps.alias("text"))
