@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows that a Python worker holds at a time are bounded by bytes, not by row count, so long texts are safe.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 #: Bytes of text that the vectorised kernels look at together (whole texts; one text may be longer).
 CHUNK_BYTES = 1 << 20
 
