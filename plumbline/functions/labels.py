@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import strip
+from .text import let, strip
 
 #: Labels, and the passage types each stands for.
 HIGH, SOME, NONE = "Highly Relevant", "Relevant", "Irrelevant"
@@ -118,16 +118,11 @@ def label_block(text: Column) -> Column:
     return F.when((at > 0) & (read["mode"] != 2), found)
 
 
-def normal_block(text: Column) -> Column:
+def normal_block(text: Column, labels: Column | None = None) -> Column:
     """The text with its label block in four standard lines and without later lines that begin with ##.
 
-    Texts without a readable block are unchanged.
+    Texts without a readable block are unchanged. labels: those of label_block, where they are known already.
     """
-    lines, labels = _lines(text), label_block(text)
-    start = F.array_position(F.transform(lines, lambda x: F.lower(x).contains(BLOCK_TITLE)), True).cast("int")
-    title = F.element_at(lines, F.greatest(start, F.lit(1)))
-    one_line = F.size(_inline(_after_colon(title))) >= 3
-    rest = F.slice(lines, start + 1, F.size(lines))
     state = lambda items, used, open_: F.struct(items.alias("items"), used.alias("used"), open_.alias("open"))
 
     def step(acc: Column, line: Column) -> Column:
@@ -138,11 +133,18 @@ def normal_block(text: Column) -> Column:
             .otherwise(state(items, acc["used"] + 1, items < 3))
         )
 
-    used = F.aggregate(rest, state(F.lit(0), F.lit(0), F.lit(True)), step)["used"]
-    tail = F.filter(F.slice(lines, start + F.when(one_line, 0).otherwise(used) + 1, F.size(lines)), lambda x: ~strip(x).startswith("##"))
-    numbered = F.transform(labels, lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x))
-    whole = F.concat(F.slice(lines, 1, F.greatest(start - 1, F.lit(0))), F.array(F.lit("Passage Classifications:")), numbered, tail)
-    return F.when(labels.isNull() | (start == 0), text).otherwise(F.array_join(whole, "\n"))
+    def rebuilt(x: Column) -> Column:
+        lines, start = x["lines"], x["start"]
+        one_line = F.size(_inline(_after_colon(F.element_at(lines, start)))) >= 3
+        used = F.aggregate(F.slice(lines, start + 1, F.size(lines)), state(F.lit(0), F.lit(0), F.lit(True)), step)["used"]
+        tail = F.filter(F.slice(lines, start + F.when(one_line, 0).otherwise(used) + 1, F.size(lines)), lambda y: ~strip(y).startswith("##"))
+        numbered = F.transform(x["labels"], lambda y, i: F.concat((i + 1).cast("string"), F.lit(". "), y))
+        return F.array_join(F.concat(F.slice(lines, 1, start - 1), F.array(F.lit("Passage Classifications:")), numbered, tail), "\n")
+
+    titled = lambda lines: F.array_position(F.transform(lines, lambda y: F.lower(y).contains(BLOCK_TITLE)), True).cast("int")
+    known = label_block(text) if labels is None else labels
+    parts = let(_lines(text), lambda y: F.struct(y.alias("lines"), titled(y).alias("start"), known.alias("labels")))
+    return let(parts, lambda x: F.when(x["labels"].isNull() | (x["start"] == 0), text).otherwise(rebuilt(x)))
 
 
 def standard_answer(text: Column) -> Column:

@@ -39,9 +39,9 @@ def apply_rules(responses: DataFrame, text: Column, types: Column, think: Column
         .when(F.col("model_answer").isNull() | F.col("stated_confidence").isNull(), "no_answer_or_confidence")
         .when((F.size("_differ") > 0) & ~excused, "mismatch")
     )
-    at = F.instr(full, "</think>")
-    head, tail = F.substr(full, F.lit(1), at + len("</think>") - 1), F.substr(full, at + len("</think>"))
-    content = F.when(thinks & (at > 0), F.concat(head, L.standard_answer(L.normal_block(tail)))).otherwise(L.standard_answer(L.normal_block(full)))
+    at = F.when(thinks, F.instr(full, "</think>")).otherwise(0)
+    cut = F.when(at > 0, at + len("</think>") - 1).otherwise(0)
+    content = F.concat(F.substr(full, F.lit(1), cut), L.standard_answer(L.normal_block(F.substr(full, cut + 1), F.col("labels"))))
     rows = rows.where(F.col("_truth").isNotNull()).withColumns({"reject_reason": reason, "tolerated": F.coalesce(excused & (F.size("_differ") == 1), F.lit(False))})
     rows = rows.withColumn("tolerated", F.col("tolerated") & F.col("reject_reason").isNull()).withColumn("content", F.when(F.col("reject_reason").isNull(), content))
     return rows.drop("_text", "_think", "_valid", "_truth", "_differ")

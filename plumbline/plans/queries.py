@@ -559,3 +559,82 @@ def echo_responses(spark: SparkSession, d: str) -> DataFrame:
 
     rows = view(spark, d, "prompts").select("prompt", F.concat(F.lit("Q "), _c("prompt").cast("string")).alias("shown"))
     return respond(rows, Echo(), "shown").select("prompt", "text", "status")
+
+
+# --- workflow pieces ------------------------------------------------------------------------------------------
+
+
+@query("question_types", f"select prompt, case when prompt::varchar like '1%' then 'bi' else 'oe' end as kind from {duck('prompts')} g")
+def question_types(spark: SparkSession, d: str) -> DataFrame:
+    from ..functions.prompts import question_type
+
+    ids = F.regexp_replace(_c("prompt").cast("string"), "^1", "s1")
+    return view(spark, d, "prompts").select("prompt", question_type(ids).alias("kind"))
+
+
+@query("noise_prompts", f"""
+select prompt, concat('Question: q', prompt::varchar, chr(10), 'True answer: ', t1, chr(10), 'Write three passages of ', sl, ' sentences and ', wl,
+  ' words each. Put each on a line as `Passage N: text` that has nothing to do with the question, and below it `Topic N: topic`.') as shown
+from (select *, case when n <= 0 then '10-50' when n < 30 then concat('10-', (case when n - 20 < 10 then 50 else n + 20 end)::bigint::varchar) end as wl,
+  concat(greatest(least(greatest(k, 1), 8) - 1, 1)::varchar, '-', (least(greatest(k, 1), 8) + 1)::varchar) as sl
+from (select *, len(list_filter(string_split_regex(c1, '\\s+'), lambda x: x <> '')) as n, len(list_filter(string_split_regex(c1, '[.!?]+'), lambda x: regexp_replace(x, '\\s', '', 'g') <> '')) as k from {duck('prompts')} g) a) b""")
+def noise_prompts(spark: SparkSession, d: str) -> DataFrame:
+    from ..functions.prompts import noise_prompt
+
+    question = F.concat(F.lit("q"), _c("prompt").cast("string"))
+    return view(spark, d, "prompts").select("prompt", noise_prompt("gen_irrelevant", question, F.array("t1", "t2"), _c("c1")).alias("shown"))
+
+
+@query("latest_by_id", f"select s, answer, prompt from (select *, row_number() over (partition by s, answer order by prompt desc) as k from {duck('resp')} r) x where k = 1")
+def latest_by_id(spark: SparkSession, d: str) -> DataFrame:
+    from .workflows import latest
+
+    return latest(view(spark, d, "resp").select("s", "answer", "prompt"), ["s", "answer"], _c("prompt"))
+
+
+@query("annotated_responses", f"""
+select prompt, s, coalesce(nullif(used, ''), 'none') as answer_used, conf::double as confidence_value, coalesce(nullif(used, ''), 'none') in ('alpha river') as is_correct
+from (select *, case when s = 3 then '' else answer end as used from {duck('resp')} r) x""")
+def annotated_responses(spark: SparkSession, d: str) -> DataFrame:
+    from .workflows import annotate
+
+    rows = view(spark, d, "resp").select("prompt", "s", "answer", "conf")
+    out = annotate(rows, F.array(F.lit("Alpha River!")), F.when(_c("s") == 3, "").otherwise(_c("answer")), F.lit("none"), F.concat(_c("conf").cast("string"), F.lit("%")))
+    return out.select("prompt", "s", "answer_used", "confidence_value", "is_correct")
+
+
+@query("task_grid", "select file, task from (select distinct source as file from documents) d cross join (select unnest(['gen_relevant', 'gen_irrelevant']) as task) t")
+def task_grid(spark: SparkSession, d: str) -> DataFrame:
+    from .workflows import task_grid as grid
+
+    files = spark.read.parquet(f"{d}/documents.parquet").select(_c("source").alias("file")).distinct()
+    return grid(files, ["gen_relevant", "gen_irrelevant"])
+
+
+@query("evaluate_responses", f"""
+select s as model, avg((answer = 'alpha river')::int::double) as accuracy, avg(try_cast(confidence as double) / 100) as ave_conf from (
+  select s, {_GOT} from {duck('resp')} r where {_HAS} and prompt % 101 <> 0) x where not confidence in ('1', '0') group by s""")
+def evaluate_responses(spark: SparkSession, d: str) -> DataFrame:
+    """From responses to metrics in one plan."""
+    from .workflows import evaluate
+
+    resp = view(spark, d, "resp").where("prompt % 101 <> 0 and conf > 1")
+    rows = resp.select(F.concat_ws("-", "prompt", "s").alias("id"), _c("s").alias("model"), "text")
+    items = rows.select("id", F.array(F.lit("alpha river")).alias("truths"))
+    return evaluate(rows, items, "ckpt_test", metrics=["accuracy", "ave_conf"])
+
+
+@query("curated_triples", f"""
+with r as (select * from {_ruled_sql(True)} x where reason is null), c as (select prompt from r group by prompt having count(distinct s) = (select count(distinct s) from r)),
+g as (select * from {_PG} p where prompt in (select prompt from c)),
+b as (select prompt, grp from (select *, row_number() over (partition by grp order by md5(concat(prompt::varchar, '-42')), prompt) as k, (select count(*) from g where grp = 'irrelevant') as m from g) y where grp <> 'consistent' or m = 0 or k <= m)
+select r.s as model, r.prompt as id, b.grp, 'Do.' as instruction, concat('Q ', r.prompt::varchar) as input from r join b on r.prompt = b.prompt""")
+def curated_triples(spark: SparkSession, d: str) -> DataFrame:
+    """From sampled responses to triples in one plan; every sample counts as a model here."""
+    from .workflows import curate
+
+    resp = view(spark, d, "resp")
+    responses = resp.select(_c("prompt").alias("id"), _c("s").alias("model"), F.lit(0).alias("sample_id"), "text", F.lit(False).alias("distill"))
+    items = view(spark, d, "prompts").select(_c("prompt").alias("id"), _c("prompt").cast("string").alias("question"), _types().alias("types"), F.array("c1", "c2", "c3").alias("contents"), F.array(F.lit("alpha river")).alias("truths"))
+    triples, _ = curate(responses, items, "Do.", "Q {question}", tolerate=True)
+    return triples.select("model", "id", "grp", "instruction", "input")

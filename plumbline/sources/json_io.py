@@ -93,12 +93,15 @@ def with_position(df: DataFrame, name: str = "position") -> DataFrame:
     return rows.withColumn(name, F.col("_k") + offset).drop("_m", "_p", "_k")
 
 
-def slice_items(df: DataFrame, start: int = 0, end: int | None = None) -> DataFrame:
-    """Items start to end (end None or 0: all), bounds clamped; an empty range is all of a file of under five items."""
+def slice_items(df: DataFrame, start: int = 0, end: int | None = None, plain: bool = False) -> DataFrame:
+    """Items start to end (end None or 0: to the last), bounds clamped; an empty range is all of a file of under five
+    items. plain: the other tool's rule, which cuts only where there is an end and leaves empty ranges empty."""
+    if plain and not end:
+        return df
     rows = with_position(df)
     n = rows.count()
     lo, hi = max(0, min(start, n)), n if not end else max(0, min(end, n))
-    if lo >= hi:
+    if lo >= hi and not plain:
         lo, hi = (0, n) if n < 5 else (0, 0)
     return rows.where((F.col("position") >= lo) & (F.col("position") < hi)).drop("position")
 
