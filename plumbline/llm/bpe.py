@@ -73,15 +73,16 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class Codec:
     """Encoder and decoder over one rank file."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, cache_words: int = CACHE_WORDS, group_chars: int = GROUP_CHARS):
         import duckdb
         import regex
 
+        self.cache_words, self.group_chars = cache_words, group_chars
         self.find = regex.compile(pattern).findall
         self.ranks = ranks = load_ranks(path)
         self.byte_ids = [ranks[bytes([i])] for i in range(256)]
         rows = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB", "allocator_flush_threshold": "1MB", "allocator_bulk_deallocation_flush_threshold": "1MB"})
         left, right, merged = map(list, zip(*rows)) if rows else ([], [], [])
         self._table("merges", {"l": left, "r": right, "m": merged})
         self.db.register("v", pa.table({"t": pa.array(list(ranks.values()), pa.int32()), "hex": [t.hex() for t in ranks]}))
@@ -159,9 +160,9 @@ class Codec:
             ids = self.contract(raw)
             seqs = [ids[b] for b in raw]
             out.update(zip(new, zip(seqs, self.decode(seqs), strict=True), strict=True))
-        if len(self.young) + len(new) > CACHE_WORDS:
+        if len(self.young) + len(new) > self.cache_words:
             self.old, self.young = self.young, {}
-        self.young.update((w, out[w]) for w in new[:CACHE_WORDS])
+        self.young.update((w, out[w]) for w in new[: self.cache_words])
         return out
 
     def encode_texts(self, texts: list[str]) -> Iterator[tuple[str, int, bytes]]:
@@ -169,7 +170,7 @@ class Codec:
         lo = 0
         while lo < len(texts):
             hi, size = lo, 0
-            while hi < len(texts) and (hi == lo or size + len(texts[hi]) <= GROUP_CHARS):
+            while hi < len(texts) and (hi == lo or size + len(texts[hi]) <= self.group_chars):
                 size += len(texts[hi])
                 hi += 1
             split = [self.find(t) for t in texts[lo:hi]]
@@ -181,20 +182,20 @@ class Codec:
             lo = hi
 
 
-_codecs: dict[tuple[str, str], Codec] = {}
+_codecs: dict[tuple, Codec] = {}
 
 
-def codec(path: str, pattern: str) -> Codec:
-    """One codec per worker process; workers are reused over tasks."""
-    if (path, pattern) not in _codecs:
-        _codecs[path, pattern] = Codec(path, pattern)
-    return _codecs[path, pattern]
+def codec(*key) -> Codec:
+    """One codec per worker process and settings; workers are reused over tasks."""
+    if key not in _codecs:
+        _codecs[key] = Codec(*key)
+    return _codecs[key]
 
 
-def forget(path: str, pattern: str) -> None:
+def forget(*key) -> None:
     import gc
 
-    old = _codecs.pop((path, pattern), None)
+    old = _codecs.pop(key, None)
     if old:
         old.db.close()
         old.young, old.old = {}, {}
@@ -205,20 +206,21 @@ def forget(path: str, pattern: str) -> None:
 
 def round_trip(
     docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = False, decoded: bool = False,
-    keep_codec: bool = True,
+    keep_codec: bool = True, cache_words: int = CACHE_WORDS, group_chars: int = GROUP_CHARS,
 ) -> DataFrame:
     """Per row: id, n_tokens, ids_sha256, decoded_sha256; with ids also the ids, with decoded also the text decoded.
 
     keep_codec: workers keep tables and cache for their next task; without it they give the memory back, for jobs
-    whose other stages need it.
+    whose other stages need it. Smaller cache_words and group_chars cost time and save memory.
     """
     import numpy as np
 
     prepare(docs.sparkSession)
+    key = (path, pattern, cache_words, group_chars)
     names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * ids + ["decoded"] * decoded
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path, pattern)
+        c = codec(*key)
         for b in batches:
             n, ids_sha, text_sha, numbers, back = [], [], [], [np.zeros(0, np.int32)], []
             for line, k, raw in c.encode_texts([t or "" for t in b.column(1).to_pylist()]):
@@ -238,7 +240,7 @@ def round_trip(
             release_memory()
         if not keep_codec:
             del c
-            forget(path, pattern)
+            forget(*key)
 
     df = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
     schema = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids + ", decoded string" * decoded
