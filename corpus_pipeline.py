@@ -40,7 +40,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, their number, and digests of the ids and of the text decoded from them."""
-    return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ids=True, keep_codec=False)
+    small = {"keep_codec": False, "cache_words": 50_000, "group_chars": 300_000}  # the workers of all stages share their memory
+    return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ids=True, **small)
 
 
 STAGES = [
