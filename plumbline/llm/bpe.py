@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 from .common import prepare, release_memory
 
 #: Distinct words in one generation of the cache; two generations are kept.
-CACHE_WORDS = 180_000
+CACHE_WORDS = 350_000
 #: Characters of text that are split at a time (whole texts; one text may be longer).
-GROUP_CHARS = 1_000_000
+GROUP_CHARS = 10_000_000
 #: Words up to so many bytes contract one pair per step; longer ones contract every safe occurrence of it.
 SHORT = 64
 
@@ -192,6 +192,18 @@ def codec(*key) -> Codec:
     return _codecs[key]
 
 
+def gathered(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Arrow batches put together to about size bytes: more texts share a word's contraction."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(x.nbytes for x in held) >= size:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held = []
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def forget(*key) -> None:
     import gc
 
@@ -221,7 +233,7 @@ def round_trip(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(*key)
-        for b in batches:
+        for b in gathered(batches, group_chars):
             n, ids_sha, text_sha, numbers, back = [], [], [], [np.zeros(0, np.int32)], []
             for line, k, raw in c.encode_texts([t or "" for t in b.column(1).to_pylist()]):
                 n.append(k)
