@@ -23,7 +23,7 @@ from .common import prepare, release_memory
 #: Distinct words in one generation of the cache; two generations are kept.
 CACHE_WORDS = 350_000
 #: Characters of text that are split at a time (whole texts; one text may be longer).
-GROUP_CHARS = 10_000_000
+GROUP_CHARS = 14_000_000
 #: Words up to so many bytes contract one pair per step; longer ones contract every safe occurrence of it.
 SHORT = 64
 
