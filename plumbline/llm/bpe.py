@@ -24,6 +24,8 @@ from .common import prepare, release_memory
 CACHE_WORDS = 350_000
 #: Characters of text that are split at a time (whole texts; one text may be longer).
 GROUP_CHARS = 14_000_000
+#: Words contracted by one query.
+QUERY_WORDS = 100_000
 #: Words up to so many bytes contract one pair per step; longer ones contract every safe occurrence of it.
 SHORT = 64
 
@@ -124,8 +126,9 @@ class Codec:
         out = {w: str(self.ranks[w]) for w in words if w in self.ranks}
         rest = [w for w in words if w not in out]
         for few, run in (([w for w in rest if len(w) <= SHORT], self._short), ([w for w in rest if len(w) > SHORT], self._long)):
-            if few:
-                out.update((few[w], ids) for w, ids in run(few))
+            for lo in range(0, len(few), QUERY_WORDS):  # bounds what one query holds
+                some = few[lo : lo + QUERY_WORDS]
+                out.update((some[w], ids) for w, ids in run(some))
         return out
 
     def _short(self, words: list[bytes]) -> list[tuple[int, str]]:
