@@ -30,7 +30,7 @@ where role = 'assistant'
 PASSAGES = """
 select d.doc_id, cast(floor(d.doc_id / 3.0) as bigint) as prompt, cast(d.doc_id % 3 as int) + 1 as pos,
   case when l.toxic = 1 then 'counterfactual' when l.quality = 1 then 'consistent' when l.quality = 0 then 'relevant' else 'irrelevant' end as type,
-  substring(d.text, 1, 60) as content
+  d.text as content
 from {documents} d left join {labels} l on d.doc_id = l.doc_id
 """
 
