@@ -618,8 +618,7 @@ def evaluate_responses(spark: SparkSession, d: str) -> DataFrame:
     """From responses to metrics in one plan."""
     from .workflows import evaluate
 
-    resp = view(spark, d, "resp").where("prompt % 101 <> 0 and conf > 1")
-    rows = resp.select(F.concat_ws("-", "prompt", "s").alias("id"), _c("s").alias("model"), "text")
+    rows = view(spark, d, "resp").select(F.concat_ws("-", "prompt", "s").alias("id"), _c("s").alias("model"), "text")
     items = rows.select("id", F.array(F.lit("alpha river")).alias("truths"))
     return evaluate(rows, items, "ckpt_test", metrics=["accuracy", "ave_conf"])
 

@@ -1,5 +1,6 @@
 """Registered queries see whole texts and all rows: checked in plain Python, apart from their SQL."""
 
+import math
 import re
 
 from plumbline.plans.bindings import view
@@ -38,3 +39,17 @@ def test_noise_prompts_measure_whole_texts(spark, sf_dir):
         ranges.add(word_range(len(text.split())))
         assert f"of {max(k - 1, 1)}-{k + 1} sentences and {word_range(len(text.split()))} words" in r["shown"]
     assert "180-220" in ranges  # beyond what a prefix of 60 characters holds
+
+
+def test_evaluate_responses_scores_every_response(spark, sf_dir):
+    hits, units = {}, {}
+    for r in view(spark, sf_dir, "resp").select("s", "text").collect():
+        answer, conf = re.search(r"(?i)answer:\s*([^\n]*)", r["text"]), re.search(r"(?i)confidence:\s*(\d+)\s*%", r["text"])
+        if answer and conf:
+            x = float(conf[1])
+            hits.setdefault(r["s"], []).append(answer[1] == "alpha river")
+            units.setdefault(r["s"], []).append(x / 100 if x > 1 else x)
+    got = {r["model"]: (r["accuracy"], r["ave_conf"]) for r in QUERIES["evaluate_responses"](spark, sf_dir).collect()}
+    assert set(got) == set(hits)
+    for s, (accuracy, ave_conf) in got.items():
+        assert math.isclose(accuracy, sum(hits[s]) / len(hits[s])) and math.isclose(ave_conf, sum(units[s]) / len(units[s]))
