@@ -1,12 +1,12 @@
 """LM scoring by a word bigram model with Katz backoff.
 
-Counts are Good-Turing discounted; bigrams seen once only feed the backoff mass (Katz's own economy), and every
-backoff weight is normalised exactly:
+Counts are Good-Turing discounted, and every backoff weight is normalised exactly:
 
-    P(w | h) = d(c) c(h, w) / D(h)   where c(h, w) >= 2
+    P(w | h) = d(c) c(h, w) / D(h)   where c(h, w) >= least
              = alpha(h) P(w)         otherwise,  alpha(h) = (1 - sum seen P(. | h)) / (1 - sum seen P(.))
 
-P(w) is discounted too, what is left is the unknown word's. D(h) is c(h), or half a count more than the discounted
+With least = 1 every bigram seen counts (the registered query); with 2, those seen once only feed the backoff mass
+(Katz's own economy). P(w) is discounted too, what is left is the unknown word's. D(h) is c(h), or half a count more than the discounted
 mass where nothing would be left. A text is its words, then one end; its first history is a start.
 
 Scores are evaluated by tables, partitioned by hash, never held whole anywhere:
@@ -45,8 +45,8 @@ OUT_BYTES = 1 << 20
 MAX_DISCOUNTED = 5
 HEAVY_WORDS, HEAVY_BIGRAMS = 2_000, 20_000
 _MIXER = np.uint64(0xD1342543DE82EF95)
-#: Bits cut off a bigram's 64-bit hash when its weight is asked for. A partition holds some 2^18 weights, so one
-#: lookup in 2^38 would find a wrong one.
+#: Bits cut off a bigram's 64-bit hash when its weight is asked for. A partition holds some 2^21 weights, so one
+#: lookup in 2^35 would find a wrong one.
 FINGERPRINT = np.uint64(8)
 
 
@@ -92,8 +92,13 @@ def unpack(raw: bytes) -> list[np.ndarray]:
     return out
 
 
-def gaps(sorted_ints: np.ndarray) -> np.ndarray:
-    return np.diff(sorted_ints, prepend=0)
+def joined(words: np.ndarray, h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Sorted bigrams over these words as one ascending number each, which pack stores as gaps."""
+    return (h.astype(np.int64) * len(words) + w).astype(np.uint64)
+
+
+def split(words: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.divmod(pairs.astype(np.int64), max(len(words), 1))
 
 
 # --- tokens of a chunk ----------------------------------------------------------------------------------------
@@ -218,11 +223,11 @@ def discounted(c: np.ndarray, d: np.ndarray) -> np.ndarray:
 class Stats:
     """Sums over all partitions: what discounts and base scores need."""
 
-    def __init__(self, rows: list):
+    def __init__(self, rows: list, least: int):
         zero = [0] * 9
         words, pairs = (list(next((r["s"] for r in rows if r["kind"] == k), None) or zero) for k in (0, 1))
         self.tokens, self.types, self.texts = words[7], words[0], words[8]
-        self.d1, self.d2 = discounts(words, 1), discounts(pairs, 2)
+        self.d1, self.d2 = discounts(words, 1), discounts(pairs, least)
         mass = words[7] - sum((1 - self.d1[r]) * r * words[r] for r in range(1, MAX_DISCOUNTED + 1))
         self.scale = max(self.tokens, mass + 0.5)
         self.unknown = np.log10(1 - mass / self.scale)
@@ -244,8 +249,8 @@ def spectrum(c: np.ndarray) -> list[int]:
 # --- the three phases -----------------------------------------------------------------------------------------
 
 
-def _count(train: DataFrame, parts: int) -> DataFrame:
-    """Rows (part, kind, payload, stats): of kind 0 words and counts, of kind 1 bigrams seen at least twice."""
+def _count(train: DataFrame, parts: int, least: int) -> DataFrame:
+    """Rows (part, kind, payload, stats): of kind 0 words and counts, of kind 1 bigrams seen at least `least` times."""
 
     def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for tokens, ends, _ in token_chunks(batches, 1):
@@ -259,7 +264,7 @@ def _count(train: DataFrame, parts: int) -> DataFrame:
         n = np.bincount(c.pair_of, minlength=len(c.h))
         for p, at in by_part(c.pair_parts(parts), parts):
             words, h, w = local(c.words, c.h[at], c.w[at])
-            yield p, 1, pack(words, gaps(h), w, n[at])
+            yield p, 1, pack(words, joined(words, h, w), n[at])
 
     def summed(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         got = [unpack(x) for x in rows.column("payload").to_pylist()]
@@ -269,13 +274,16 @@ def _count(train: DataFrame, parts: int) -> DataFrame:
             out, stats = pack(words, n), [*spectrum(n), int(n[words == END].sum())]
         else:
             words = np.unique(np.concatenate([g[0] for g in got]))
-            code = [np.searchsorted(words, g[0])[np.cumsum(g[1].astype(np.int64))] * len(words) + np.searchsorted(words, g[0])[g[2]] for g in got]
+            code = []
+            for g in got:
+                at, (h, w) = np.searchsorted(words, g[0]), split(*g[:2])
+                code.append(at[h] * len(words) + at[w])
             code, inv = np.unique(np.concatenate(code), return_inverse=True)
-            n = np.bincount(inv, np.concatenate([g[3] for g in got]), len(code)).astype(np.int64)
+            n = np.bincount(inv, np.concatenate([g[2] for g in got]), len(code)).astype(np.int64)
             stats = [*spectrum(n), 0]
-            code, n = code[n >= 2], n[n >= 2]
+            code, n = code[n >= least], n[n >= least]
             words, h, w = local(words, code // len(words), code % len(words))
-            out = pack(words, gaps(h), w, n)
+            out = pack(words, joined(words, h, w), n)
         return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "kind": pa.array([key[1].as_py()], pa.int32()), "payload": pa.array([out], pa.binary()), "stats": pa.array([stats], pa.list_(pa.int64()))})
 
     blocks = train.select("id", "t").mapInArrow(chunked, "part int, kind int, payload binary")
@@ -290,7 +298,8 @@ _ASK = "part int, asks int, payload binary"
 
 
 def _weights(counted: DataFrame, st: Stats, parts: int) -> tuple[DataFrame, DataFrame]:
-    """Word rows (part, payload: words, counts, log alpha) and bigram rows (part, payload: words, h, w, c, gain)."""
+    """Word rows (part, payload: words, counts, log alpha) and bigram rows (part, payload: words, h and w, c, and by
+    word what gains() needs: its count, and as a history its log alpha and total)."""
     words, pairs = (counted.where(F.col("kind") == k).select("part", "payload") for k in (0, 1))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -347,20 +356,18 @@ def _weights(counted: DataFrame, st: Stats, parts: int) -> tuple[DataFrame, Data
 
     weights = written(words.groupBy("part").cogroup(sums.groupBy("part")).applyInArrow(alphas, _ASK), "weights")
 
-    def gains(left: pa.Table, right: pa.Table) -> pa.Table:
-        """What a seen bigram's log probability has over its backoff."""
+    def histories(left: pa.Table, right: pa.Table) -> pa.Table:
+        """Bigrams with what their words have: by word, as that is far less than a gain for each bigram."""
         if not left.num_rows:
             return _table([], [], [])
-        own, h, w, c = _bigrams(left)
+        own, pair, c = unpack(left.column("payload")[0].as_py())
         kind = np.array(right.column("asks").to_pylist())
-        log_p1 = st.log_p1(_gather(own, right.filter(pa.array(kind >= 0))))
+        n = _gather(own, right.filter(pa.array(kind >= 0)))
         back = right.filter(pa.array(kind < 0))
-        log_a, total = _gather(own, back, 0.0), _gather(own, back, 1.0, 2)
-        gain = np.log10(discounted(c, st.d2) / total[h]) - log_a[h] - log_p1[w]
-        return _table([left.column("part")[0].as_py()], [0], [pack(own, gaps(h), w, c, gain)])
+        return _table([left.column("part")[0].as_py()], [0], [pack(own, pair, c, n, _gather(own, back, 0.0), _gather(own, back, 1.0, 2))])
 
     right = counts.unionByName(weights.where("asks = -1")).groupBy("part")
-    pair_rows = written(pairs.groupBy("part").cogroup(right).applyInArrow(gains, _ASK).select("part", "payload"), "gains")
+    pair_rows = written(pairs.groupBy("part").cogroup(right).applyInArrow(histories, _ASK).select("part", "payload"), "gains")
     return weights.where("asks = -2").select("part", "payload"), pair_rows
 
 
@@ -373,8 +380,15 @@ def lookup(keys: np.ndarray, values: np.ndarray, asked: np.ndarray, none) -> np.
 
 
 def _bigrams(rows: pa.Table) -> tuple[np.ndarray, ...]:
-    own, h, w, c = unpack(rows.column("payload")[0].as_py())[:4]
-    return own, np.cumsum(h.astype(np.int64)), w, c
+    own, pair, c = unpack(rows.column("payload")[0].as_py())
+    return own, *split(own, pair), c
+
+
+def gains(g: list[np.ndarray], st: Stats) -> tuple[np.ndarray, ...]:
+    """(history, word, count, gain) of the bigrams of one row: what a seen bigram's log probability has over its backoff."""
+    own, pair, c, n, log_a, total = g
+    h, w = split(own, pair)
+    return own[h], own[w], c, np.log10(discounted(c, st.d2) / total[h]) - log_a[h] - st.log_p1(n)[w]
 
 
 def _gather(own: np.ndarray, rows: pa.Table, none=0, column: int = 1) -> np.ndarray:
@@ -387,32 +401,33 @@ def _gather(own: np.ndarray, rows: pa.Table, none=0, column: int = 1) -> np.ndar
     return lookup(keys[order], np.concatenate([g[column] for g in got])[order], own, none)
 
 
-def _heavy(rows: DataFrame, least: float, pairs: bool) -> list[np.ndarray]:
-    """Entries of the tables counted at least `least` times: at most tokens / least of them."""
+def _heavy(rows: DataFrame, least: float, st: Stats | None = None) -> list[np.ndarray]:
+    """Entries of the tables (of bigrams, if there are stats) counted at least `least` times: at most tokens / least of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for raw in b.column(0).to_pylist():
                 g = unpack(raw)
-                if pairs:
-                    h, keep = np.cumsum(g[1].astype(np.int64)), g[3] >= least
-                    out.append(pack(g[0][h[keep]], g[0][g[2][keep]], g[4][keep]))
+                if st:
+                    h, w, c, gain = gains(g, st)
+                    keep = c >= least
+                    out.append(pack(h[keep], w[keep], gain[keep]))
                 else:
                     keep = (g[1] >= least) | (g[0] == START)
                     out.append(pack(g[0][keep], g[1][keep], g[2][keep]))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["payload"])
 
     got = [unpack(r["payload"]) for r in rows.select("payload").mapInArrow(run, "payload binary").collect()]
-    kinds = (np.uint64, np.uint64, np.float64) if pairs else (np.uint64, np.int64, np.float64)
+    kinds = (np.uint64, np.uint64, np.float64) if st else (np.uint64, np.int64, np.float64)
     return [np.concatenate([np.zeros(0, k), *[g[i] for g in got]]) for i, k in enumerate(kinds)]
 
 
 def _score(docs: DataFrame, words: DataFrame, pairs: DataFrame, st: Stats, parts: int) -> DataFrame:
-    heavy_w = _heavy(words, max(1, st.tokens / HEAVY_WORDS), False)
+    heavy_w = _heavy(words, max(1, st.tokens / HEAVY_WORDS))
     order = np.argsort(heavy_w[0])
     heavy_w = [x[order] for x in heavy_w]
-    heavy_h, heavy_n, heavy_gain = _heavy(pairs, max(2, st.tokens / HEAVY_BIGRAMS), True)
+    heavy_h, heavy_n, heavy_gain = _heavy(pairs, max(2, st.tokens / HEAVY_BIGRAMS), st)
     heavy_code = mix(heavy_h * _MIXER + heavy_n)
     order = np.argsort(heavy_code)
     heavy_code, heavy_gain = heavy_code[order], heavy_gain[order]
@@ -468,9 +483,11 @@ def _score(docs: DataFrame, words: DataFrame, pairs: DataFrame, st: Stats, parts
         model = unpack(right.column("payload")[0].as_py()) if right.num_rows else None
         kind = left.column("kind")[0].as_py() if left.num_rows else None
         if model and kind == 1:
-            code = mix(model[0][np.cumsum(model[1].astype(np.int64))] * _MIXER + model[0][model[2]]) >> FINGERPRINT
+            h, w, _, gain = gains(model, st)
+            code = mix(h * _MIXER + w) >> FINGERPRINT
             order = np.argsort(code)
-            gains = code[order], model[4][order]
+            table = code[order], gain[order]
+            del h, w, gain, code, order
         for n_docs, raw in zip(left.column("n").to_pylist(), left.column("payload").to_pylist(), strict=True):
             got = unpack(raw)
             if kind == 0:
@@ -478,7 +495,7 @@ def _score(docs: DataFrame, words: DataFrame, pairs: DataFrame, st: Stats, parts
                 key = np.repeat(np.arange(len(got[0])), got[1])
                 payload.append(pack(*[np.bincount(got[2], got[3] * v[key], n_docs) for v in word_values(c, log_a)]))
             elif kind == 1:
-                gain = lookup(*gains, got[0], 0.0) if model else np.zeros(len(got[0]))
+                gain = lookup(*table, got[0], 0.0) if model else np.zeros(len(got[0]))
                 payload.append(pack(np.bincount(got[2], got[3] * np.repeat(gain, got[1]), n_docs)))
             else:
                 payload.append(raw)
@@ -504,17 +521,17 @@ def _score(docs: DataFrame, words: DataFrame, pairs: DataFrame, st: Stats, parts
     return sums.groupBy("chunk").applyInArrow(finish, "id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", holdout: tuple[int, int] | None = (5, 1)) -> DataFrame:
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", holdout: tuple[int, int] | None = (5, 1), least: int = 2) -> DataFrame:
     """Per row: id, n_tokens, n_known, train_tokens, base_score, score, both log10; learns from the rows whose
-    crc32(id as text) mod n is not r, holdout being (n, r)."""
+    crc32(id as text) mod n is not r, holdout being (n, r). Bigrams seen fewer than `least` times count as not seen."""
     prepare(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
     train = rows.where(F.coalesce(crc_mod("id", holdout[0]) != holdout[1], F.lit(True))) if holdout else rows
     chars = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     parts = max(4, -(-chars // PART_CHARS))
-    counted = written(_count(train, parts), "counted")
+    counted = written(_count(train, parts, least), "counted")
     sums = [F.sum(F.get("stats", F.lit(i))).alias(f"s{i}") for i in range(9)]
-    st = Stats(counted.groupBy("kind").agg(*sums).select("kind", F.array(*[f"s{i}" for i in range(9)]).alias("s")).collect())
+    st = Stats(counted.groupBy("kind").agg(*sums).select("kind", F.array(*[f"s{i}" for i in range(9)]).alias("s")).collect(), least)
     release_shuffles(docs.sparkSession)
     words, pairs = _weights(counted, st, parts)
     release_shuffles(docs.sparkSession)

@@ -111,7 +111,7 @@ def op8_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .common import crc_mod
     from .katz import score_texts
 
-    out = score_texts(_table(spark, sf_dir, "documents").select("doc_id", "text"), holdout=(5, 1))
+    out = score_texts(_table(spark, sf_dir, "documents").select("doc_id", "text"), holdout=(5, 1), least=1)
     return out.withColumn("held_out", F.coalesce(crc_mod("doc_id", 5) == 1, F.lit(False)))
 
 
