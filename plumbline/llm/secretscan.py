@@ -2,13 +2,15 @@
 
 Base spans come from three patterns. Further candidates are long mixed runs of high entropy. Every candidate value
 (by hash, never in clear) is counted over the whole corpus by distinct repositories and distinct owners: a value
-of few owners is owner-specific and looks live, one that many owners hold is a widely copied example. Further
-candidates that look live are added as spans of kind `live`; base spans always stay and are only marked.
+of one owner is owner-specific and looks live however many of its repositories hold it, one of few owners does
+unless many repositories hold it, one that many owners hold is a widely copied example. Further candidates
+that look live are added as spans of kind `live`; base spans always stay and are only marked.
 
 Plan: one pass over the texts writes the few spans; counting and marking work on those rows alone, with partial
 distinct counts, so a value copied everywhere costs one row per owner and repository before the last sum.
 
-Defined cases: null and empty texts have no spans; repeated rows have equal spans and count as one repository;
+Defined cases: null and empty texts have no spans; repeated rows have equal spans and count as one repository,
+as do exact copies of a text that one owner holds under several ids;
 a null owner is an owner of its own; offsets are code points; equal starts are ordered by kind as listed.
 """
 
@@ -58,32 +60,40 @@ def spans(text: bytes) -> list[tuple[int, int, int, bytes]]:
     return sorted(out, key=lambda x: (x[1], x[0]))
 
 
+def _hash(value: bytes) -> str:
+    return hashlib.blake2b(value, digest_size=16).hexdigest()
+
+
 def scan(docs: DataFrame, id_col: str, owner_col: str, text_col: str) -> DataFrame:
-    """Rows (row, id, owner, spans): all candidates of each text, offsets in code points, values hashed."""
+    """Rows (row, id, owner, copy, spans): all candidates of each text, offsets in code points, values hashed, and
+    a hash of the text where it has some."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.name for f in _SPAN.value_type]
         for b in batches:
             data, offs = text_buffer(b.column(2))
-            view, rows = memoryview(np.ascontiguousarray(data)), []
+            view, rows, copies = memoryview(np.ascontiguousarray(data)), [], []
             for i in range(b.num_rows):
                 text = bytes(view[offs[i] : offs[i + 1]])
                 found = spans(text)
+                copies.append(_hash(text) if found else None)
                 if found and not text.isascii():
                     lead = np.zeros(len(text) + 1, np.int64)
                     np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80, out=lead[1:])
                     found = [(k, int(lead[s]), int(lead[e]), v) for k, s, e, v in found]
-                rows.append([dict(zip(names, (k, s, e, hashlib.blake2b(v, digest_size=16).hexdigest()), strict=True)) for k, s, e, v in found])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(rows, _SPAN)], names=["id", "owner", "spans"])
+                rows.append([dict(zip(names, (k, s, e, _hash(v)), strict=True)) for k, s, e, v in found])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(copies, pa.string()), pa.array(rows, _SPAN)], names=["id", "owner", "copy", "spans"])
 
     df = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(owner_col).cast("string"), F.lit("")).alias("owner"), F.col(text_col).cast("string").alias("t"))
-    return df.mapInArrow(run, f"id long, owner string, spans {SPAN}").withColumn("row", F.monotonically_increasing_id())
+    return df.mapInArrow(run, f"id long, owner string, copy string, spans {SPAN}").withColumn("row", F.monotonically_increasing_id())
 
 
 def ownership(scanned: DataFrame) -> DataFrame:
     """Rows (value, repositories, owners) of every candidate value in the corpus."""
-    held = scanned.select("id", "owner", F.explode("spans").alias("s")).select("id", "owner", F.col("s.value").alias("value"))
-    by_owner = held.groupBy("value", "owner", "id").agg(F.lit(1).alias("one")).groupBy("value", "owner").agg(F.count("one").alias("repositories"))
+    held = scanned.select("id", "owner", "copy", F.explode("spans").alias("s")).select("id", "owner", "copy", F.col("s.value").alias("value"))
+    by_id = held.groupBy("value", "owner", "id").agg(F.min("copy").alias("copy"))
+    by_copy = by_id.groupBy("value", "owner", "copy").agg(F.lit(1).alias("one"))
+    by_owner = by_copy.groupBy("value", "owner").agg(F.count("one").alias("repositories"))
     return by_owner.groupBy("value").agg(F.sum("repositories").alias("repositories"), F.count("*").alias("owners"))
 
 
@@ -91,12 +101,13 @@ def find_secrets(
     docs: DataFrame, id_col: str = "doc_id", owner_col: str = "source", text_col: str = "text", max_owners: int = 2, max_repositories: int = 50
 ) -> DataFrame:
     """Per row: id and marked: its spans (kind, start, end, repositories, owners, live), candidates of kind live
-    only where they look live. A repository is a document, its owner is owner_col."""
+    only where they look live: with one owner, or with at most max_owners and max_repositories. A repository is a
+    document (exact copies of one owner are one), its owner is owner_col."""
     prepare(docs.sparkSession)
     scanned = written(scan(docs, id_col, owner_col, text_col), "spans")
     counts = ownership(scanned)
     cand = scanned.where(F.size("spans") > 0).select("row", F.explode("spans").alias("s")).select("row", "s.*")
-    live = (F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories)
+    live = (F.col("owners") <= F.least(F.lit(max_owners), F.lit(1))) | ((F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories))
     marked = cand.join(counts, "value").withColumn("live", live).where((F.col("kind") < 3) | F.col("live"))
     marked = marked.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end", "repositories", "owners", "live"))).alias("marked"))
     none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint,repositories:bigint,owners:bigint,live:boolean>>")
