@@ -6,7 +6,8 @@ hint from the innermost element that says something: boilerplate (-1), article (
 grown (Gini impurity) on the small labelled table below. Pages stay in their partition: there is no shuffle.
 
 Defined cases: null and empty pages give an empty text; pages without tags are one block; unclosed elements end
-where an enclosing element ends; repeated rows give equal texts; an empty table gives an empty result.
+where an enclosing element ends; a start tag that ends in /> opens nothing; the text of HIDDEN elements is left out only
+up to their own end tag, one without it hides nothing; repeated rows give equal texts; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,13 +25,17 @@ from pyspark.sql import functions as F
 from .common import prepare
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|title|textarea|select|svg|math|iframe|object|canvas|audio|video|button)\b"
-    r"(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*>"
+    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|template|title|textarea)(?![\w:-])"
+    r"(?:\"[^\"]*\"|'[^']*'|=\s*[^\s'\">]+|[^'\">/]|/(?!\s*>))*+>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*>"
     r"|<(?P<end>/?)(?P<tag>[A-Za-z][A-Za-z0-9:-]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>",
     re.S | re.I,
 )
-_INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+_INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split()) | frozenset(
+    "math annotation annotation-xml maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none semantics".split()
+)
 _CONTAINERS = frozenset("html body div section article main nav header footer aside form ul ol dl table tr td th tbody figure details dialog menu blockquote center fieldset".split())
+#: Elements whose text is no text of the page.
+HIDDEN = frozenset("noscript select svg iframe object canvas audio video button".split())
 _BAD_TAGS = frozenset("nav footer aside form menu dialog fieldset".split())
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _BAD_NAME = re.compile(
@@ -143,6 +148,7 @@ class _Reader:
         self.linked: list[str] = []
         self.in_link = 0
         self.heading = 0
+        self.hidden = 0
 
     def flush(self) -> None:
         if self.parts:
@@ -164,44 +170,81 @@ class _Reader:
         return found
 
     def text(self, s: str) -> None:
-        if s:
+        if s and not self.hidden:
             self.parts.append(s)
             if self.in_link:
                 self.linked.append(s)
 
-    def tag(self, name: str, end: bool, attrs: str) -> None:
+    def tag(self, name: str, end: bool, attrs: str, hides: bool = False) -> None:
+        if name in HIDDEN:
+            self.flush()
+            if hides:
+                self.stack.append((name, 0, False))
+                self.hidden += 1
+            elif end:
+                self.close(name)
+            return
+        if self.hidden and name not in _CONTAINERS:
+            return
         if name in _INLINE:
             if name == "br":
                 self.text(" ")
             elif name == "a":
                 self.in_link = 0 if end else 1
             return
-        self.flush()
-        self.in_link = 0
-        if len(name) == 2 and name[0] == "h" and name[1] in "123456":
-            self.heading = 0 if end else 1
-        elif not end:
-            self.heading = 0
+        if not self.hidden:
+            self.flush()
+            self.in_link = 0
+            if len(name) == 2 and name[0] == "h" and name[1] in "123456":
+                self.heading = 0 if end else 1
+            elif not end:
+                self.heading = 0
         if name in _CONTAINERS:
             if end:
-                for k in range(len(self.stack) - 1, -1, -1):
-                    if self.stack[k][0] == name:
-                        del self.stack[k:]
-                        break
+                self.close(name)
             elif not attrs.rstrip().endswith("/"):
                 self.stack.append((name, *_hint(name, attrs)))
 
+    def close(self, name: str) -> None:
+        for k in range(len(self.stack) - 1, -1, -1):
+            if self.stack[k][0] == name:
+                self.hidden -= sum(t in HIDDEN for t, _, _ in self.stack[k:])
+                del self.stack[k:]
+                break
+
+
+def _hiding(tokens: list[re.Match]) -> set[int]:
+    """Positions of start tags of HIDDEN elements whose own end tag comes before an enclosing element ends."""
+    stack, found = [], set()
+    for i, m in enumerate(tokens):
+        name = (m["tag"] or "").lower()
+        if name not in HIDDEN and name not in _CONTAINERS:
+            continue
+        if not m["end"]:
+            if not m["attrs"].rstrip().endswith("/"):
+                stack.append((name, i))
+            continue
+        for k in range(len(stack) - 1, -1, -1):
+            if stack[k][0] == name:
+                if name in HIDDEN:
+                    found.add(stack[k][1])
+                del stack[k:]
+                break
+    return found
+
 
 def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
     """The flat list of a page's text blocks: text, words, linked words, heading, hint."""
     r, at = _Reader(), 0
-    for m in _TOKEN.finditer(page):
+    tokens = list(_TOKEN.finditer(page))
+    hiding = _hiding(tokens)
+    for i, m in enumerate(tokens):
         r.text(page[at : m.start()])
         at = m.end()
         if m["tag"]:
-            r.tag(m["tag"].lower(), m["end"] == "/", m["attrs"])
+            r.tag(m["tag"].lower(), m["end"] == "/", m["attrs"], i in hiding)
         elif m["raw"]:
-            r.flush() if m["raw"].lower() not in _INLINE else None
+            r.flush()
     r.text(page[at:])
     r.flush()
     return r.blocks
