@@ -24,8 +24,10 @@ from pyspark.sql import types as T
 
 from .common import chunks, crc_mod, prepare, release_memory, text_buffer
 
-#: Bits of a symbol in an n-gram's code; symbol 0 is space, OTHER any letter not in the sample.
-BITS, OTHER = 8, 255
+#: Bits of a symbol in an n-gram's code, and with more letters than they tell apart: four such symbols fill 64 bits.
+BITS, WIDE_BITS = 8, 16
+#: Symbol 0 is space; the last one, OTHER or that of the wide codes, any letter not in the sample.
+OTHER = (1 << BITS) - 1
 #: Bytes of text scored together.
 SCORE_BYTES = 1 << 18
 #: Below so many letters only texts without any letter are rejected: their cross-entropy says too little.
@@ -46,6 +48,7 @@ class Model:
     floor: float  # log probability of a symbol that no language has seen
     limits: np.ndarray
     sharpness: float
+    bits: int = BITS
 
 
 def letters_table() -> np.ndarray:
@@ -72,7 +75,7 @@ def symbol_runs(data: np.ndarray, offs: np.ndarray, symbols: np.ndarray) -> tupl
     return sym[keep], kept[at], letters[at[1:]] - letters[at[:-1]]
 
 
-def codes(sym: np.ndarray, offs: np.ndarray, order: int) -> np.ndarray:
+def codes(sym: np.ndarray, offs: np.ndarray, order: int, bits: int = BITS) -> np.ndarray:
     """For each symbol the code of it and the order - 1 before it; before a text's start stand spaces."""
     out = sym.astype(np.uint64)
     for k in range(1, order):
@@ -81,7 +84,7 @@ def codes(sym: np.ndarray, offs: np.ndarray, order: int) -> np.ndarray:
         for j in range(k):
             first = offs[:-1] + j
             back[first[first < offs[1:]]] = 0
-        out |= back << np.uint64(BITS * k)
+        out |= back << np.uint64(bits * k)
     return out
 
 
@@ -93,28 +96,27 @@ def find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, table[at] == keys
 
 
-def estimate(samples: dict[str, tuple[np.ndarray, np.ndarray]], order: int, n_symbols: int) -> tuple:
+def estimate(samples: dict[str, tuple[np.ndarray, np.ndarray]], order: int, n_symbols: int, bits: int = BITS) -> tuple:
     """Kneser-Ney tables of all languages over the union of their n-grams. samples: symbols and offsets."""
     langs = sorted(samples)
-    low = (1 << BITS) - 1
     counts: list[list[tuple[np.ndarray, np.ndarray]]] = []
     for lang in langs:
         sym, offs = samples[lang]
-        top, n = np.unique(codes(sym, offs, order), return_counts=True)
+        top, n = np.unique(codes(sym, offs, order, bits), return_counts=True)
         own = [(top, n.astype(np.float64))]
         for k in range(order - 1, 0, -1):  # continuation counts: distinct left extensions
-            top, n = np.unique(own[0][0] & np.uint64((1 << (BITS * k)) - 1), return_counts=True)
+            top, n = np.unique(own[0][0] & np.uint64((1 << (bits * k)) - 1), return_counts=True)
             own.insert(0, (top, n.astype(np.float64)))
         counts.append(own)
     grams = [np.unique(np.concatenate([c[k][0] for c in counts])) for k in range(order)]
-    contexts = [np.unique(g >> np.uint64(BITS)) for g in grams]
+    contexts = [np.unique(g >> np.uint64(bits)) for g in grams]
     floor = -np.log(n_symbols + 1.0)
     logp, loggamma = [], []
     for k in range(order):
         p = np.empty((len(grams[k]), len(langs)), np.float64)
         g = np.zeros((len(contexts[k]), len(langs)), np.float64)
-        ctx = np.searchsorted(contexts[k], grams[k] >> np.uint64(BITS))
-        below = np.searchsorted(grams[k - 1], grams[k] & np.uint64((1 << (BITS * k)) - 1)) if k else None
+        ctx = np.searchsorted(contexts[k], grams[k] >> np.uint64(bits))
+        below = np.searchsorted(grams[k - 1], grams[k] & np.uint64((1 << (bits * k)) - 1)) if k else None
         for j, own in enumerate(counts):
             code, n = own[k]
             ones, twos = (n == 1).sum(), (n == 2).sum()
@@ -144,11 +146,11 @@ def log_probs(m: Model, code: np.ndarray) -> np.ndarray:
         total = np.zeros((len(rest), len(m.langs)), np.float32)
         open_ = np.arange(len(rest))
         for k in range(m.order - 1, -1, -1):
-            c = left[open_] & np.uint64((1 << (BITS * (k + 1))) - 1)
+            c = left[open_] & np.uint64((1 << (m.bits * (k + 1))) - 1)
             at, hit = find(m.grams[k], c)
             total[open_[hit]] += m.logp[k][at[hit]]
             open_, c = open_[~hit], c[~hit]
-            at, hit = find(m.contexts[k], c >> np.uint64(BITS))
+            at, hit = find(m.contexts[k], c >> np.uint64(m.bits))
             total[open_[hit]] += m.loggamma[k][at[hit]]
         total[open_] += np.float32(m.floor)
         out[rest] = total
@@ -158,7 +160,7 @@ def log_probs(m: Model, code: np.ndarray) -> np.ndarray:
 def cross_entropies(m: Model, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Nats per symbol of each text under each language, and letters by text."""
     sym, at, letters = symbol_runs(data, offs, m.symbols)
-    lp = log_probs(m, codes(sym, at, m.order))
+    lp = log_probs(m, codes(sym, at, m.order, m.bits))
     cs = np.zeros((len(sym) + 1, len(m.langs)))
     np.cumsum(lp, axis=0, out=cs[1:])
     n = np.maximum(at[1:] - at[:-1], 1)
@@ -175,8 +177,10 @@ def train(texts: list[str], labels: list[str], order: int = 4) -> Model:
     data, offs = _lower(pa.array(texts, pa.large_string()))
     cps = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
     seen, n = np.unique(cps[table[cps]], return_counts=True)
-    seen = np.sort(seen[np.argsort(-n, kind="stable")][: OTHER - 1])
-    symbols = np.where(table, np.uint8(OTHER), np.uint8(0)).astype(np.uint8)
+    bits = BITS if len(seen) < OTHER else WIDE_BITS
+    other = (1 << bits) - 1
+    seen = np.sort(seen[np.argsort(-n, kind="stable")][: other - 1])
+    symbols = np.where(table, other, 0).astype(np.uint8 if bits == BITS else np.uint16)
     symbols[seen] = np.arange(1, len(seen) + 1)
     labels_ = np.array(labels, object)
     fold = np.zeros(len(texts), int)
@@ -189,10 +193,10 @@ def train(texts: list[str], labels: list[str], order: int = 4) -> Model:
         sym, at, _ = symbol_runs(*own, symbols)
         if len(sym):
             samples[lang] = (sym, at)
-    m = Model([], symbols, order, [np.zeros(0, np.uint64)], [np.zeros((0, 0), np.float32)], [], [], 0.0, np.zeros(0), 1.0)
+    m = Model([], symbols, order, [np.zeros(0, np.uint64)], [np.zeros((0, 0), np.float32)], [], [], 0.0, np.zeros(0), 1.0, bits)
     if not samples:
         return m
-    m = Model(sorted(samples), symbols, order, *estimate(samples, order, len(seen) + 2)[1:], np.full(len(samples), np.inf), 1.0)
+    m = Model(sorted(samples), symbols, order, *estimate(samples, order, len(seen) + 2, bits)[1:], np.full(len(samples), np.inf), 1.0, bits)
     held = [i for i in range(len(texts)) if fold[i] == 4 and labels[i] in samples] or [i for i in range(len(texts)) if labels[i] in samples]
     ce, letters = cross_entropies(m, *_lower(pa.array([texts[i] for i in held], pa.large_string())))
     own = np.array([m.langs.index(labels[i]) for i in held])
