@@ -14,19 +14,22 @@ import base64
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, release_memory
+from .common import prepare, release_memory, spread
 
 #: Distinct words in one generation of the cache; two generations are kept.
 CACHE_WORDS = 350_000
 #: Characters of text that are split at a time (whole texts; one text may be longer).
 GROUP_CHARS = 14_000_000
-#: Words contracted by one query.
-QUERY_WORDS = 100_000
-#: Words up to so many bytes contract one pair per step; longer ones contract every safe occurrence of it.
+#: Bounds what a contracting query holds: the sum of squares of its words' bytes (each step keeps a word's rows).
+QUERY_ROWS = 8_000_000
+#: Tokens that a decoding query puts in order.
+DECODE_TOKENS = 500_000
+#: Longer words contract every safe occurrence of their pair in a step, so that steps do not grow with the length.
 SHORT = 64
 
 #: One step contracts the leftmost pair of least rank of every word that still has a pair.
@@ -45,27 +48,34 @@ select s.k >> 16 as w, string_agg(t::varchar, ' ' order by k) as ids
 from s join (select k >> 16 as w, max(it) as it from s group by 1) e on s.k >> 16 = e.w and s.it = e.it group by 1
 """
 
-#: One step for long words: occurrences of the least-rank pair, left to right without overlap, as far as none
-#: makes a neighbouring pair of still lower rank. That is what one leftmost contraction at a time would do.
+#: The same for long words, with rows kept by position: a step contracts the occurrences of the least-rank pair, left
+#: to right without overlap, as far as none makes a neighbouring pair of still lower rank. That is what one leftmost
+#: contraction at a time would do. A position that was contracted away gets the token -1.
 CONTRACT_LONG = """
-with n as (
-  select w, p, t, lead(t) over x as nt, lead(p) over x as np, lead(t, 2) over x as nnt, lead(p, 2) over x as nnp,
-         lag(t) over x as pt
-  from cur window x as (partition by w order by p)),
-k as (select n.*, m.m, min(m.m) over (partition by n.w) as mm from n join merges m on n.t = m.l and n.nt = m.r),
-o as (select *, lag(np) over (partition by w order by p) as before from k where m = mm),
-i as (select *, sum((before is distinct from p)::int) over (partition by w order by p) as isle from o),
-c as (
-  select * from (select *, row_number() over (partition by w, isle order by p) as nth from i) where nth % 2 = 1),
-l as (
-  select *, case when lag(nnp) over (partition by w order by p) = p then mm else pt end as left_t from c),
-u as (
-  select l.*, coalesce(a.m < mm, false) or coalesce(b.m < mm, false) as unsafe
-  from l left join merges a on l.left_t = a.l and l.mm = a.r left join merges b on l.mm = b.l and l.nnt = b.r),
-d as (select *, min(case when unsafe then p end) over (partition by w) as stop from u)
-select w, p, np, mm from d where stop is null or p <= stop
+with recursive s(w, p, t) using key (w, p) as (
+  select w, p, t from base
+  union
+  (with n as (
+     select w, p, t, lead(t) over x as nt, lead(p) over x as np, lead(t, 2) over x as nnt, lead(p, 2) over x as nnp, lag(t) over x as pt
+     from (select r.w, r.p, r.t from recurring.s r where r.t >= 0 and r.w in (select w from s)) window x as (partition by w order by p)),
+   k as (select n.*, m.m, min(m.m) over (partition by n.w) as mm from n join merges m on n.t = m.l and n.nt = m.r),
+   o as (select *, lag(np) over (partition by w order by p) as before from k where m = mm),
+   i as (select *, sum((before is distinct from p)::int) over (partition by w order by p) as isle from o),
+   c as (select * from (select *, row_number() over (partition by w, isle order by p) as nth from i) where nth % 2 = 1),
+   l as (select *, case when lag(nnp) over (partition by w order by p) = p then mm else pt end as left_t from c),
+   u as (
+     select l.*, coalesce(a.m < mm, false) or coalesce(b.m < mm, false) as unsafe
+     from l left join merges a on l.left_t = a.l and l.mm = a.r left join merges b on l.mm = b.l and l.nnt = b.r),
+   d as (select *, min(case when unsafe then p end) over (partition by w) as stop from u),
+   e as (select w, p, np, mm from d where stop is null or p <= stop)
+   select w, p, mm from e union all select w, np, -1 from e)
+)
+select w, string_agg(t::varchar, ' ' order by p) as ids from s where t >= 0 group by w
 """
 
+#: Positions with their tokens' bytes, put together in order.
+DECODE = "select d, list(b order by p) as parts from sequence join vocab using (t) group by d order by d"
+
 
 def load_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
@@ -84,10 +94,10 @@ class Codec:
         self.ranks = ranks = load_ranks(path)
         self.byte_ids = [ranks[bytes([i])] for i in range(256)]
         rows = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB", "allocator_flush_threshold": "1MB", "allocator_bulk_deallocation_flush_threshold": "1MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": "", "allocator_flush_threshold": "1MB", "allocator_bulk_deallocation_flush_threshold": "1MB"})
         left, right, merged = map(list, zip(*rows)) if rows else ([], [], [])
         self._table("merges", {"l": left, "r": right, "m": merged})
-        self.db.register("v", pa.table({"t": pa.array(list(ranks.values()), pa.int32()), "hex": [t.hex() for t in ranks]}))
+        self.db.register("v", pa.table({"t": pa.array(list(ranks.values()), pa.int32()), "b": pa.array(list(ranks), pa.binary())}))
         self.db.execute("create table vocab as select * from v")
         self.young: dict[str, tuple[str, bytes]] = {}
         self.old: dict[str, tuple[str, bytes]] = {}
@@ -98,8 +108,6 @@ class Codec:
         self.db.unregister("_rows")
 
     def _rows(self, words: list[bytes]) -> dict:
-        import numpy as np
-
         n = np.fromiter(map(len, words), np.int64, len(words))
         first = np.cumsum(n) - n
         data = np.frombuffer(b"".join(words), np.uint8)
@@ -109,47 +117,46 @@ class Codec:
             "t": np.asarray(self.byte_ids, np.int32)[data],
         }
 
-    def _long(self, words: list[bytes]) -> list[tuple[int, str]]:
-        self._table("cur", self._rows(words))
-        while True:
-            self.db.execute(f"create or replace temp table step as {CONTRACT_LONG}")
-            if not self.db.execute("select count(*) from step").fetchone()[0]:
-                break
-            self.db.execute(
-                "create or replace temp table cur as select cur.w, cur.p, coalesce(a.mm, cur.t) as t from cur "
-                "left join step a on cur.w = a.w and cur.p = a.p left join step b on cur.w = b.w and cur.p = b.np where b.w is null"
-            )
-        return self.db.execute("select w, string_agg(t::varchar, ' ' order by p) from cur group by w").fetchall()
-
     def contract(self, words: list[bytes]) -> dict[bytes, str]:
         """Words to their ids, joined by spaces; a word that is itself a token is its id."""
         out = {w: str(self.ranks[w]) for w in words if w in self.ranks}
         rest = [w for w in words if w not in out]
-        for few, run in (([w for w in rest if len(w) <= SHORT], self._short), ([w for w in rest if len(w) > SHORT], self._long)):
-            for lo in range(0, len(few), QUERY_WORDS):  # bounds what one query holds
-                some = few[lo : lo + QUERY_WORDS]
-                out.update((some[w], ids) for w, ids in run(some))
+        for few, query in (([w for w in rest if len(w) <= SHORT], CONTRACT), ([w for w in rest if len(w) > SHORT], CONTRACT_LONG)):
+            held: list[bytes] = []
+            size = 0
+            for w in few:
+                cost = len(w) * min(len(w), SHORT)
+                if held and size + cost > QUERY_ROWS:
+                    out.update((held[k], ids) for k, ids in self._contracted(held, query))
+                    held, size = [], 0
+                held.append(w)
+                size += cost
+            if held:
+                out.update((held[k], ids) for k, ids in self._contracted(held, query))
         return out
 
-    def _short(self, words: list[bytes]) -> list[tuple[int, str]]:
+    def _contracted(self, words: list[bytes], query: str) -> list[tuple[int, str]]:
         self._table("base", self._rows(words))
-        return self.db.execute(CONTRACT).fetchall()
-
-    def decode(self, sequences: list[str]) -> list[bytes]:
-        """Id sequences (decimal, joined by spaces) to bytes: ordered aggregation over position rows."""
-        if not sequences:
-            return []
-        self.db.register("_seq", pa.table({"k": pa.array(range(len(sequences)), pa.int32()), "ids": sequences}))
-        got = self.db.execute(
-            "with e as (select k, unnest(string_split(ids, ' ')) as id, generate_subscripts(string_split(ids, ' '), 1) as p from _seq where ids <> '') "
-            "select k, string_agg(hex, '' order by p) from e join vocab on vocab.t = e.id::int group by k"
-        ).fetchall()
-        self.db.unregister("_seq")
-        found = dict(got)
-        return [bytes.fromhex(found.get(k, "")) for k in range(len(sequences))]
+        return self.db.execute(query).fetchall()
+
+    def decode(self, sequences: list[np.ndarray]) -> list[bytes]:
+        """Id sequences to bytes: position rows join the vocabulary and an ordered aggregation puts them together."""
+        out = [[] for _ in sequences]
+        size = np.array([len(s) for s in sequences], np.int64)
+        ids = np.concatenate([np.zeros(0, np.int32), *sequences])
+        which = np.repeat(np.arange(len(size), dtype=np.int32), size)
+        for lo in range(0, len(ids), DECODE_TOKENS):  # a long sequence goes through several queries
+            some = slice(lo, lo + DECODE_TOKENS)
+            part = pa.table({"d": which[some], "p": np.arange(len(ids[some]), dtype=np.int32), "t": ids[some]})
+            self.db.register("sequence", part)
+            got = self.db.sql(DECODE).to_arrow_table().combine_chunks()
+            self.db.unregister("sequence")
+            for d, parts in zip(got.column("d").to_pylist(), _lists(got.column("parts")), strict=True):
+                out[d].append(parts)
+        return [b"".join(x) for x in out]
 
     def learn(self, words: set[str]) -> dict[str, tuple[str, bytes]]:
-        """Ids and decoded bytes of these words, from the cache or by the queries."""
+        """Ids of these words, as decimals and as 32-bit numbers, from the cache or by the queries."""
         out = {}
         for w in words:
             hit = self.young.get(w)
@@ -161,29 +168,57 @@ class Codec:
         if new:
             raw = [w.encode() for w in new]
             ids = self.contract(raw)
-            seqs = [ids[b] for b in raw]
-            out.update(zip(new, zip(seqs, self.decode(seqs), strict=True), strict=True))
+            out.update((w, (ids[b], np.array(ids[b].split(), np.int32).tobytes())) for w, b in zip(new, raw, strict=True))
         if len(self.young) + len(new) > self.cache_words:
             self.old, self.young = self.young, {}
         self.young.update((w, out[w]) for w in new[: self.cache_words])
         return out
 
-    def encode_texts(self, texts: list[str]) -> Iterator[tuple[str, int, bytes]]:
-        """Of each text: ids joined by spaces, their number, and the bytes decoded from them."""
+    def groups(self, texts: list[str]) -> Iterator[tuple[int, int]]:
+        """Ranges of texts of about group_chars characters together."""
         lo = 0
         while lo < len(texts):
             hi, size = lo, 0
             while hi < len(texts) and (hi == lo or size + len(texts[hi]) <= self.group_chars):
                 size += len(texts[hi])
                 hi += 1
-            split = [self.find(t) for t in texts[lo:hi]]
-            known = self.learn(set().union(*split))
-            for ws in split:
-                parts = [known[w] for w in ws]
-                ids = " ".join([a for a, _ in parts])
-                yield ids, ids.count(" ") + bool(ids), b"".join([b for _, b in parts])
+            yield lo, hi
             lo = hi
 
+    def encode(self, texts: list[str]) -> list[tuple[str, np.ndarray]]:
+        """Of each text its ids, as decimals joined by spaces and as numbers."""
+        split = [self.find(t) for t in texts]
+        known, out = self.learn(set().union(*split)), []
+        for ws in split:
+            pairs = [known[w] for w in ws]
+            out.append((" ".join([a for a, _ in pairs]), np.frombuffer(b"".join([b for _, b in pairs]), np.int32)))
+        return out
+
+
+    def coded(self, texts: list[str]) -> Iterator[tuple[str, np.ndarray, bytes]]:
+        """Of each text its ids, as decimals and as numbers, and the bytes that these ids decode to."""
+        for lo, hi in self.groups(texts):
+            found = self.encode(texts[lo:hi])
+            for (line, ids), raw in zip(found, self.decode([ids for _, ids in found]), strict=True):
+                yield line, ids, raw
+
+    def encode_texts(self, texts: list[str]) -> Iterator[tuple[str, int, bytes]]:
+        """Of each text: ids joined by spaces, their number, and the bytes decoded from them."""
+        for line, ids, raw in self.coded(texts):
+            yield line, len(ids), raw
+
+
+def _lists(col: pa.ChunkedArray) -> Iterator[bytes]:
+    """The joined bytes of each list of byte strings: they lie side by side."""
+    for x in col.chunks:
+        values = x.values
+        wide = np.int64 if pa.types.is_large_binary(values.type) else np.int32
+        at = np.frombuffer(values.buffers()[1], wide)[values.offset :]
+        data = memoryview(values.buffers()[2] or b"")
+        ends = at[np.asarray(x.offsets)]
+        for a, z in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            yield bytes(data[a:z])
+
 
 _codecs: dict[tuple, Codec] = {}
 
@@ -228,8 +263,6 @@ def round_trip(
     keep_codec: workers keep tables and cache for their next task; without it they give the memory back, for jobs
     whose other stages need it. Smaller cache_words and group_chars cost time and save memory.
     """
-    import numpy as np
-
     prepare(docs.sparkSession)
     key = (path, pattern, cache_words, group_chars)
     names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * ids + ["decoded"] * decoded
@@ -238,12 +271,13 @@ def round_trip(
         c = codec(*key)
         for b in gathered(batches, group_chars):
             n, ids_sha, text_sha, numbers, back = [], [], [], [np.zeros(0, np.int32)], []
-            for line, k, raw in c.encode_texts([t or "" for t in b.column(1).to_pylist()]):
-                n.append(k)
+            texts = [t or "" for t in b.column(1).to_pylist()]
+            for line, own, raw in c.coded(texts):
+                n.append(len(own))
                 ids_sha.append(hashlib.sha256(line.encode()).hexdigest())
                 text_sha.append(hashlib.sha256(raw).hexdigest())
-                if ids and k:
-                    numbers.append(np.fromstring(line, np.int32, sep=" "))
+                if ids:
+                    numbers.append(own)
                 if decoded:
                     back.append(raw.decode("utf-8", "replace"))
             cols = [b.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
@@ -257,6 +291,6 @@ def round_trip(
             del c
             forget(*key)
 
-    df = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
+    df = spread(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")))
     schema = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids + ", decoded string" * decoded
     return df.mapInArrow(run, schema).withColumnRenamed("id", id_col)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 import tempfile
 from collections.abc import Iterator
 
@@ -18,10 +20,12 @@ CHUNK_BYTES = 1 << 20
 
 
 def prepare(spark: SparkSession) -> None:
-    """Bound Arrow batches by bytes; set a checkpoint folder only where none is set."""
+    """Bound Arrow batches by bytes; without a checkpoint folder set one where driver and executors are one machine."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     sc = spark.sparkContext
     if spark.conf.get("spark.checkpoint.dir", None) is None and sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="plumbline-checkpoint-"))
 
 
@@ -39,7 +43,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/plumbline/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.__dict__["_written_to"] = path
+    return table
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more."""
+    for t in tables:
+        path = t.__dict__.get("_written_to")
+        if path:
+            sc = t.sparkSession.sparkContext
+            at = sc._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def release_shuffles(spark: SparkSession) -> None:
@@ -60,6 +76,33 @@ def release_memory() -> None:
         pass
 
 
+#: Tables of fewer files than cores are dealt out anew up to so many bytes a core.
+SPREAD_BYTES = 64 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, where a small table lies in fewer files than there are cores; else df as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if 0 < len(df.inputFiles()) < cores and size < SPREAD_BYTES * cores else df
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have (names differ by more than case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def fresh_prefix(df: DataFrame) -> str:
+    """A prefix with which no column of df begins."""
+    prefix = "_found_"
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix += "_"
+    return prefix
+
+
 def crc_mod(id_col: str, n: int):
     """crc32 of the id as text, modulo n (never negative)."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % F.lit(n)
@@ -145,7 +188,15 @@ class SpanHasher:
         return mix((self.cs[ends] - self.cs[starts]) * self.inv[starts] + (ends - starts).astype(np.uint64))
 
 
+#: Longer words are hashed by BLAKE2b: a polynomial modulo 2^64 has known collisions of some hundred bytes.
+POLYNOMIAL_BYTES = 32
+
+
 def word_hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words with A-Z lower-cased, and word offsets by row (n + 1)."""
     starts, ends = word_spans(data, offs)
-    return SpanHasher(LOWER[data])(starts, ends), np.searchsorted(starts, offs)
+    low = LOWER[data]
+    out = SpanHasher(low)(starts, ends)
+    for i in np.flatnonzero(ends - starts > POLYNOMIAL_BYTES):
+        out[i] = int.from_bytes(hashlib.blake2b(low[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return out, np.searchsorted(starts, offs)

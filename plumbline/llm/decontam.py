@@ -10,8 +10,9 @@ shingles occur in the benchmark, so a running count of such shingles bounds the
 of similarity 0.8 differ in 9.2 of 64 bits on average, so RADIUS is over four standard deviations away, and
 neighbouring windows are tried too.
 
-The benchmark is used in slices of at most `max_items` items, each a pass over the documents, so what goes to the
-executors is bounded however large the benchmark is. Documents are never shuffled.
+The benchmark is used in slices of about `max_items` items and `max_bytes` bytes, each a pass of its own over the
+documents that writes its matches only, so what the driver and an executor hold is bounded however large the benchmark
+is. With one slice documents are never shuffled; with several the few matches are joined to their rows at the end.
 
 Defined cases: null texts and texts without words match nothing; items without words are left out; an item with
 fewer words than a shingle is one shingle; a document shorter than an item is one window; repeated items and
@@ -20,6 +21,8 @@ documents each have their own matches; of equally similar windows the first coun
 
 from __future__ import annotations
 
+import functools
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, prepare, release_memory, text_buffer, word_hashes
+from .common import chunks, drop, fresh, prepare, release_memory, spread, text_buffer, word_hashes, written
 from .shingles import shingle_hashes
 
 RADIUS, BLOCKS = 23, 8
@@ -176,41 +179,59 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
     return float(both / (a[1].sum() + b[1].sum() - both))
 
 
-def _slices(benchmark: DataFrame, id_col: str, text_col: str, max_items: int) -> Iterator[list[tuple[int, str]]]:
+def _slices(benchmark: DataFrame, id_col: str, text_col: str, max_items: int, max_bytes: int) -> Iterator[list[tuple[int, str]]]:
     items = benchmark.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).where("i is not null and t is not null")
-    n = -(-items.count() // max_items)
-    if n <= 1:
-        yield [(r.i, r.t) for r in items.orderBy("i", "t").collect()]
-        return
-    n *= 2  # slices by hash are not exactly equal
-    for j in range(n):
-        yield [(r.i, r.t) for r in items.where(F.pmod(F.xxhash64("i"), F.lit(n)) == j).orderBy("i", "t").collect()]
+    count, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()
+    n = max(-(-count // max_items), -(-size // max_bytes))
+    if n > 1:
+        n *= 2  # slices by hash are not exactly equal
+        items = written(items, "items")
+    for j in range(max(n, 1)):
+        yield [(r.i, r.t) for r in items.where(F.pmod(F.xxhash64("i", "t"), F.lit(max(n, 1))) == j).orderBy("i", "t").collect()]
 
 
 def matches(
     docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text",
-    words: int = 5, threshold: float = 0.8, max_items: int = 20_000, out_col: str = "_matches",
+    words: int = 5, threshold: float = 0.8, max_items: int = 20_000, max_bytes: int = 64 << 20, out_col: str = "_matches",
 ) -> DataFrame:
-    """docs with the array out_col: of each matched item its id, the best window and its similarity."""
+    """docs with one array more, out_col (with underscores behind if docs has that name): of each matched item its id,
+    the best window and its similarity, by item id."""
     prepare(docs.sparkSession)
-    out = docs.withColumn(out_col, F.array().cast(MATCH))
-    for part in _slices(benchmark, item_id_col, item_text_col, max_items):
+    out_col = fresh(docs, out_col)
+    slices = _slices(benchmark, item_id_col, item_text_col, max_items, max_bytes)
+    first, second = next(slices), next(slices, None)
+    docs = spread(docs)
+    if second is None:
+        index = Index(first, words, threshold)
+        none = docs.withColumn(out_col, F.array().cast(MATCH))
+        return _scan(none, index, text_col, True) if index.groups else none
+    row = fresh(docs, "_row")
+    rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    found = []
+    for part in itertools.chain([first, second], slices):
         index = Index(part, words, threshold)
         if index.groups:
-            out = _scan(out, index, text_col, out_col)
-    return out
-
-
-def _scan(docs: DataFrame, index: Index, text_col: str, out_col: str) -> DataFrame:
+            hits = _scan(rows.select(row, text_col).withColumn(out_col, F.array().cast(MATCH)), index, text_col, False)
+            found.append(written(hits.select(row, out_col), "matches"))
+    if not found:
+        return rows.drop(row).withColumn(out_col, F.array().cast(MATCH))
+    every = functools.reduce(DataFrame.unionByName, found).groupBy(row).agg(F.flatten(F.collect_list(out_col)).alias(out_col))
+    every = written(every.withColumn(out_col, F.array_sort(out_col)), "matches")
+    drop(*found)
+    return rows.join(every, row, "left").withColumn(out_col, F.coalesce(out_col, F.array().cast(MATCH))).drop(row)
+
+
+def _scan(docs: DataFrame, index: Index, text_col: str, all_rows: bool) -> DataFrame:
+    """docs with what the index finds in its last column; without all_rows only rows where it finds something."""
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [f.name for f in _MATCH.value_type]
         for b in batches:
             found = index.search_all(b.column(at).cast(pa.large_string()))
-            old = b.column(b.num_columns - 1).to_pylist()
-            names = [f.name for f in _MATCH.value_type]
-            new = pa.array([(o or []) + [dict(zip(names, m, strict=True)) for m in f] for o, f in zip(old, found, strict=True)], _MATCH)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], new], names=b.schema.names)
+            new = pa.array([[dict(zip(names, m, strict=True)) for m in f] for f in found], _MATCH)
+            out = pa.RecordBatch.from_arrays([*b.columns[:-1], new], names=b.schema.names)
+            yield out if all_rows else out.filter(pa.array([bool(f) for f in found], pa.bool_()))
             release_memory()
 
     return docs.mapInArrow(run, docs.schema)

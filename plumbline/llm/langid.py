@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, crc_mod, prepare, release_memory, text_buffer
+from .common import chunks, crc_mod, prepare, release_memory, spread, text_buffer
 
 #: Bits of a symbol in an n-gram's code, and with more letters than they tell apart: four such symbols fill 64 bits.
 BITS, WIDE_BITS = 8, 16
@@ -261,7 +261,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     columns = list(dict.fromkeys([id_col, *keep]))
     kept, at = len(columns), columns.index(text_col) if text_col in columns else len(columns)
-    df = docs.select(*columns, *[text_col] * (at == kept))  # the text travels once
+    df = spread(docs.select(*columns, *[text_col] * (at == kept)))  # the text travels once
     fields = df.schema.fields[:kept]
     schema = T.StructType(fields)
     for name, kind in (("lang_pred", T.StringType()), ("score", T.DoubleType()), ("cross_entropy", T.DoubleType()), ("rejected", T.BooleanType())):

@@ -1,7 +1,8 @@
 """Line dedup by site-relative frequency.
 
 A line is boilerplate of its host when the share of the host's pages that hold it exceeds `ratio` and at least
-`min_pages` pages hold it. Pages with the same whole text count once (removing copies is near-dedup's work).
+`min_pages` pages hold it. A page is a distinct whole
+text: of copies one counts, else the copies of one page would make all its lines boilerplate.
 Lines are compared by a 64-bit hash after trimming blanks; blank lines are neither counted nor dropped.
 
 Plan: lines are exploded as hashes only, never as text; counts are partial sums; of each host at most
@@ -9,7 +10,8 @@ Plan: lines are exploded as hashes only, never as text; counts are partial sums;
 written, its size checked, and broadcast only under `broadcast_lines`; beyond that a salted join takes over.
 
 Defined cases: null text stays null and has no lines; a null host is a host of its own; repeated rows are
-cleaned alike; empty tables give empty results; extra columns pass through.
+cleaned alike; empty tables give empty results; extra columns pass through, whatever their names: a count column
+whose name docs has already gets underscores behind it.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, written
+from .common import fresh, prepare, written
 
 _BLANKS = " \t\r\f\x0b"
 
@@ -50,23 +52,22 @@ def drop_lines(
     docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = 0.1, min_pages: int = 5,
     broadcast_lines: int = 200_000, salts: int = 64,
 ) -> DataFrame:
-    """docs with text_col cleaned, and the columns _n_lines and _n_dropped."""
+    """docs with text_col cleaned, and behind them the columns _n_lines and _n_dropped."""
     prepare(docs.sparkSession)
     found = written(boilerplate(docs, host_col, text_col, ratio, min_pages), "lines")
-    by_host = found.groupBy("host").agg(F.sort_array(F.collect_set("key")).alias("_drop")).withColumnRenamed("host", "_host")
-    rows = docs.withColumn("_host", F.coalesce(F.col(host_col).cast("string"), F.lit("")))
+    host, drop, salt, kept = (fresh(docs, c) for c in ("_host", "_drop", "_salt", "_kept"))
+    by_host = found.groupBy(F.col("host").alias(host)).agg(F.sort_array(F.collect_set("key")).alias(drop))
+    rows = docs.withColumn(host, F.coalesce(F.col(host_col).cast("string"), F.lit("")))
     if found.count() <= broadcast_lines:
-        rows = rows.join(F.broadcast(by_host), "_host", "left")
+        rows = rows.join(F.broadcast(by_host), host, "left")
     else:
-        salted = by_host.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        rows = rows.withColumn("_salt", F.pmod(F.xxhash64(text_col), F.lit(salts)).cast("int")).join(salted, ["_host", "_salt"], "left")
-    lines, none = _lines(F.col(text_col)), F.array().cast("array<bigint>")
-    rows = rows.withColumn("_drop", F.coalesce("_drop", none))
-    kept = F.filter(lines, lambda x: _blank(x) | ~F.array_contains(F.col("_drop"), _key(x)))
-    rows = rows.withColumn("_kept", F.when(F.size("_drop") == 0, lines).otherwise(kept))
-    out = {
-        text_col: F.when(F.col(text_col).isNotNull(), F.array_join("_kept", "\n")),
-        "_n_lines": F.coalesce(F.size(lines).cast("long"), F.lit(0).cast("long")),
-        "_n_dropped": F.coalesce((F.size(lines) - F.size("_kept")).cast("long"), F.lit(0).cast("long")),
-    }
-    return rows.select(*[out.get(c, F.col(c)).alias(c) for c in [*docs.columns, "_n_lines", "_n_dropped"]])
+        salted = by_host.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        rows = rows.withColumn(salt, (F.monotonically_increasing_id() % salts).cast("int")).join(salted, [host, salt], "left")
+    lines = _lines(F.col(text_col))
+    rows = rows.withColumn(drop, F.coalesce(drop, F.array().cast("array<bigint>")))
+    left = F.filter(lines, lambda x: _blank(x) | ~F.array_contains(F.col(drop), _key(x)))
+    rows = rows.withColumn(kept, F.when(F.size(drop) == 0, lines).otherwise(left))
+    none = F.lit(0).cast("long")
+    text = F.when(F.col(text_col).isNotNull(), F.array_join(kept, "\n")).alias(text_col)
+    counts = {"_n_lines": F.coalesce(F.size(lines).cast("long"), none), "_n_dropped": F.coalesce((F.size(lines) - F.size(kept)).cast("long"), none)}
+    return rows.select(*[text if c == text_col else F.col(c) for c in docs.columns], *[v.alias(fresh(docs, c)) for c, v in counts.items()])

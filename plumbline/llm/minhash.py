@@ -14,21 +14,22 @@ components is decided, rows stay in proportion to documents and blocks, and no t
 The chance to miss a link of similarity 0.8 is (1 - 0.8^4)^24 < 4e-6; the signature filter's is below 1e-7.
 
 Defined cases: null or empty texts and texts without words have an empty set, no links, and their own id as
-component; rows that share an id are one document; null ids are returned with a null component and kept; empty
-tables give empty results.
+component; rows that share an id are one document, whose set is that of the least digest among theirs, and each of
+them is returned; rows without an id are returned with a null component and kept; empty tables give empty results.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mix, prepare, release_memory, written
-from .graph import components
+from .common import drop, fresh, mix, prepare, release_memory, spread, written
+from .graph import forest
 from .shingles import distinct_shingles
 
 BANDS, ROWS = 24, 4
@@ -65,9 +66,12 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def set_key(shingles: np.ndarray) -> bytes:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+
+
 def sign(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """Rows (id, n, setkey, bands, sig) of every document; sig has the low byte of each coordinate."""
-    import hashlib
+    """Rows (id, n, setkey, bands, sig) of every row; sig has the low byte of each coordinate."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -76,7 +80,7 @@ def sign(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
                 n.append(len(s))
                 if len(s):
                     x = signature(s)
-                    setkey.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                    setkey.append(set_key(s))
                     bands.append(band_keys(x))
                     sig.append((x & np.uint32(255)).astype(np.uint8).tobytes())
                 else:
@@ -87,22 +91,23 @@ def sign(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
             )
             release_memory()
 
-    df = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
+    df = spread(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")))
     return df.mapInArrow(run, "id long, n long, setkey binary, bands array<long>, sig binary")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """Rows (id, set): sorted shingle hashes of the documents in ids."""
+    """Rows (id, set): sorted shingle hashes of the documents in ids (id, setkey)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [s.tobytes() for s in distinct_shingles(b.column(1), words)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["id", "set"])
+            sets = list(distinct_shingles(b.column(1), words))
+            own = pa.array([set_key(s) == k for s, k in zip(sets, b.column(2).to_pylist(), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "set"]).filter(own)
 
     few = ids.count() <= BROADCAST_IDS
     df = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
-    df = df.join(F.broadcast(ids) if few else ids, "id", "left_semi")
-    return df.mapInArrow(run, "id long, set binary").dropDuplicates(["id"])
+    df = df.join(F.broadcast(ids) if few else ids, "id")
+    return df.select("id", "t", "setkey").mapInArrow(run, "id long, set binary").dropDuplicates(["id"])
 
 
 def _near(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
@@ -126,8 +131,8 @@ def _least_matches(percent: int) -> int:
     return int(np.floor(K * (p - SLACK * np.sqrt(p * (1 - p) / K))))
 
 
-def verify(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
-    """Links (u, v): those distinct pairs (a, b) with 100 * intersection >= percent * union on full sets.
+def verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
+    """Links (u, v): those distinct pairs (a, b) of reps (id, setkey) with 100 * intersection >= percent * union on full sets.
 
     The many partners of one document are dealt out by a salt; its set is copied once for each salt in use.
     """
@@ -144,12 +149,15 @@ def verify(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, words:
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["u", "v"])
 
     pairs = written(pairs.distinct(), "pairs")
-    sets = written(_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), id_col, text_col, words), "sets")
-    salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / 256).cast("int").alias("salts"))
+    asked = written(reps.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi"), "asked")
+    sets = written(_sets(docs, asked, id_col, text_col, words), "sets")
+    salts = written(pairs.groupBy("a").agg(F.ceil(F.count("*") / 256).cast("int").alias("salts")), "salts")
     rows = pairs.join(salts, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"))
     rows = rows.select("a", "b", "salt").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
     left = salts.join(sets, salts.a == sets.id).select("a", F.col("set").alias("x"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    return rows.join(left, ["a", "salt"]).select("a", "b", "x", "y").mapInArrow(run, "u long, v long")
+    links = written(rows.join(left, ["a", "salt"]).select("a", "b", "x", "y").mapInArrow(run, "u long, v long"), "links")
+    drop(pairs, asked, sets, salts)
+    return links
 
 
 class Forest:
@@ -174,11 +182,11 @@ class Forest:
         return pa.table({"u": u, "v": v})
 
 
-def _within(rows: DataFrame, percent: int, block: int, exact: bool) -> DataFrame:
+def _within(rows: DataFrame, groups: DataFrame, percent: int, block: int, exact: bool) -> DataFrame:
     """Edges (u, v) that join different labels `comp` within a group `grp`: of near signatures, or of exact links.
 
     Rows (grp, id, comp, n, sig, lead, set): documents that lead are compared with all of their group, in pairs of
-    blocks of about `block` documents. A task keeps a spanning forest, so it never returns more edges than it has
+    blocks of about `block` documents; groups (grp, members, leads) is a written table. A task keeps a spanning forest, so it never returns more edges than it has
     documents, however many pairs it looks at.
     """
     least = _least_matches(percent)
@@ -215,8 +223,7 @@ def _within(rows: DataFrame, percent: int, block: int, exact: bool) -> DataFrame
             forest.join(i, ys, r_ids, int(ids[x]))
         return forest.table()
 
-    size = rows.groupBy("grp").agg(F.ceil(F.count("*") / block).cast("int").alias("nr"), F.ceil(F.sum(F.col("lead").cast("int")) / block).cast("int").alias("nl"))
-    rows = rows.join(size, "grp")
+    rows = rows.join(groups.select("grp", F.ceil(F.col("members") / block).cast("int").alias("nr"), F.ceil(F.col("leads") / block).cast("int").alias("nl")), "grp")
     part = lambda m: F.pmod(F.xxhash64("id"), F.col(m)).cast("int")
     every = lambda m: F.sequence(F.lit(0), F.col(m) - 1)
     cols = ["id", "comp", "n", "sig"] + ["set"] * exact
@@ -225,53 +232,79 @@ def _within(rows: DataFrame, percent: int, block: int, exact: bool) -> DataFrame
     return left.unionByName(right).groupBy("grp", "i", "j").applyInArrow(run, "u long, v long")
 
 
-def _stragglers(placed: DataFrame) -> DataFrame:
-    """Of rows (grp, id, comp) those groups that hold several labels, with lead: not of the label that most have."""
+def _stragglers(placed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of rows (grp, id, comp) those groups that hold several labels, with lead: not of the label that most have; and
+    those groups (grp, comp, members, leads). Both are written, so that no stage gathers a group."""
     share = placed.groupBy("grp", "comp").agg(F.count("*").alias("k"))
-    torn = share.groupBy("grp").agg(F.max(F.struct("k", "comp")).alias("top"), F.count("*").alias("labels")).where("labels > 1")
-    return placed.join(torn, "grp").select("grp", "id", "comp", (F.col("comp") != F.col("top.comp")).alias("lead"))
+    torn = share.groupBy("grp").agg(F.max(F.struct("k", "comp")).alias("top"), F.count("*").alias("labels"), F.sum("k").alias("members")).where("labels > 1")
+    torn = written(torn.select("grp", F.col("top.comp").alias("most"), "members", (F.col("members") - F.col("top.k")).alias("leads")), "torn")
+    return written(placed.join(torn, "grp").select("grp", "id", "comp", (F.col("comp") != F.col("most")).alias("lead")), "apart"), torn
 
 
-def _labelled(rows: DataFrame, edges: DataFrame, label: str) -> DataFrame:
-    """rows with the column label: the component of id under edges, or id itself."""
-    return rows.join(components(edges).withColumnRenamed("root", "_root"), "id", "left").withColumn(label, F.coalesce("_root", "id")).drop("_root")
+def _labelled(rows: DataFrame, roots: DataFrame, label: str) -> DataFrame:
+    """rows with the column label: the root of id, or id itself."""
+    return rows.join(roots.withColumnRenamed("root", "_root"), "id", "left").withColumn(label, F.coalesce("_root", "id")).drop("_root")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """Rows (id, n_shingles, component_id, kept): kept marks one document of each group."""
+    """Rows (id, n_shingles, component_id, kept), one for each row of docs: kept marks the document of a group that stays."""
     prepare(docs.sparkSession)
-    signed = written(sign(docs, id_col, text_col, words).dropDuplicates(["id"]), "signed")
-    some = signed.where(F.col("id").isNotNull() & F.col("setkey").isNotNull())
-    same = some.groupBy("setkey").agg(F.min("id").alias("rep"), F.count("*").alias("c")).where("c > 1").drop("c")
-    classes = written(some.select("id", "setkey").join(same, "setkey").select("id", "rep"), "classes")
-    copies = classes.where("id <> rep").select("id")
-    reps = written(some.join(copies, "id", "left_anti").select("id", "n", "sig", "bands"), "reps")
+    signed = written(sign(docs, id_col, text_col, words), "signed")
+    chosen = signed.where(F.col("id").isNotNull() & F.col("setkey").isNotNull()).groupBy("id").agg(F.min(F.struct("setkey", "n")).alias("s"))
+    chosen = written(chosen.select("id", "s.setkey", "s.n"), "chosen")
+    same = written(chosen.groupBy("setkey").agg(F.min("id").alias("rep"), F.count("*").alias("c")).where("c > 1").drop("c"), "same")
+    classes = written(chosen.join(same, "setkey", "left").select("id", "n", F.coalesce("rep", "id").alias("rep"), "setkey"), "classes")
+    leaders = classes.where("id = rep").select("id", "setkey")
+    reps = written(signed.join(leaders, ["id", "setkey"], "left_semi").dropDuplicates(["id", "setkey"]), "reps")
+    drop(chosen, same)
     banded = reps.select("id", F.explode("bands").alias("key"))
     buckets = banded.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("center"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("who"))
     buckets = buckets.where("c > 1").groupBy("center", "c", "who").agg(F.min("key").alias("key"))  # buckets with the same members count once
-    members = written(banded.join(buckets.select("key", "center", "c"), "key"), "members")
-    light = reps.select("id", "n", "sig")
+    buckets = written(buckets.select("key", "center"), "buckets")
+    members = written(banded.join(buckets, "key"), "members")
+    light, keys = reps.select("id", "n", "sig"), reps.select("id", "setkey")
     # 1. near signatures: every member of a bucket with its center, then what is still apart within a bucket
     first = written(_near(members.where("id <> center").select(F.col("center").alias("a"), F.col("id").alias("b")).distinct(), light, percent), "near")
-    edges = first.select(F.col("a").alias("u"), F.col("b").alias("v"))
-    apart = _stragglers(_labelled(members.select(F.col("key").alias("grp"), "id"), edges, "comp"))
-    more = written(_within(apart.join(light, "id"), percent, SIG_BLOCK, False), "near")
+    stars = forest(first.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    apart, torn = _stragglers(_labelled(members.select(F.col("key").alias("grp"), "id"), stars, "comp"))
+    more = written(_within(apart.join(light, "id"), torn, percent, SIG_BLOCK, False), "near")
+    near = _merged(stars, more)
+    drop(buckets, members, apart, torn)
     # 2. exact links: every near pair with a center, then what is still apart within a near component
-    links = written(verify(first, docs, id_col, text_col, words, percent), "links")
-    near = components(edges.unionByName(more)).select("id", F.col("root").alias("grp"))
-    apart = written(_stragglers(_labelled(near, links, "comp")), "apart")
-    sets = _sets(docs, apart.select("id"), id_col, text_col, words)
-    links = links.unionByName(written(_within(apart.join(light, "id").join(sets, "id"), percent, SET_BLOCK, True), "links"))
-    roots = components(links)
-    out = signed.select("id", "n").join(classes, "id", "left").withColumn("rep", F.coalesce("rep", "id"))
-    out = out.join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left")
-    comp = F.coalesce("root", "rep")
-    return out.select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), comp.alias("component_id"), F.coalesce(F.col("id") == comp, F.lit(True)).alias("kept")
-    )
+    roots = forest(verify(first, keys, docs, id_col, text_col, words, percent))
+    placed = near.select("id", F.col("root").alias("grp")).unionByName(near.select(F.col("root").alias("id"), F.col("root").alias("grp")).distinct())
+    apart, torn = _stragglers(_labelled(placed, roots, "comp"))
+    sets = _sets(docs, keys.join(apart.select("id"), "id", "left_semi"), id_col, text_col, words)
+    links = written(_within(apart.join(light, "id").join(sets, "id"), torn, percent, SET_BLOCK, True), "links")
+    roots = _merged(roots, links)
+    drop(first, more, apart, torn, reps)
+    known = classes.select(F.col("id").alias("_id"), F.col("n").alias("_n"), "rep").join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left")
+    known = written(known.select("_id", "_n", F.coalesce("root", "rep").alias("_comp")), "known")
+    drop(classes)
+    out = signed.select("id", "n").join(known, F.col("id") == F.col("_id"), "left")
+    comp = F.coalesce("_comp", "id")
+    return out.select(F.col("id").alias(id_col), F.coalesce("_n", "n").alias("n_shingles"), comp.alias("component_id"), F.coalesce(F.col("id") == comp, F.lit(True)).alias("kept"))
+
+
+def _merged(roots: DataFrame, more: DataFrame) -> DataFrame:
+    """Components of a graph whose components are roots when the edges more are added."""
+    return roots if more.isEmpty() else forest(roots.select(F.col("id").alias("u"), F.col("root").alias("v")).unionByName(more))
 
 
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """docs without the rows that near_duplicates does not keep; what goes is broadcast only if it is bounded."""
-    gone = written(near_duplicates(docs, id_col, text_col, words, percent).where(~F.col("kept")).select(id_col), "gone")
-    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, id_col, "left_anti").select(*docs.columns)
+    """docs without the rows that near_duplicates does not keep, and with one of the rows of an id (the least text
+    stays; rows without an id all stay). What goes is broadcast only if it is bounded."""
+    found = near_duplicates(docs, id_col, text_col, words, percent).where(F.col(id_col).isNotNull())
+    gone = written(found.where(~F.col("kept")).select(id_col).distinct(), "gone")
+    left = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, id_col, "left_anti").select(*docs.columns)
+    count, nth = fresh(docs, "_count"), fresh(docs, "_nth")
+    many = docs.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count("*").alias(count)).where(F.col(count) > 1)
+    many = written(many.select(id_col), "repeated")
+    if many.isEmpty():
+        return left
+    others = [c for c, kind in docs.dtypes if c not in (id_col, text_col) and "map<" not in kind]
+    order = Window.partitionBy(id_col).orderBy(*[F.col(c) for c in [text_col, *others]])
+    one = left.join(many, id_col, "left_semi").withColumn(nth, F.row_number().over(order)).where(F.col(nth) == 1).select(*docs.columns)
+    return left.join(many, id_col, "left_anti").select(*docs.columns).unionByName(one)
+
+

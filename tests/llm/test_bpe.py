@@ -41,3 +41,22 @@ def test_round_trip(odd_docs, no_docs, encoding):
         assert r["ids_sha256"] == hashlib.sha256(" ".join(map(str, want)).encode()).hexdigest()
         assert r["decoded_sha256"] == hashlib.sha256(source[r["doc_id"]].encode()).hexdigest()
     assert round_trip(no_docs, PATH, public_tokenizers.PATTERN).count() == 0
+
+
+def test_decoding_follows_the_ids(encoding, monkeypatch):
+    c = Codec(PATH, public_tokenizers.PATTERN)
+    coded = c.encode(texts())
+    assert c.decode([ids for _, ids in coded]) == [t.encode() for t in texts()]
+    monkeypatch.setattr("plumbline.llm.bpe.DECODE_TOKENS", 7)  # sequences that go through several queries
+    assert c.decode([ids for _, ids in coded]) == [t.encode() for t in texts()]
+    for _, ids in coded:
+        if len(ids):
+            wrong = ids.copy()
+            wrong[len(ids) // 2] = 1000 if ids[len(ids) // 2] != 1000 else 1001
+            assert c.decode([wrong])[0] != c.decode([ids])[0] and c.decode([wrong])[0] == encoding.decode_bytes(wrong.tolist())
+
+
+def test_queries_of_few_rows_give_the_same(monkeypatch):
+    want = [line for line, _ in Codec(PATH, public_tokenizers.PATTERN).encode(texts())]
+    monkeypatch.setattr("plumbline.llm.bpe.QUERY_ROWS", 500)
+    assert [line for line, _ in Codec(PATH, public_tokenizers.PATTERN).encode(texts())] == want

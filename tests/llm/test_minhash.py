@@ -90,3 +90,31 @@ def test_odd_rows(odd_docs, no_docs):
     assert got[2]["n_shingles"] == 0 and got[2]["kept"] and got[None]["component_id"] is None and got[5]["n_shingles"] == 1
     assert M.near_duplicates(no_docs).count() == 0
     assert M.without_near_duplicates(odd_docs).columns == odd_docs.columns
+
+
+def test_rows_without_or_with_one_id(spark):
+    rows = [(None, "a b c d e f"), (None, "g h i j k l"), (5, "one two three"), (5, "one two four"), (5, "one two three"), (6, "one two four"), (7, "x y"), (9, ""), (9, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = M.near_duplicates(df, words=2).collect()
+    assert len(got) == len(rows)
+    assert sorted(r["n_shingles"] for r in got if r["doc_id"] is None) == [5, 5] and all(r["kept"] and r["component_id"] is None for r in got if r["doc_id"] is None)
+    assert {(r["n_shingles"], r["component_id"], r["kept"]) for r in got if r["doc_id"] == 5} == {(2, 5, True)}  # one document, whichever text counts
+    kept = M.without_near_duplicates(df, words=2).collect()
+    assert sorted(r["doc_id"] or 0 for r in kept)[:3] == [0, 0, 5] and sum(r["doc_id"] == 5 for r in kept) == 1 and sum(r["doc_id"] == 9 for r in kept) == 1
+
+
+def test_long_words_that_a_polynomial_confuses(spark):
+    x = ""
+    for i in range(4096):
+        x += "ab"[bin(i).count("1") % 2]
+    y = x.translate(str.maketrans("ab", "ba"))
+    for n in (64, 1024, 2048, 4096):
+        got = M.near_duplicates(spark.createDataFrame([(1, x[:n]), (2, y[:n])], "doc_id long, text string"), words=2).collect()
+        assert all(r["kept"] for r in got)
+
+
+def test_stars_of_a_long_path_and_a_hub(spark):
+    n = 500
+    edges = [(i, i + 1) for i in range(n)] + [(10_000, 10_000 + i) for i in range(1, 300)] + [(7, 7)]
+    got = {r["id"]: r["root"] for r in components(spark.createDataFrame(edges, "u long, v long").repartition(8)).collect()}
+    assert got == {i: 0 for i in range(1, n + 1)} | {10_000 + i: 10_000 for i in range(300)} | {0: 0, 7: 0}
