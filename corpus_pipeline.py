@@ -11,19 +11,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import bpe, decontam, langid, linededup, minhash
-from plumbline.llm.common import written
+from plumbline.llm.common import drop, fresh_prefix, written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go; the others carry the language identified."""
-    found = langid.identify(docs, langid.fit(docs), keep=tuple(docs.columns), prefix="_lid_").where(~F.col("_lid_rejected"))
-    return found.select(*[F.col("_lid_lang_pred").alias("lang") if c == "lang" else c for c in docs.columns])
+    found = langid.identify(docs, langid.fit(docs), keep=tuple(docs.columns), prefix=(prefix := fresh_prefix(docs))).where(~F.col(f"{prefix}rejected"))
+    return found.select(*[F.col(f"{prefix}lang_pred").alias("lang") if c == "lang" else c for c in docs.columns])
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Boilerplate lines of a source go, and documents that consist of nothing else."""
+    """Boilerplate lines of a source go, and documents that consist of nothing else but white space."""
     cleaned = linededup.drop_lines(docs, "source", "text", ratio=0.1, min_pages=5)
-    cleaned = cleaned.where((F.col("_n_dropped") == 0) | (F.trim("text") != ""))
+    cleaned = cleaned.where((F.col(cleaned.columns[-1]) == 0) | F.col("text").rlike(r"\S"))
     return cleaned.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
 
@@ -35,7 +35,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of the benchmark go."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
-    return decontam.matches(docs, benchmark).where(F.size("_matches") == 0).drop("_matches")
+    found = decontam.matches(docs, benchmark)
+    return found.where(F.size(found.columns[-1]) == 0).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +60,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = written(docs, f"stage{i}")
+            drop(before)
     return docs
