@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .labels import recover_labels
 from .text import strip
@@ -194,3 +195,12 @@ def append_last(passages: Column, parsed: Column, n: int = 3) -> Column:
     """passages and the last n parsed ones (all, if fewer)."""
     tail = F.when(F.size(parsed) > n, F.slice(parsed, -n, n)).otherwise(parsed)
     return F.concat(F.coalesce(passages, F.slice(parsed, 1, 0)), tail)
+
+
+def as_passages(parsed: Column, element: T.DataType, kind: str) -> Column:
+    """Parsed passages in the element type of an item's passages: text alone, or a struct with the fields it has."""
+    if not isinstance(element, T.StructType):
+        return F.transform(parsed, lambda p: p["content"].cast(element))
+    source = {"content": "content", "type": "type", PARTNERS[kind]: "partner"}
+    field = lambda p, f: (p[source[f.name]] if f.name in source else F.lit(None)).cast(f.dataType).alias(f.name)
+    return F.transform(parsed, lambda p: F.struct(*[field(p, f) for f in element.fields]))

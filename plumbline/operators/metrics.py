@@ -165,6 +165,13 @@ def label_confusion(df: DataFrame, keys: Sequence[str], types: Column, predicted
     return rows.groupBy(*keys).agg(F.array(*cells).alias("cells")).select(*keys, F.explode("cells").alias("c")).select(*keys, "c.*")
 
 
+def label_missing(df: DataFrame, keys: Sequence[str], types: Column, predicted: Sequence[Column]) -> DataFrame:
+    """Rows (keys, expected, missing, total): passages by expected label, and those of them without a known prediction,
+    which label_confusion leaves out."""
+    said = F.coalesce(F.col("predicted").isin(*[x.lower() for x in L.LABELS]), F.lit(False))
+    return _label_pairs(df, keys, types, predicted).groupBy(*keys, "expected").agg(F.count_if(~said).alias("missing"), F.count("*").alias("total"))
+
+
 def majority_vote(df: DataFrame, keys: Sequence[str], answer: Column, confidence: Column, order: Column) -> DataFrame:
     """The answer of the largest group of equal normal forms: ties by mean confidence, then by first place."""
     rows = df.select(*keys, answer.alias("answer"), confidence.alias("conf"), order.alias("place"), T.normalize(answer).alias("norm")).where("answer is not null")
@@ -175,18 +182,35 @@ def majority_vote(df: DataFrame, keys: Sequence[str], answer: Column, confidence
     return groups.groupBy(*keys).agg(best.alias("best")).select(*keys, "best.*")
 
 
-#: Metric name to builder over the standard columns answer, confidence, correct, types, passage_k_label.
-METRICS: dict[str, Callable[[DataFrame, Sequence[str]], DataFrame]] = {
-    "accuracy": lambda d, k: accuracy(d, k, F.col("correct")),
-    "valid_sample_portion": lambda d, k: valid_portion(d, k, F.col("answer")),
-    "ave_conf": lambda d, k: average_confidence(d, k, F.col("confidence")),
-    "ece": lambda d, k: ece(d, k, F.col("confidence"), F.col("correct")),
-    "ece_adaptive": lambda d, k: ece(d, k, F.col("confidence"), F.col("correct"), True).withColumnRenamed("ece", "ece_adaptive"),
-    "auroc": lambda d, k: auroc(d, k, F.col("confidence"), F.col("correct")),
-    "auprc": lambda d, k: auprc(d, k, F.col("confidence"), F.col("correct")),
-    "label_accuracy": lambda d, k: label_accuracy(d, k, F.col("types"), _label_columns()),
-    "label_extraction_portion": lambda d, k: label_portion(d, k, _label_columns()),
+def _by_group(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
+    """The three groups' values as one array of (grp, value), in the order of GROUPS."""
+    cells = [F.struct(F.lit(g).alias("grp"), F.max(F.when(F.col("grp") == g, F.col(value))).alias("value")) for g in GROUPS]
+    return df.groupBy(*keys).agg(F.array(*cells).alias(name))
+
+
+#: Metric name to builder over the standard columns answer, confidence, correct, types, passage_k_label; the third
+#: argument chooses deciles as bins where a metric has bins.
+METRICS: dict[str, Callable[..., DataFrame]] = {
+    "accuracy": lambda d, k, adaptive=False: accuracy(d, k, F.col("correct")),
+    "valid_sample_portion": lambda d, k, adaptive=False: valid_portion(d, k, F.col("answer")),
+    "ave_conf": lambda d, k, adaptive=False: average_confidence(d, k, F.col("confidence")),
+    "ece": lambda d, k, adaptive=False: ece(d, k, F.col("confidence"), F.col("correct"), adaptive),
+    "ece_adaptive": lambda d, k, adaptive=True: ece(d, k, F.col("confidence"), F.col("correct"), True).withColumnRenamed("ece", "ece_adaptive"),
+    "auroc": lambda d, k, adaptive=False: auroc(d, k, F.col("confidence"), F.col("correct")),
+    "auprc": lambda d, k, adaptive=False: auprc(d, k, F.col("confidence"), F.col("correct")),
+    "reliability_diagram": lambda d, k, adaptive=False: reliability(d, k, F.col("confidence"), F.col("correct")).withColumnRenamed("bins", "reliability_diagram"),
+    "ece_by_group": lambda d, k, adaptive=False: _by_group(ece_by_group(d, k, F.col("confidence"), F.col("correct"), _group(), adaptive), k, "ece", "ece_by_group"),
+    "accuracy_by_group": lambda d, k, adaptive=False: _by_group(accuracy_by_group(d, k, F.col("correct"), _group()), k, "accuracy", "accuracy_by_group"),
+    "label_accuracy": lambda d, k, adaptive=False: label_accuracy(d, k, F.col("types"), _label_columns()),
+    "label_extraction_portion": lambda d, k, adaptive=False: label_portion(d, k, _label_columns()),
 }
+#: Metrics that need a confidence, and those that need the passages' types.
+_CONFIDENT = {"ave_conf", "ece", "ece_adaptive", "auroc", "auprc", "reliability_diagram", "ece_by_group"}
+_TYPED = {"ece_by_group", "accuracy_by_group", "label_accuracy"}
+
+
+def _group() -> Column:
+    return L.evaluation_group(F.col("types"))
 
 
 def _label_columns() -> list[Column]:
@@ -203,16 +227,20 @@ def detect(df: DataFrame) -> list[str]:
     return out + ["ave_conf", "ece", "auroc", "auprc"] * bool(row["c"])
 
 
-def evaluate(df: DataFrame, keys: Sequence[str] = ("model", "task"), metrics: Sequence[str] | None = None, places: int | None = None) -> DataFrame:
-    """One row for each group with a column for each metric; raises on unknown names and missing fields."""
+def evaluate(df: DataFrame, keys: Sequence[str] = ("model", "task"), metrics: Sequence[str] | None = None, places: int | None = None, adaptive: bool = False) -> DataFrame:
+    """One row for each group with a column for each metric; raises on unknown names and missing fields.
+
+    adaptive: ece and ece_by_group take deciles of the confidences as bins.
+    """
     metrics = list(metrics) if metrics is not None else detect(df)
     if unknown := [m for m in metrics if m not in METRICS]:
         raise ValueError(f"unknown metrics: {unknown}")
-    if missing := [c for c in ("answer", "correct", *(["confidence"] if {"ave_conf", "ece", "auroc", "auprc"} & set(metrics) else [])) if c not in df.columns]:
+    needed = ["answer", "correct", *["confidence"] * bool(_CONFIDENT & set(metrics)), *["types"] * bool(_TYPED & set(metrics))]
+    if missing := [c for c in needed if c not in df.columns]:
         raise ValueError(f"missing fields: {missing}")
     out = None
     for m in metrics:
-        part = METRICS[m](df, list(keys))
+        part = METRICS[m](df, list(keys), adaptive)
         if places is not None and dict(part.dtypes)[m] == "double":
             part = part.withColumn(m, F.bround(m, places))
         out = part if out is None else (out.join(part, list(keys), "left") if keys else out.crossJoin(F.broadcast(part)))

@@ -330,6 +330,12 @@ def label_confusion(spark: SparkSession, d: str) -> DataFrame:
     return M.label_confusion(view(spark, d, "resp"), [], _types(), _said())
 
 
+@query("label_missing", f"""
+select lower(e) as expected, count(*) filter (p is null or lower(p) not in ('highly relevant', 'relevant', 'irrelevant')) as missing, count(*) as total from {_PAIRS} c where e is not null group by 1""")
+def label_missing(spark: SparkSession, d: str) -> DataFrame:
+    return M.label_missing(view(spark, d, "resp"), [], _types(), _said())
+
+
 @query("label_extraction_portion", f"""
 select s as model, format('{{}}/{{}} ({{:.1f}}%)', sum(n)::bigint, 3 * count(*), 100.0::double * sum(n) / (3 * count(*))) as label_extraction_portion from (
   select s, (l1 <> '')::int + (l2 <> '')::int + (case when prompt % 3 = 0 then '' else l3 end <> '')::int as n from {duck('resp')} r) x group by s""")
@@ -380,6 +386,11 @@ def extract_unmatched_empty100(spark: SparkSession, d: str) -> DataFrame:
     return E.extract(view(spark, d, "resp").select("prompt", "s", "text"), E.SPECS["ckpt_test"], unmatched="empty_100").select("prompt", "s", "answer", "confidence")
 
 
+@query("extract_unmatched_empty0", f"select prompt, s, case when m then answer else '' end as answer, case when m then confidence else '0' end as confidence from (select prompt, s, {_HAS} as m, {_GOT} from {duck('resp')} r) x")
+def extract_unmatched_empty0(spark: SparkSession, d: str) -> DataFrame:
+    return E.extract(view(spark, d, "resp").select("prompt", "s", "text"), E.SPECS["ckpt_test"], unmatched="empty_0").select("prompt", "s", "answer", "confidence")
+
+
 @query("extract_base", f"select prompt, s, regexp_extract(text, '(?i)final answer:\\s*([^\\n]*)', 1) as answer, regexp_extract(text, '(?i)confidence:\\s*(\\d+)', 1) as confidence from {duck('resp')} r where contains(text, 'Final Answer:') and contains(text, 'Confidence: ')")
 def extract_base(spark: SparkSession, d: str) -> DataFrame:
     return E.extract(view(spark, d, "resp").select("prompt", "s", "text"), E.SPECS["base"]).select("prompt", "s", "answer", "confidence")
@@ -575,7 +586,9 @@ def question_types(spark: SparkSession, d: str) -> DataFrame:
 @query("noise_prompts", f"""
 select prompt, concat('Question: q', prompt::varchar, chr(10), 'True answer: ', t1, chr(10), 'Write three passages of ', sl, ' sentences and ', wl,
   ' words each. Put each on a line as `Passage N: text` that has nothing to do with the question, and below it `Topic N: topic`.') as shown
-from (select *, case when n <= 0 then '10-50' when n < 30 then concat('10-', (case when n - 20 < 10 then 50 else n + 20 end)::bigint::varchar) end as wl,
+from (select *, case when n <= 0 then '10-50' else concat(
+    (round_even((case when n + 20 > 220 then 180 when n - 20 < 10 then 10 else n - 20 end) / 10.0::double, 0) * 10)::bigint::varchar, '-',
+    (round_even(least(case when n - 20 < 10 then 50 else n + 20 end, 220) / 10.0::double, 0) * 10)::bigint::varchar) end as wl,
   concat(greatest(least(greatest(k, 1), 8) - 1, 1)::varchar, '-', (least(greatest(k, 1), 8) + 1)::varchar) as sl
 from (select *, len(list_filter(string_split_regex(c1, '\\s+'), lambda x: x <> '')) as n, len(list_filter(string_split_regex(c1, '[.!?]+'), lambda x: regexp_replace(x, '\\s', '', 'g') <> '')) as k from {duck('prompts')} g) a) b""")
 def noise_prompts(spark: SparkSession, d: str) -> DataFrame:
@@ -612,8 +625,8 @@ def task_grid(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("evaluate_responses", f"""
-select s as model, avg((answer = 'alpha river')::int::double) as accuracy, avg(try_cast(confidence as double) / 100) as ave_conf from (
-  select s, {_GOT} from {duck('resp')} r where {_HAS} and prompt % 101 <> 0) x where not confidence in ('1', '0') group by s""")
+select s as model, avg((answer = 'alpha river')::int::double) as accuracy, avg(case when u > 1 then u / 100 else u end) as ave_conf from (
+  select s, answer, try_cast(confidence as double) as u from (select s, {_GOT} from {duck('resp')} r where {_HAS}) x) y group by s""")
 def evaluate_responses(spark: SparkSession, d: str) -> DataFrame:
     """From responses to metrics in one plan."""
     from .workflows import evaluate
@@ -637,3 +650,22 @@ def curated_triples(spark: SparkSession, d: str) -> DataFrame:
     items = view(spark, d, "prompts").select(_c("prompt").alias("id"), _c("prompt").cast("string").alias("question"), _types().alias("types"), F.array("c1", "c2", "c3").alias("contents"), F.array(F.lit("alpha river")).alias("truths"))
     triples, _ = curate(responses, items, "Do.", "Q {question}", tolerate=True)
     return triples.select("model", "id", "grp", "instruction", "input")
+
+
+@query("evaluate_nested", f"""
+with g as (select s, correct, u, pc, {_GROUP.format('relevant_irrelevant', 'null')} as grp from (
+    select s, t1, t2, t3, answer = 'alpha river' as correct, least(conf / 100.0::double, 1) as u0, case when conf > 1 then conf / 100.0::double else conf::double end as u,
+      case when conf > 1 then conf::double else conf * 100.0::double end as pc from {duck('resp')} r) x),
+b as (select s, list({{'bin': bin, 'correct': correct, 'total': total}} order by bin) as reliability_diagram from (
+    select k.s, n.bin, coalesce(sum(g.correct::int), 0)::bigint as correct, count(g.s) as total from (select distinct s from g) k cross join (select unnest(range(10))::int as bin) n
+    left join g on g.s = k.s and least(floor(g.pc / 10), 9)::int = n.bin group by 1, 2) y group by s),
+a as (select s, list({{'grp': grp, 'value': v}} order by o) as accuracy_by_group from (
+    select k.s, n.grp, n.o, avg(g.correct::int::double) as v from (select distinct s from g) k
+    cross join (values ('counterfactual', 0), ('consistent', 1), ('relevant_irrelevant', 2)) n(grp, o) left join g on g.s = k.s and g.grp = n.grp group by 1, 2, 3) y group by s)
+select b.s as model, reliability_diagram::json::varchar as reliability_diagram, accuracy_by_group::json::varchar as accuracy_by_group from b join a using (s)""".replace("least(conf / 100.0::double, 1) as u0, ", ""))
+def evaluate_nested(spark: SparkSession, d: str) -> DataFrame:
+    """Metrics whose value is a table of its own, as JSON."""
+    rows = view(spark, d, "resp").select(_c("s").alias("model"), "answer", _types().alias("types"), F.concat(_c("conf").cast("string"), F.lit("%")).alias("confidence"), (_c("answer") == "alpha river").alias("correct"))
+    out = M.evaluate(rows, ["model"], ["reliability_diagram", "accuracy_by_group"])
+    keep = {"ignoreNullFields": "false"}
+    return out.select("model", F.to_json("reliability_diagram", keep).alias("reliability_diagram"), F.to_json("accuracy_by_group", keep).alias("accuracy_by_group"))

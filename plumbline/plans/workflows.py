@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -48,12 +48,15 @@ def task_grid(datasets: DataFrame, tasks: Sequence[str]) -> DataFrame:
 
 
 def generate_noise(items: DataFrame, task: str, responder: Responder, **limits) -> DataFrame:
-    """items with passages extended by the last three passages of one response each; status tells of failures."""
+    """items with passages extended by the last three passages of one response each, which stand in generated too;
+    status tells of failures."""
     kind = task.removeprefix("gen_")
     shown = items.withColumn("prompt", P.noise_prompt(task, F.col("question"), F.col("gt_answer"), F.coalesce("gt_passage", F.lit(""))))
     got = respond(shown.select("id", "prompt"), responder, **limits).select("id", "text", "status")
     rows = items.join(got, "id", "left").withColumn("_new", E.generated_passages(F.coalesce("text", F.lit("")), kind))
     kept = rows.withColumn("generated", F.slice("_new", F.greatest(F.size("_new") - 2, F.lit(1)), 3))
+    if "passages" in items.columns:
+        kept = kept.withColumn("passages", E.append_last(F.col("passages"), E.as_passages(F.col("_new"), items.schema["passages"].dataType.elementType, kind)))
     return kept.drop("_new", "text")
 
 
@@ -63,11 +66,14 @@ def ask(items: DataFrame, task: str, responder: Responder, facts: Column, prompt
     return respond(replicas(shown, samples), responder, **limits)
 
 
-def evaluate(responses: DataFrame, items: DataFrame, task: str, prompt_type: str | None = None, unmatched: str = "skip", keys: Sequence[str] = ("model",), metrics: Sequence[str] | None = None) -> DataFrame:
+def evaluate(
+    responses: DataFrame, items: DataFrame, task: str, prompt_type: str | None = None, unmatched: str = "skip", keys: Sequence[str] = ("model",),
+    metrics: Sequence[str] | None = None, judge: Callable[[Column, Column], Column] = T.judge, adaptive: bool = False,
+) -> DataFrame:
     """Metrics of responses (id, text and the keys) against items (id, truths, and types if labels are measured)."""
     found = E.extract(responses, E.spec_for(task, prompt_type), unmatched=unmatched)
-    judged = found.join(items, "id").withColumn("correct", F.when(F.col("truths").isNotNull(), T.judge(F.col("answer"), F.col("truths"))))
-    return M.evaluate(judged, list(keys), metrics)
+    judged = found.join(items, "id").withColumn("correct", F.when(F.col("truths").isNotNull(), judge(F.col("answer"), F.col("truths"))))
+    return M.evaluate(judged, list(keys), metrics, adaptive=adaptive)
 
 
 def curate(responses: DataFrame, items: DataFrame, instruction: str, template: str, share: float = 0.0, tolerate: bool = False, policy: str = "reference", seed: int = 42) -> tuple[DataFrame, DataFrame]:

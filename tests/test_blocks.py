@@ -1,72 +1,61 @@
-"""Label blocks against a plain reading of the rules, on generated texts."""
+"""Label blocks: hand-made texts with their labels, and properties that hold for any text."""
 
-import random
-import re
+import itertools
 
+import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from plumbline.functions import labels as L
 
-TITLE = "passage classifications"
-ITEM = re.compile(r"\d+\.\s*([^\d\n]+?)(?=\s*\d+\.|\s*(?:\n|answer|confidence|##|$))", re.I)
-
-
-def canon(x):
-    x = x.strip().strip("#").strip().lower()
-    for word, label in (("highly", "Highly Relevant"), ("irrelevant", "Irrelevant"), ("relevant", "Relevant")):
-        if word in x:
-            return label
-    return None
-
-
-def inline(x):
-    return [c for c in map(canon, ITEM.findall(x)) if c]
-
-
-def block(text):
-    at = text.lower().find(TITLE)
-    if at < 0:
-        return None
-    found = []
-    for line in map(str.strip, text[at:].splitlines()):
-        low = line.lower()
-        if TITLE in low:
-            found = (found + inline(line.partition(":")[2].strip()))[:3]
-        elif line.startswith("##") or (":" in line and ("answer" in low or "confidence" in low)):
-            break
-        elif m := re.match(r"\d+\.\s*(.+?)\s*$", line):
-            if canon(m[1]) is None:
-                if not found:
-                    return None
-                break
-            found.append(canon(m[1]))
-        if len(found) == 3:
-            return found
-    m = re.search(r"passage\s+classifications\s*:?\s*(.+?)(?=\n\s*(?:answer|confidence|##|$))", text.lower(), re.S)
-    found = inline(m[1])[:3] if m else found
-    return found if len(found) == 3 else None
-
-
-def texts(n):
-    r = random.Random(3)
-    lines = ["Passage Classifications:", "passage classifications: 1. Relevant 2. irrelevant", "PASSAGE CLASSIFICATIONS", "1. Highly Relevant", "2. relevant", "3. Irrelevant", "  2. ##Irrelevant##",
-             "1. odd", "## end", "Answer: x", "Confidence: 50%", "free text", "", "Final Answer: y", "1. Relevant 2. Irrelevant 3. Highly relevant", "4. highly relevant"]
-    return ["\n".join(r.choice(lines) for _ in range(r.randrange(1, 9))) for _ in range(n)]
-
-
-def test_block_reading(spark):
-    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts(600))], "i int, t string")
-    for r in rows.select("t", L.label_block(F.col("t")).alias("got")).collect():
-        assert r["got"] == block(r["t"]), r["t"]
-
-
-def test_normal_blocks_read_the_same(spark):
-    rows = spark.createDataFrame([(t,) for t in texts(300)], "t string").withColumn("n", L.normal_block(F.col("t")))
-    for r in rows.select("t", "n").collect():
-        if block(r["t"]) is None:
-            assert r["n"] == r["t"]
+H, R, N = L.LABELS
+TEXTS = [
+    ("Passage Classifications:\n1. Highly Relevant\n2. Relevant\n3. Irrelevant\nAnswer: x", [H, R, N]),
+    ("Step 1: read\npassage classifications: 1. relevant 2. irrelevant 3. highly relevant\nAnswer: x", [R, N, H]),
+    ("Passage Classifications:\n1. ##Relevant##\n2. ##Irrelevant##\n3. ##Highly Relevant##", [R, N, H]),
+    ("PASSAGE CLASSIFICATIONS\n  1. Relevant  \n\n a remark\n2. IRRELEVANT\n3. relevant\nConfidence: 50%", [R, N, R]),
+    ("1. Irrelevant\n2. Irrelevant\n3. Irrelevant\nPassage Classifications:\n1. Relevant\n2. Relevant\n3. Highly relevant", [R, R, H]),
+    ("Passage Classifications:\n1. Relevant\n2. Relevant\n3. Irrelevant\n4. Highly Relevant", [R, R, N]),
+    ("Passage Classifications:\n1. Relevant\n2. Irrelevant\nAnswer: x", None),
+    ("Passage Classifications:\n1. Relevant\nFinal Answer: x\n2. Relevant\n3. Relevant", None),
+    ("Passage Classifications:\n1. unsure\n2. Relevant\n3. Relevant\n4. Relevant", None),
+    ("Passage Classifications:\n## done\n1. Relevant\n2. Relevant\n3. Relevant", None),
+    ("1. Relevant\n2. Relevant\n3. Relevant", None),
+    ("", None),
+    (None, None),
+]
+
+
+def read(spark, texts):
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").withColumn("n", L.normal_block(F.col("t")))
+    got = rows.select("i", "n", L.label_block(F.col("t")).alias("a"), L.label_block(F.col("n")).alias("b")).orderBy("i").collect()
+    return [(r["a"], r["n"], r["b"]) for r in got]
+
+
+@pytest.mark.parametrize(("text", "labels"), TEXTS)
+def test_hand_made_texts(spark, text, labels):
+    assert read(spark, [text])[0][0] == labels
+
+
+def test_every_order_of_labels_is_kept(spark):
+    orders = list(itertools.product(L.LABELS, repeat=3))
+    texts = [f"before\nPassage Classifications:\n1. {a}\n2. {b}\n3. {c}\nAnswer: 1. {c} 2. {b}" for a, b, c in orders]
+    assert [a for a, _, _ in read(spark, texts)] == [list(x) for x in orders]
+
+
+LINES = st.sampled_from(["Passage Classifications:", "passage classifications: 1. Relevant 2. irrelevant", "1. Highly Relevant", "2. relevant", "3. Irrelevant", "  2. ##Irrelevant##",
+                         "1. odd", "## end", "Answer: x", "Confidence: 50%", "free text", "", "1. Relevant 2. Irrelevant 3. Highly relevant"])
+
+
+@settings(max_examples=3, deadline=None, suppress_health_check=list(HealthCheck))
+@given(bodies=st.lists(st.lists(LINES, min_size=1, max_size=9).map("\n".join), min_size=150, max_size=200))
+def test_properties(spark, bodies):
+    before = "some words\nof an introduction\n"
+    for t, (labels, normal, again), (same, moved, _) in zip(bodies, read(spark, bodies), read(spark, [before + t for t in bodies]), strict=True):
+        assert labels is None or (len(labels) == 3 and set(labels) <= set(L.LABELS)), t
+        assert same == labels and moved == before + normal, t  # what stands before a block has no part in it and stays
+        if labels is None:
+            assert normal == t
         else:
-            lines = r["n"].splitlines()
-            at = lines.index("Passage Classifications:")
-            assert lines[at + 1 : at + 4] == [f"{i}. {x}" for i, x in enumerate(block(r["t"]), 1)]
-            assert not any(x.strip().startswith("##") for x in lines[at + 4 :])
+            assert again == labels and "Passage Classifications:" in normal.splitlines(), t
