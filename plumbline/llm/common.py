@@ -61,9 +61,12 @@ def drop(*tables: DataFrame) -> None:
 def release_shuffles(spark: SparkSession) -> None:
     """Let Spark delete shuffle files of finished work now: it does so when the driver collects its garbage."""
     import gc
+    import time
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # plans that listeners hold go with the second collection
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def release_memory() -> None:

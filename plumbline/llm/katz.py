@@ -15,10 +15,11 @@ Scores are evaluated by tables, partitioned by hash, never held whole anywhere:
 
 1. A pass over the training texts counts words and bigrams in chunks (map-side), partitions sum them.
 2. Partitions of bigrams ask partitions of words for counts and weights; only distinct words of a partition travel.
-3. A pass over all texts sends each distinct word and bigram of a chunk once, with the documents that hold it, to
-   the partition that has its weight; sums by document come back.
-Words and bigrams so frequent that they are a fixed share of all tokens (at most HEAVY_WORDS and HEAVY_BIGRAMS of
-them) are scored where the text is, so that no partition gathers a row from every document for one word.
+3. SLICES passes, each over its share of all texts, send each distinct word and bigram of a chunk once, with the
+   documents that hold it, to the partition that has its weight; sums by document come back and are written. So no
+   more than a share of the postings is on disk at a time. Bigrams travel as pairs of words, not as hashes of pairs.
+Words and bigrams that are more than a share of all tokens (heavy() of them at most: in step with the partitions, up
+to HEAVY_MOST) are scored where the text is, so that no partition gathers a row from every document for one word.
 
 Defined cases: null and empty texts are one end token; repeated rows have equal scores; with an empty training set
 every word is unknown with probability 1; an empty table gives an empty result; null ids are kept and count as
@@ -27,6 +28,7 @@ training rows.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,20 +36,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, crc_mod, mix, prepare, release_memory, release_shuffles, text_buffer, word_hashes, written
+from .common import chunks, crc_mod, drop, mix, prepare, release_memory, release_shuffles, spread, text_buffer, word_hashes, written
 
 END, START = np.uint64(0x9D39247E33776D41), np.uint64(0x2AF7398005AAA5C7)
 #: Tokens of a chunk; characters of text for each partition of the tables.
-CHUNK_TOKENS, PART_CHARS = 1_600_000, 24_000_000
+CHUNK_TOKENS, PART_CHARS = 1_600_000, 18_000_000
+#: Words that travel as numbers, found in a sample of so many characters of text. This changes no result.
+COMMON_WORDS, COMMON_CHARS = 65_536, 20_000_000
 #: Bytes of payload in one Arrow batch.
 OUT_BYTES = 1 << 20
 #: Good-Turing discounts apply to counts up to this.
 MAX_DISCOUNTED = 5
-HEAVY_WORDS, HEAVY_BIGRAMS = 2_000, 20_000
+HEAVY_LEAST, HEAVY_MOST = 2_000, 200_000
+#: Passes of the last phase, each over its share of the documents.
+SLICES = 2
 _MIXER = np.uint64(0xD1342543DE82EF95)
-#: Bits cut off a bigram's 64-bit hash when its weight is asked for. A partition holds some 2^21 weights, so one
-#: lookup in 2^35 would find a wrong one.
-FINGERPRINT = np.uint64(8)
+
+
+def heavy(parts: int) -> int:
+    """How many words (and ten times as many bigrams, up to HEAVY_MOST) may be scored where the text is."""
+    return min(HEAVY_MOST, max(HEAVY_LEAST, 4 * parts))
 
 
 # --- packed columns -------------------------------------------------------------------------------------------
@@ -92,6 +100,18 @@ def unpack(raw: bytes) -> list[np.ndarray]:
     return out
 
 
+def fold(common: np.ndarray, words: np.ndarray, *arrays: np.ndarray) -> bytes:
+    """pack of sorted words and further arrays; words in the sorted array common go as their positions in it."""
+    at = np.minimum(np.searchsorted(common, words), max(len(common) - 1, 0))
+    hit = common[at] == words if len(common) else np.zeros(len(words), bool)
+    return pack(at[hit].astype(np.uint64), words[~hit], *arrays)
+
+
+def unfold(common: np.ndarray, raw: bytes) -> list[np.ndarray]:
+    at, rest, *arrays = unpack(raw)
+    return [np.sort(np.concatenate([common[at.astype(np.int64)], rest])), *arrays]
+
+
 def joined(words: np.ndarray, h: np.ndarray, w: np.ndarray) -> np.ndarray:
     """Sorted bigrams over these words as one ascending number each, which pack stores as gaps."""
     return (h.astype(np.int64) * len(words) + w).astype(np.uint64)
@@ -249,7 +269,21 @@ def spectrum(c: np.ndarray) -> list[int]:
 # --- the three phases -----------------------------------------------------------------------------------------
 
 
-def _count(train: DataFrame, parts: int, least: int) -> DataFrame:
+def _common(train: DataFrame, chars: int) -> np.ndarray:
+    """Up to COMMON_WORDS frequent words of a bounded sample, sorted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tokens, _, _ in token_chunks(batches, 1):
+            words, n = np.unique(tokens, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n.astype(np.int64))], names=["w", "n"])
+
+    drawn = F.pmod(F.xxhash64("id", F.octet_length("t")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    some = train.where(drawn < COMMON_CHARS / max(chars, COMMON_CHARS)).select("id", "t").mapInArrow(run, "w long, n long")
+    top = some.groupBy("w").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "w").limit(COMMON_WORDS).select("w").toArrow()
+    return np.sort(top.column("w").to_numpy().astype(np.int64).view(np.uint64))
+
+
+def _count(train: DataFrame, common: np.ndarray, parts: int, least: int) -> DataFrame:
     """Rows (part, kind, payload, stats): of kind 0 words and counts, of kind 1 bigrams seen at least `least` times."""
 
     def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,14 +294,14 @@ def _count(train: DataFrame, parts: int, least: int) -> DataFrame:
         n = np.bincount(c.tok, minlength=len(c.words))
         for p, at in by_part(c.word_parts(parts), parts):
             at = at[n[at] > 0]
-            yield p, 0, pack(c.words[at], n[at])
+            yield p, 0, fold(common, c.words[at], n[at])
         n = np.bincount(c.pair_of, minlength=len(c.h))
         for p, at in by_part(c.pair_parts(parts), parts):
             words, h, w = local(c.words, c.h[at], c.w[at])
-            yield p, 1, pack(words, joined(words, h, w), n[at])
+            yield p, 1, fold(common, words, joined(words, h, w), n[at])
 
     def summed(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        got = [unpack(x) for x in rows.column("payload").to_pylist()]
+        got = [unfold(common, x) for x in rows.column("payload").to_pylist()]
         if key[1].as_py() == 0:
             words, inv = np.unique(np.concatenate([g[0] for g in got]), return_inverse=True)
             n = np.bincount(inv, np.concatenate([g[1] for g in got]), len(words)).astype(np.int64)
@@ -299,7 +333,7 @@ _ASK = "part int, asks int, payload binary"
 
 def _weights(counted: DataFrame, st: Stats, parts: int) -> tuple[DataFrame, DataFrame]:
     """Word rows (part, payload: words, counts, log alpha) and bigram rows (part, payload: words, h and w, c, and by
-    word what gains() needs: its count, and as a history its log alpha and total)."""
+    word what gains() needs: its count, and as a history -log(total) - log alpha)."""
     words, pairs = (counted.where(F.col("kind") == k).select("part", "payload") for k in (0, 1))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -320,6 +354,7 @@ def _weights(counted: DataFrame, st: Stats, parts: int) -> tuple[DataFrame, Data
         return _table(right.column("asks").to_pylist(), right.column("part").to_pylist(), out)
 
     counts = written(words.groupBy("part").cogroup(pairs.mapInArrow(ask, _ASK).groupBy("part")).applyInArrow(reply, _ASK), "counts")
+    release_shuffles(counted.sparkSession)
 
     def masses(left: pa.Table, right: pa.Table) -> pa.Table:
         """Of each history in this partition of bigrams: discounted mass and P(.) of the words seen after it."""
@@ -348,13 +383,14 @@ def _weights(counted: DataFrame, st: Stats, parts: int) -> tuple[DataFrame, Data
         part, asks, out = [], [], []
         for p, g in zip(right.column("asks").to_pylist(), got, strict=True):
             at = np.searchsorted(hist, g[0])
-            part.append(p), asks.append(-1), out.append(pack(g[0], log_a[at], total[at]))
+            part.append(p), asks.append(-1), out.append(pack(g[0], -np.log10(total[at]) - log_a[at]))
         q = left.column("part")[0].as_py() if left.num_rows else right.column("part")[0].as_py()
         every = np.union1d(own, hist)
         part.append(q), asks.append(-2), out.append(pack(every, lookup(own, n, every, 0), lookup(hist, log_a, every, 0.0)))
         return _table(part, asks, out)
 
     weights = written(words.groupBy("part").cogroup(sums.groupBy("part")).applyInArrow(alphas, _ASK), "weights")
+    release_shuffles(counted.sparkSession)
 
     def histories(left: pa.Table, right: pa.Table) -> pa.Table:
         """Bigrams with what their words have: by word, as that is far less than a gain for each bigram."""
@@ -364,11 +400,13 @@ def _weights(counted: DataFrame, st: Stats, parts: int) -> tuple[DataFrame, Data
         kind = np.array(right.column("asks").to_pylist())
         n = _gather(own, right.filter(pa.array(kind >= 0)))
         back = right.filter(pa.array(kind < 0))
-        return _table([left.column("part")[0].as_py()], [0], [pack(own, pair, c, n, _gather(own, back, 0.0), _gather(own, back, 1.0, 2))])
+        return _table([left.column("part")[0].as_py()], [0], [pack(own, pair, c, n, _gather(own, back, 0.0))])
 
     right = counts.unionByName(weights.where("asks = -1")).groupBy("part")
     pair_rows = written(pairs.groupBy("part").cogroup(right).applyInArrow(histories, _ASK).select("part", "payload"), "gains")
-    return weights.where("asks = -2").select("part", "payload"), pair_rows
+    word_rows = written(weights.where("asks = -2").select("part", "payload"), "words")
+    drop(counts, weights)
+    return word_rows, pair_rows
 
 
 def lookup(keys: np.ndarray, values: np.ndarray, asked: np.ndarray, none) -> np.ndarray:
@@ -386,9 +424,9 @@ def _bigrams(rows: pa.Table) -> tuple[np.ndarray, ...]:
 
 def gains(g: list[np.ndarray], st: Stats) -> tuple[np.ndarray, ...]:
     """(history, word, count, gain) of the bigrams of one row: what a seen bigram's log probability has over its backoff."""
-    own, pair, c, n, log_a, total = g
+    own, pair, c, n, over = g
     h, w = split(own, pair)
-    return own[h], own[w], c, np.log10(discounted(c, st.d2) / total[h]) - log_a[h] - st.log_p1(n)[w]
+    return own[h], own[w], c, np.log10(discounted(c, st.d2)) + over[h] - st.log_p1(n)[w]
 
 
 def _gather(own: np.ndarray, rows: pa.Table, none=0, column: int = 1) -> np.ndarray:
@@ -423,16 +461,27 @@ def _heavy(rows: DataFrame, least: float, st: Stats | None = None) -> list[np.nd
     return [np.concatenate([np.zeros(0, k), *[g[i] for g in got]]) for i, k in enumerate(kinds)]
 
 
-def _score(docs: DataFrame, words: DataFrame, pairs: DataFrame, st: Stats, parts: int) -> DataFrame:
-    heavy_w = _heavy(words, max(1, st.tokens / HEAVY_WORDS))
-    order = np.argsort(heavy_w[0])
-    heavy_w = [x[order] for x in heavy_w]
-    heavy_h, heavy_n, heavy_gain = _heavy(pairs, max(2, st.tokens / HEAVY_BIGRAMS), st)
-    heavy_code = mix(heavy_h * _MIXER + heavy_n)
-    order = np.argsort(heavy_code)
-    heavy_code, heavy_gain = heavy_code[order], heavy_gain[order]
-    start_alpha = float(lookup(heavy_w[0], heavy_w[2], np.array([START]), 0.0)[0])
+class Heavy:
+    """What is scored where the text is: frequent words and bigrams, sorted, with their weights."""
+
+    def __init__(self, words: DataFrame, pairs: DataFrame, st: Stats, parts: int):
+        got = _heavy(words, max(1, st.tokens / heavy(parts)))
+        order = np.argsort(got[0])
+        self.words, self.count, self.log_a = (x[order] for x in got)
+        h, w, gain = _heavy(pairs, max(2, st.tokens / min(HEAVY_MOST, 10 * heavy(parts))), st)
+        order = np.lexsort((w, h))
+        self.own = np.unique(np.concatenate([h, w]))
+        self.pairs, self.gain = joined(self.own, np.searchsorted(self.own, h[order]), np.searchsorted(self.own, w[order])), gain[order]
+        self.start_alpha = float(lookup(self.words, self.log_a, np.array([START]), 0.0)[0])
+
 
+def pair_at(own: np.ndarray, words: np.ndarray, h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Bigrams over words as numbers over own words; of bigrams with other words a number that none has."""
+    at = lookup(own, np.arange(len(own)), words, -1).astype(np.int64)
+    return np.where((at[h] >= 0) & (at[w] >= 0), at[h] * len(own) + at[w], len(own) ** 2).astype(np.uint64)
+
+
+def _score(docs: DataFrame, words: DataFrame, pairs: DataFrame, st: Stats, hot: Heavy, common: np.ndarray, parts: int) -> DataFrame:
     def word_values(c: np.ndarray, log_a: np.ndarray) -> list[np.ndarray]:
         return [st.log_base(c), (c > 0).astype(np.float64), st.log_p1(c) + log_a]
 
@@ -448,33 +497,33 @@ def _score(docs: DataFrame, words: DataFrame, pairs: DataFrame, st: Stats, parts
     def scored_rows(c: Chunk, ids: list, chunk: int) -> Iterator[tuple]:
         n_docs = len(ids)
         first, doc, count = c.refs(c.tok, len(c.words))
-        known = lookup(heavy_w[0], np.ones(len(heavy_w[0]), bool), c.words, False) & (c.words != START)
+        known = lookup(hot.words, np.ones(len(hot.words), bool), c.words, False) & (c.words != START)
         size = np.diff(first)
         key = np.repeat(np.arange(len(c.words), dtype=np.int32), size)
         at = known[key]
-        values = word_values(lookup(heavy_w[0], heavy_w[1], c.words, 0), lookup(heavy_w[0], heavy_w[2], c.words, 0.0))
+        values = word_values(lookup(hot.words, hot.count, c.words, 0), lookup(hot.words, hot.log_a, c.words, 0.0))
         sums = [np.bincount(doc[at], count[at] * v[key[at]], n_docs) for v in values]
         del key, at
         for p, own in by_part(c.word_parts(parts), parts):
             own = own[~known[own] & (size[own] > 0)]
             if len(own):
                 at = positions(first[own], size[own])
-                yield p, 0, pack(c.words[own], size[own], doc[at], count[at])
+                yield p, 0, fold(common, c.words[own], size[own], doc[at], count[at])
         first, doc, count = c.refs(c.pair_of, len(c.h))
-        code = mix(c.words[c.h] * _MIXER + c.words[c.w])
-        known = lookup(heavy_code, np.ones(len(heavy_code), bool), code, False)
+        code = pair_at(hot.own, c.words, c.h, c.w)
+        known = lookup(hot.pairs, np.ones(len(hot.pairs), bool), code, False)
         size = np.diff(first)
         key = np.repeat(np.arange(len(c.h), dtype=np.int32), size)
         at = known[key]
-        gain = np.bincount(doc[at], count[at] * lookup(heavy_code, heavy_gain, code, 0.0)[key[at]], n_docs)
-        sums[2] = sums[2] + gain + start_alpha
-        del key, at
-        for p, own in by_part(part_of(code, parts), parts):
+        gain = np.bincount(doc[at], count[at] * lookup(hot.pairs, hot.gain, code, 0.0)[key[at]], n_docs)
+        sums[2] = sums[2] + gain + hot.start_alpha
+        del key, at, code
+        for p, own in by_part(c.pair_parts(parts), parts):
             own = own[~known[own]]
             if len(own):
-                own = own[np.argsort(code[own])]
                 at = positions(first[own], size[own])
-                yield p, 1, pack(code[own] >> FINGERPRINT, size[own], doc[at], count[at])
+                some, h, w = local(c.words, c.h[own], c.w[own])
+                yield p, 1, fold(common, some, joined(some, h, w), size[own], doc[at], count[at])
         fine = np.array([i is not None for i in ids])
         yield -1 - chunk % parts, 2, pack(fine, np.array([i or 0 for i in ids], np.int64).view(np.uint64), c.sizes, *sums)
 
@@ -483,20 +532,16 @@ def _score(docs: DataFrame, words: DataFrame, pairs: DataFrame, st: Stats, parts
         model = unpack(right.column("payload")[0].as_py()) if right.num_rows else None
         kind = left.column("kind")[0].as_py() if left.num_rows else None
         if model and kind == 1:
-            h, w, _, gain = gains(model, st)
-            code = mix(h * _MIXER + w) >> FINGERPRINT
-            order = np.argsort(code)
-            table = code[order], gain[order]
-            del h, w, gain, code, order
+            own, table = model[0], (model[1], gains(model, st)[3])
         for n_docs, raw in zip(left.column("n").to_pylist(), left.column("payload").to_pylist(), strict=True):
-            got = unpack(raw)
+            got = unpack(raw) if kind == 2 else unfold(common, raw)
             if kind == 0:
                 c, log_a = (lookup(model[0], model[i], got[0], 0) for i in (1, 2)) if model else (np.zeros(len(got[0])),) * 2
                 key = np.repeat(np.arange(len(got[0])), got[1])
                 payload.append(pack(*[np.bincount(got[2], got[3] * v[key], n_docs) for v in word_values(c, log_a)]))
             elif kind == 1:
-                gain = lookup(*table, got[0], 0.0) if model else np.zeros(len(got[0]))
-                payload.append(pack(np.bincount(got[2], got[3] * np.repeat(gain, got[1]), n_docs)))
+                gain = lookup(*table, pair_at(own, got[0], *split(*got[:2])), 0.0) if model else np.zeros(len(got[1]))
+                payload.append(pack(np.bincount(got[3], got[4] * np.repeat(gain, got[2]), n_docs)))
             else:
                 payload.append(raw)
         return pa.table({"chunk": pa.array(chunk, pa.int64()), "kind": pa.array([kind] * len(chunk), pa.int32()), "payload": pa.array(payload, pa.binary())})
@@ -525,14 +570,22 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Per row: id, n_tokens, n_known, train_tokens, base_score, score, both log10; learns from the rows whose
     crc32(id as text) mod n is not r, holdout being (n, r). Bigrams seen fewer than `least` times count as not seen."""
     prepare(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
+    rows = spread(docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t")))
     train = rows.where(F.coalesce(crc_mod("id", holdout[0]) != holdout[1], F.lit(True))) if holdout else rows
     chars = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     parts = max(4, -(-chars // PART_CHARS))
-    counted = written(_count(train, parts, least), "counted")
+    common = _common(train, chars)
+    counted = written(_count(train, common, parts, least), "counted")
     sums = [F.sum(F.get("stats", F.lit(i))).alias(f"s{i}") for i in range(9)]
     st = Stats(counted.groupBy("kind").agg(*sums).select("kind", F.array(*[f"s{i}" for i in range(9)]).alias("s")).collect(), least)
     release_shuffles(docs.sparkSession)
     words, pairs = _weights(counted, st, parts)
+    drop(counted)
     release_shuffles(docs.sparkSession)
-    return _score(rows, words, pairs, st, parts).withColumnRenamed("id", id_col)
+    hot, done = Heavy(words, pairs, st, parts), []
+    for k in range(SLICES):
+        some = rows.where(F.pmod(F.xxhash64("id", F.octet_length("t")), F.lit(SLICES)) == k)
+        done.append(written(_score(some, words, pairs, st, hot, common, parts), "scores"))
+        release_shuffles(docs.sparkSession)
+    drop(words, pairs)
+    return functools.reduce(DataFrame.unionByName, done).withColumnRenamed("id", id_col)
