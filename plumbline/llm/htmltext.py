@@ -2,7 +2,8 @@
 
 A page is read once, as a flat list of blocks (text between block-level tags). A block's features are its number of
 words and its link density, the same of the block before and after, whether it is a heading, and a structural
-hint from the innermost element that says something: boilerplate (-1), article (+1) or nothing (0). The tree is
+hint from the innermost element that says something: no part of an article by its own meaning (-2: a menu, footer,
+form, readers' comments), a name that boilerplate often has (-1), article (+1) or nothing (0). The tree is
 grown (Gini impurity) on the small labelled table below. Pages stay in their partition: there is no shuffle.
 
 Defined cases: null and empty pages give an empty text; pages without tags are one block; unclosed elements end
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import fresh, prepare, spread
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|template|title|textarea)(?![\w:-])"
@@ -39,26 +40,30 @@ HIDDEN = frozenset("noscript select svg iframe object canvas audio video button"
 _BAD_TAGS = frozenset("nav footer aside form menu dialog fieldset".split())
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _BAD_NAME = re.compile(
-    r"^(?:ads?|adv|adverts?|advertisement|banner|breadcrumbs?|comments?|comment\w*|consent|contentinfo|cookies?|cookie\w*|disqus|footer|foot|form|header|"
-    r"masthead|menu|menubar|modal|nav|navbar|navigation|newsletter|notice|notices|pagination|pager|popup|promo|promotion|recommended|related|replies|"
-    r"reply|search|share|sharing|sidebar|side|social|sponsor|sponsored|subscribe|tags|toolbar|topbar|widget|widgets|alert|banner|complementary|gdpr|login|signup|discussion|responses)$",
+    r"^(?:ads?|adv|adverts?|advertisement|breadcrumbs?|comments?|comment\w*|consent|contentinfo|cookies?|cookie\w*|disqus|footer|foot|form|header|"
+    r"masthead|menu|menubar|nav|navbar|navigation|newsletter|notice|notices|pagination|replies|reply|sidebar|sponsor|sponsored|subscribe|"
+    r"topbar|gdpr|login|signup|discussion|responses)$",
     re.I,
 )
+#: Names that boilerplate often has; whether it is some is for words and links to say.
+_DOUBTFUL = re.compile(
+    r"^(?:alert|banner|complementary|modal|pager|popup|promo|promotion|recommended|related|search|share|sharing|side|social|tags|toolbar|widgets?)$", re.I
+)
 _GOOD_NAME = re.compile(r"^(?:article|articlebody|body|content|entry|hentry|main|maincontent|post|posttext|story|text)$", re.I)
 _COMMENTS = re.compile(r"^(?:comments?|comment\w*|replies|reply|disqus|discussion|responses)$", re.I)
 
 #: Labelled blocks, made by hand: words, link density, words before, link density before, words after, link density
 #: after, heading, hint; then 1 for main text.
 LABELLED = [
-    (6, 1.0, 0, 0.0, 1, 1.0, 0, -1, 0), (1, 1.0, 6, 1.0, 1, 1.0, 0, -1, 0), (1, 1.0, 1, 1.0, 9, 0.0, 0, -1, 0),
-    (12, 0.0, 1, 1.0, 10, 0.0, 0, -1, 0), (25, 0.0, 2, 1.0, 60, 0.0, 0, -1, 0), (80, 0.0, 40, 0.0, 6, 0.5, 0, -1, 0),
-    (14, 0.1, 70, 0.0, 0, 0.0, 0, -1, 0), (3, 0.0, 12, 0.0, 45, 0.0, 1, -1, 0), (45, 0.0, 3, 0.0, 30, 0.0, 0, -1, 0),
-    (30, 0.2, 50, 0.0, 10, 1.0, 0, -1, 0), (2, 0.5, 30, 0.0, 2, 0.5, 0, -1, 0), (120, 0.0, 90, 0.0, 3, 0.0, 0, -1, 0),
-    (16, 0.0, 2, 0.5, 3, 0.0, 0, -1, 0), (19, 0.0, 0, 0.0, 4, 0.0, 0, -1, 0), (24, 0.0, 30, 0.0, 0, 0.0, 0, -1, 0),
-    (38, 0.0, 6, 0.0, 8, 0.0, 0, -1, 0), (48, 0.1, 70, 0.0, 2, 0.0, 0, -1, 0), (64, 0.0, 5, 0.0, 4, 0.0, 0, -1, 0),
-    (150, 0.0, 20, 0.0, 80, 0.0, 0, -1, 0), (300, 0.0, 9, 0.0, 0, 0.0, 0, -1, 0), (17, 0.0, 17, 0.0, 17, 0.0, 0, -1, 0),
-    (55, 0.0, 60, 0.0, 50, 0.0, 0, -1, 0), (7, 0.0, 25, 0.0, 19, 0.0, 1, -1, 0), (2, 0.0, 0, 0.0, 4, 0.0, 1, -1, 0),
-    (33, 0.0, 2, 0.0, 1, 0.0, 0, -1, 0), (27, 0.1, 3, 1.0, 70, 0.0, 0, -1, 0), (9, 0.0, 9, 0.0, 9, 0.0, 1, -1, 0),
+    (6, 1.0, 0, 0.0, 1, 1.0, 0, -2, 0), (1, 1.0, 6, 1.0, 1, 1.0, 0, -2, 0), (1, 1.0, 1, 1.0, 9, 0.0, 0, -2, 0),
+    (12, 0.0, 1, 1.0, 10, 0.0, 0, -2, 0), (25, 0.0, 2, 1.0, 60, 0.0, 0, -2, 0), (80, 0.0, 40, 0.0, 6, 0.5, 0, -2, 0),
+    (14, 0.1, 70, 0.0, 0, 0.0, 0, -2, 0), (3, 0.0, 12, 0.0, 45, 0.0, 1, -2, 0), (45, 0.0, 3, 0.0, 30, 0.0, 0, -2, 0),
+    (30, 0.2, 50, 0.0, 10, 1.0, 0, -2, 0), (2, 0.5, 30, 0.0, 2, 0.5, 0, -2, 0), (120, 0.0, 90, 0.0, 3, 0.0, 0, -2, 0),
+    (16, 0.0, 2, 0.5, 3, 0.0, 0, -2, 0), (19, 0.0, 0, 0.0, 4, 0.0, 0, -2, 0), (24, 0.0, 30, 0.0, 0, 0.0, 0, -2, 0),
+    (38, 0.0, 6, 0.0, 8, 0.0, 0, -2, 0), (48, 0.1, 70, 0.0, 2, 0.0, 0, -2, 0), (64, 0.0, 5, 0.0, 4, 0.0, 0, -2, 0),
+    (150, 0.0, 20, 0.0, 80, 0.0, 0, -2, 0), (300, 0.0, 9, 0.0, 0, 0.0, 0, -2, 0), (17, 0.0, 17, 0.0, 17, 0.0, 0, -2, 0),
+    (55, 0.0, 60, 0.0, 50, 0.0, 0, -2, 0), (7, 0.0, 25, 0.0, 19, 0.0, 1, -2, 0), (2, 0.0, 0, 0.0, 4, 0.0, 1, -2, 0),
+    (33, 0.0, 2, 0.0, 1, 0.0, 0, -2, 0), (27, 0.1, 3, 1.0, 70, 0.0, 0, -2, 0), (9, 0.0, 9, 0.0, 9, 0.0, 1, -2, 0),
     (5, 0.0, 30, 0.0, 3, 1.0, 0, 1, 1), (2, 0.0, 10, 0.0, 2, 0.5, 0, 1, 1), (9, 0.0, 1, 1.0, 4, 1.0, 1, 1, 1),
     (13, 0.0, 50, 0.0, 6, 1.0, 0, 1, 1), (1, 0.0, 4, 0.0, 1, 1.0, 0, 1, 1), (35, 0.5, 12, 0.0, 5, 0.8, 0, 1, 1),
     (7, 0.1, 7, 0.0, 9, 0.4, 0, 1, 1), (3, 0.0, 0, 0.0, 12, 0.3, 1, 1, 1), (11, 0.3, 60, 0.0, 2, 1.0, 0, 1, 1),
@@ -87,6 +92,12 @@ LABELLED = [
     (12, 0.0, 40, 0.0, 45, 0.0, 0, 0, 1), (9, 0.0, 30, 0.0, 25, 0.0, 0, 0, 1), (14, 0.0, 20, 0.1, 18, 0.0, 0, 0, 1),
     (8, 0.0, 2, 1.0, 45, 0.0, 1, 0, 1), (5, 0.0, 30, 0.0, 35, 0.0, 1, 0, 1), (3, 0.0, 40, 0.0, 60, 0.0, 1, 0, 1),
     (11, 0.0, 1, 1.0, 30, 0.0, 1, 0, 1), (18, 0.0, 30, 0.0, 3, 1.0, 0, 0, 1), (28, 0.3, 35, 0.0, 20, 0.0, 0, 0, 1),
+    (6, 1.0, 0, 0.0, 1, 1.0, 0, -1, 0), (12, 0.0, 1, 1.0, 10, 0.0, 0, -1, 0), (25, 0.0, 2, 1.0, 60, 0.0, 0, -1, 0),
+    (45, 0.0, 3, 0.0, 30, 0.0, 0, -1, 0), (64, 0.0, 5, 0.0, 4, 0.0, 0, -1, 0), (38, 0.0, 60, 0.0, 80, 0.0, 0, -1, 0),
+    (80, 0.5, 40, 0.0, 60, 0.5, 0, -1, 0), (130, 0.6, 30, 0.0, 90, 0.7, 0, -1, 0), (7, 0.0, 25, 0.0, 19, 0.0, 1, -1, 0),
+    (3, 0.0, 120, 0.0, 150, 0.0, 0, -1, 0), (70, 0.0, 50, 0.0, 2, 1.0, 0, -1, 0), (16, 0.0, 2, 0.5, 3, 0.0, 0, -1, 0),
+    (120, 0.0, 90, 0.0, 100, 0.0, 0, -1, 1), (150, 0.0, 20, 0.0, 80, 0.0, 0, -1, 1), (300, 0.0, 9, 0.0, 0, 0.0, 0, -1, 1),
+    (110, 0.1, 60, 0.0, 70, 0.0, 0, -1, 1), (200, 0.0, 2, 1.0, 3, 1.0, 0, -1, 1), (180, 0.2, 0, 0.0, 140, 0.1, 0, -1, 1),
 ]
 
 
@@ -134,8 +145,10 @@ def _hint(tag: str, attrs: str) -> tuple[int, bool]:
     """What an element says of its text, and whether it holds readers' comments."""
     names = [x for m in _NAMED.finditer(attrs) for x in re.split(r"[\s_-]+", next(g for g in (*m.groups(), "") if g is not None)) if x]
     if any(_COMMENTS.match(x) for x in names):
-        return -1, True
+        return -2, True
     if tag in _BAD_TAGS or (tag == "header" and not names) or any(_BAD_NAME.match(x) for x in names):
+        return -2, False
+    if any(_DOUBTFUL.match(x) for x in names):
         return -1, False
     return (1, False) if tag in ("article", "main") or any(_GOOD_NAME.match(x) for x in names) else (0, False)
 
@@ -164,7 +177,7 @@ class _Reader:
         found = 0
         for tag, hint, comments in reversed(self.stack):
             if comments:
-                return -1
+                return -2
             if not found and hint and not (tag == "header" and any(t in ("article", "main") for t, _, _ in self.stack)):
                 found = hint
         return found
@@ -270,7 +283,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", k
             texts = [main_text(p) for p in b.column(b.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=names)
 
-    df = pages.select(*dict.fromkeys([id_col, *keep]), F.col(html_col).cast("string").alias("_h"))
-    schema = df.drop("_h").schema.add("text", "string").add("n_chars", "long")
+    html_at = fresh(pages, "_html")
+    df = spread(pages.select(*dict.fromkeys([id_col, *keep]), F.col(html_col).cast("string").alias(html_at)))
+    schema = df.drop(html_at).schema.add("text", "string").add("n_chars", "long")
     names = schema.names
     return df.mapInArrow(run, schema)

@@ -115,6 +115,45 @@ def op8_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("held_out", F.coalesce(crc_mod("doc_id", 5) == 1, F.lit(False)))
 
 
+#: crc32 of the id as text, byte by byte and bit by bit.
+_CRC = """xor(list_reduce(list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint), lambda crc, b: list_reduce(
+    [1, 2, 3, 4, 5, 6, 7, 8]::bigint[], lambda y, i: case when y & 1 = 1 then xor(y >> 1, 3988292384::bigint) else y >> 1 end, xor(crc, b)), 4294967295::bigint), 4294967295::bigint)"""
+_DISCOUNT = """select r, case when n > 0 and up > 0 and tail < 1 and x > 0.05 and x < 1 then x else 1 - 0.5::double / r end as d from (
+  select *, ((r + 1) * up / (n * r::double) - tail) / (1 - tail) as x from (
+    select r, n::double as n, lead(n) over (order by r)::double as up, case when first_value(n) over (order by r) > 0 then 6.0::double * last_value(n) over (order by r rows between unbounded preceding and unbounded following) / first_value(n) over (order by r) else 0 end as tail
+    from {}) a) b where r <= 5"""
+#: The model of op8 as text: words by UTF-8 with A-Z in lower case, one end a text, Good-Turing discounts up to 5.
+OP8_SQL = r"""
+with docs as (
+  select doc_id, list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), ' end') as w, {held} as held_out, row_number() over () as row
+  from documents),
+tok as (select row, held_out, unnest(w) as x, generate_subscripts(w, 1) as p from docs),
+pos as (select row, held_out, x, coalesce(lag(x) over (partition by row order by p), ' start') as h from tok),
+uni as (select x, count(*) as c from pos where not held_out group by 1),
+bi as (select h, x, count(*) as c from pos where not held_out group by 1, 2),
+tot as (select coalesce(sum(c), 0)::bigint as n, count(*) as v from uni),
+texts as (select count(*) as t from docs where not held_out),
+n1 as (select r, (select count(*) from uni where c = r) as n from range(1, 7) s(r)),
+n2 as (select r, (select count(*) from bi where c = r) as n from range(1, 7) s(r)),
+d1 as ({d1}),
+d2 as ({d2}),
+u1 as (select x, uni.c, uni.c * coalesce(d1.d, 1) as m from uni left join d1 on uni.c = d1.r),
+z as (select n, v, greatest(n, (select sum(m) from u1) + 0.5::double) as scale, (select sum(m) from u1) as mass from tot),
+p1 as (select x, c, m / scale as p from u1, z),
+b1 as (select h, bi.x, bi.c * coalesce(d2.d, 1) as m, p1.p as below from bi left join d2 on bi.c = d2.r join p1 on bi.x = p1.x),
+hist as (select h, sum(m) as a, sum(below) as s from b1 group by 1),
+his2 as (select hist.*, greatest(case when h = ' start' then (select t from texts) else p1.c end, a + 0.5::double) as d from hist left join p1 on hist.h = p1.x),
+alpha as (select h, d, (1 - a / d) / greatest(1 - s, 1e-300) as alpha from his2),
+each as (
+  select pos.row, p1.c, log10((coalesce(p1.c, 0) + 0.5::double) / (z.n + 0.5::double * (z.v + 1))) as base,
+    log10(case when b1.m is not null then b1.m / alpha.d else coalesce(alpha.alpha, 1) * coalesce(p1.p, 1 - z.mass / z.scale) end) as full_
+  from pos cross join z left join p1 on pos.x = p1.x left join alpha on pos.h = alpha.h left join b1 on pos.h = b1.h and pos.x = b1.x)
+select doc_id, n_tokens, n_known, (select n from tot) as train_tokens, base_score, score, held_out from docs
+join (select row, count(*) as n_tokens, count(c) as n_known, sum(base) as base_score, sum(full_) as score from each group by row) e using (row)
+"""
+OP8_SQL = OP8_SQL.replace("{held}", f"coalesce({_CRC} % 5 = 1, false)").replace("{d1}", _DISCOUNT.format("n1")).replace("{d2}", _DISCOUNT.format("n2"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -129,6 +168,43 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(find_secrets(_table(spark, sf_dir, "documents").select("doc_id", "source", "text")))
 
 
+#: Spans by marking what a pattern matches: every other piece between the marks is a match, lengths give offsets.
+OP10_SQL = r"""
+with docs as (select doc_id, coalesce(source, '') as owner, coalesce(text, '') as t, row_number() over () as row from documents),
+cut as (
+  select row, unnest([0, 1, 2, 3]) as kind, unnest([
+    string_split(regexp_replace(t, '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+', chr(57344) || '\0' || chr(57344), 'g'), chr(57344)),
+    string_split(regexp_replace(t, 'AKIA[A-Z0-9]+', chr(57344) || '\0' || chr(57344), 'g'), chr(57344)),
+    string_split(regexp_replace(t, '[0-9a-f]+', chr(57344) || '\0' || chr(57344), 'g'), chr(57344)),
+    string_split(regexp_replace(t, '[A-Za-z0-9+/_=-]+', chr(57344) || '\0' || chr(57344), 'g'), chr(57344))]) as parts from docs),
+piece as (select row, kind, unnest(parts) as x, generate_subscripts(parts, 1) as i from cut),
+at_ as (select row, kind, i, x, coalesce(sum(length(x)) over (partition by row, kind order by i rows between unbounded preceding and 1 preceding), 0)::bigint as a from piece),
+hit as (
+  select row, kind, a, a + length(x) as z, case when kind = 0 then regexp_extract(x, '^(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)$', 1) else x end as v
+  from at_ where i % 2 = 0),
+base as (select * from hit where kind = 0 and length(v) >= 8 or kind = 1 and length(v) >= 16 or kind = 2 and length(v) >= 32),
+mixed as (
+  select * from hit h where kind = 3 and length(v) >= 20 and regexp_matches(v, '[a-z]') and regexp_matches(v, '[A-Z]') and regexp_matches(v, '[0-9]')
+    and not exists (select 1 from base b where b.row = h.row and b.a < h.z and h.a < b.z)),
+bits as (
+  select row, a, sum(-k / n::double * log2(k / n::double)) as e from (
+    select row, a, c, count(*) as k, any_value(n) as n from (select row, a, unnest(string_split(v, '')) as c, length(v) as n from mixed) x group by 1, 2, 3) y group by 1, 2),
+cand as (select * from base union all select m.* from mixed m join bits using (row, a) where e >= 3.5),
+owned as (
+  select v, sum(k)::bigint as repositories, count(*) as owners from (
+    select v, owner, count(distinct copy) as k from (
+      select v, owner, doc_id, min(md5(t)) as copy from cand join docs using (row) group by 1, 2, 3) x group by 1, 2) y group by 1),
+said as (
+  select row, kind, a, z, ['assign', 'access', 'hex', 'live'][kind + 1] || ':' || a || ':' || z as s, owners <= 1 or owners <= 2 and repositories <= 50 as live
+  from cand join owned using (v)),
+kept as (select * from said where kind < 3 or live)
+select doc_id, count(*) filter (kind = 0) as n_assign, count(*) filter (kind = 1) as n_access, count(*) filter (kind = 2) as n_hex,
+  sha256(coalesce(string_agg(s, ',' order by a, kind) filter (kind < 3), '')) as base_sha256, coalesce(string_agg(s, ',' order by a, kind), '') as spans,
+  count(*) filter (live) as n_live
+from docs left join kept using (row) group by row, doc_id
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_nearest_neighbours": op2_nearest_neighbours,
@@ -145,4 +221,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op5_line_dedup": OP5_SQL,
     "op6_minhash": OP6_SQL,
+    "op8_katz": OP8_SQL,
+    "op10_secrets": OP10_SQL,
 }

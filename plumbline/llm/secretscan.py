@@ -16,7 +16,9 @@ a null owner is an owner of its own; offsets are code points; equal starts are o
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import math
 import re
 from collections import Counter
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, text_buffer, written
+from .common import prepare, spread, text_buffer, written
 
 KINDS = ("assign", "access", "hex", "live")
 _ASSIGN = re.compile(rb"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -53,9 +55,11 @@ def spans(text: bytes) -> list[tuple[int, int, int, bytes]]:
     out = [(0, m.start(), m.end(), m[1]) for m in _ASSIGN.finditer(text) if len(m[1]) >= 8]
     out += [(1, m.start(), m.end(), m[0]) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 16]
     out += [(2, m.start(), m.end(), m[0]) for m in _HEX.finditer(text)]
-    base = list(out)
+    taken = sorted((s, e) for _, s, e, _ in out)
+    reach = list(itertools.accumulate((e for _, e in taken), max))
     for m in _MIXED.finditer(text):
-        if _live_looking(m[0]) and not any(s < m.end() and m.start() < e for _, s, e, _ in base):
+        before = bisect.bisect_left(taken, (m.end(), 0))  # base spans that begin before its end
+        if _live_looking(m[0]) and not (before and reach[before - 1] > m.start()):
             out.append((3, m.start(), m.end(), m[0]))
     return sorted(out, key=lambda x: (x[1], x[0]))
 
@@ -84,7 +88,7 @@ def scan(docs: DataFrame, id_col: str, owner_col: str, text_col: str) -> DataFra
                 rows.append([dict(zip(names, (k, s, e, _hash(v)), strict=True)) for k, s, e, v in found])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(copies, pa.string()), pa.array(rows, _SPAN)], names=["id", "owner", "copy", "spans"])
 
-    df = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(owner_col).cast("string"), F.lit("")).alias("owner"), F.col(text_col).cast("string").alias("t"))
+    df = spread(docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(owner_col).cast("string"), F.lit("")).alias("owner"), F.col(text_col).cast("string").alias("t")))
     return df.mapInArrow(run, f"id long, owner string, copy string, spans {SPAN}").withColumn("row", F.monotonically_increasing_id())
 
 
@@ -105,7 +109,7 @@ def find_secrets(
     document (exact copies of one owner are one), its owner is owner_col."""
     prepare(docs.sparkSession)
     scanned = written(scan(docs, id_col, owner_col, text_col), "spans")
-    counts = ownership(scanned)
+    counts = written(ownership(scanned), "owners")  # a table, so that Spark splits the rows of a widely copied value in the join
     cand = scanned.where(F.size("spans") > 0).select("row", F.explode("spans").alias("s")).select("row", "s.*")
     live = (F.col("owners") <= F.least(F.lit(max_owners), F.lit(1))) | ((F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories))
     marked = cand.join(counts, "value").withColumn("live", live).where((F.col("kind") < 3) | F.col("live"))

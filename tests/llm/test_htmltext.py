@@ -46,3 +46,15 @@ def test_synthetic_pages(spark, sf_dir):
 def test_odd_rows(spark):
     df = spark.createDataFrame([(1, "u", None, "a"), (1, "u", None, "a"), (None, None, "<p>" + "w " * 200_000, "b"), (2, "u", "", None)], "page_id long, url string, html string, text string")
     assert H.extract(df).count() == 4 and H.extract(df.where("1 = 0")).count() == 0
+
+
+def test_doubtful_names_are_decided_by_words_and_links():
+    from plumbline.llm.htmltext import main_text
+
+    words = lambda n: " ".join(f"word{i}" for i in range(n))
+    for name in ("social", "related", "search", "side", "tags", "alert", "promo"):
+        page = f"<body><div class='{name}'><p>{words(300)}</p><p>short line</p><p><a href='x'>{words(120)}</a></p></div></body>"
+        assert main_text(page) == words(300), name
+    plain = f"<body><p><a href=a>one</a> <a href=b>two</a></p><p>{words(80)}</p><p>{words(60)}</p><p><a href=c>three</a></p></body>"
+    assert main_text(plain) == f"{words(80)}\n{words(60)}"
+    assert main_text(f"<body><div class='comments'><p>{words(300)}</p></div><p>{words(90)}</p></body>") == words(90)
