@@ -37,7 +37,7 @@ K = BANDS * ROWS
 #: Standard errors of the signature's estimate below the threshold at which a pair is still verified.
 SLACK = 5.5
 #: Documents on either side of a task that compares signatures, or whole sets.
-SIG_BLOCK, SET_BLOCK = 2048, 4096
+SIG_BLOCK, SET_BLOCK = 1024, 1024
 #: Candidate ids are broadcast up to this many (8 bytes each), joined by a shuffle beyond.
 BROADCAST_IDS = 400_000
 _SHIFT = np.arange(K, dtype=np.uint32)[:, None]
