@@ -57,9 +57,9 @@ def contracted(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """Rows (id, root) for every node of the edges (u, v); root is the smallest id reachable."""
+    """Rows (id, root) for every node of the edges (u, v) between two nodes; root is the smallest id reachable."""
     found = forest(edges, max_rounds)
-    ends = edges.select(F.explode(F.array(F.col("u").cast("long"), F.col("v").cast("long"))).alias("id")).distinct()
+    ends = edges.where(F.col("u") != F.col("v")).select(F.explode(F.array(F.col("u").cast("long"), F.col("v").cast("long"))).alias("id")).distinct()
     return ends.join(found, "id", "left").select("id", F.coalesce("root", "id").alias("root"))
 
 
