@@ -77,12 +77,17 @@ def only_common(rows: DataFrame, id_col: str, model_col: str) -> DataFrame:
 def balance(prompts: DataFrame, id_col: str, group_col: str, seed: int = 42) -> DataFrame:
     """Consistent prompts drawn down to the number of irrelevant ones, if there are some and fewer; others stay.
 
-    The draw takes the first by md5 of id and seed: the same on any cluster and in SQL.
+    The draw takes the first by md5 of id and seed: the same on any cluster and in SQL. They are numbered within
+    slots of the digest's first three digits, moved by the sizes of the slots before, of which there are 4,096 at most.
     """
     sizes = prompts.agg(F.count_if(F.col(group_col) == "consistent").alias("_c"), F.count_if(F.col(group_col) == "irrelevant").alias("_i"))
-    rank = F.row_number().over(Window.partitionBy(group_col).orderBy(F.md5(F.concat_ws("-", F.col(id_col).cast("string"), F.lit(str(seed)))), id_col))
-    rows = prompts.where(F.col(group_col) == "consistent").withColumn("_rank", rank).crossJoin(F.broadcast(sizes))  # one row
-    kept = rows.where((F.col("_i") == 0) | (F.col("_rank") <= F.col("_i"))).select(*prompts.columns)
+    rows = prompts.where(F.col(group_col) == "consistent").withColumn("_draw", F.md5(F.concat_ws("-", F.col(id_col).cast("string"), F.lit(str(seed)))))
+    rows = rows.withColumn("_slot", F.left("_draw", F.lit(3)))
+    slots = rows.groupBy("_slot").count()
+    before = slots.select("_slot", (F.sum("count").over(Window.orderBy("_slot")) - F.col("count")).alias("_before")).crossJoin(F.broadcast(sizes))  # one row
+    drawn = rows.join(F.broadcast(before), "_slot").where((F.col("_i") == 0) | (F.col("_before") < F.col("_i")))
+    within = F.row_number().over(Window.partitionBy("_slot").orderBy("_draw", id_col))
+    kept = drawn.withColumn("_rank", F.col("_before") + within).where((F.col("_i") == 0) | (F.col("_rank") <= F.col("_i"))).select(*prompts.columns)
     return prompts.where((F.col(group_col) != "consistent") | F.col(group_col).isNull()).unionByName(kept)
 
 

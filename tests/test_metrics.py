@@ -141,3 +141,12 @@ def test_balance_and_common(spark):
     assert C.balance(df.where("g <> 'irrelevant'"), "id", "g").where("g = 'consistent'").count() == 8
     models = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a"), (3, "b"), (3, "a")], "id int, m string")
     assert {r["id"] for r in C.common_ids(models, "id", "m").collect()} == {1, 3}
+
+
+def test_balance_draws_the_first_by_digest(spark):
+    import hashlib
+
+    groups = {i: "irrelevant" if i % 3 == 0 else "consistent" for i in range(6000)}
+    left = {r["id"] for r in C.balance(spark.createDataFrame(list(groups.items()), "id int, g string"), "id", "g", 7).collect()}
+    drawn = sorted((i for i, g in groups.items() if g == "consistent"), key=lambda i: (hashlib.md5(f"{i}-7".encode()).hexdigest(), i))[:2000]
+    assert left == {i for i, g in groups.items() if g == "irrelevant"} | set(drawn)
