@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Fields of an item and of an extracted row.
@@ -84,13 +84,9 @@ def with_position(df: DataFrame, name: str = "position") -> DataFrame:
     """Rows numbered from 0 in file order: numbers within partitions, moved by the sizes of earlier partitions."""
     rows = df.withColumn("_m", F.monotonically_increasing_id())
     rows = rows.withColumns({"_p": F.shiftright("_m", 33), "_k": F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))})
-    sizes = rows.groupBy("_p").count().orderBy("_p").collect()  # one row for each partition
-    starts, total = {}, 0
-    for r in sizes:
-        starts[r["_p"]] = total
-        total += r["count"]
-    offset = F.element_at(F.create_map(*[F.lit(x) for kv in starts.items() for x in kv]), F.col("_p")) if starts else F.lit(0)
-    return rows.withColumn(name, F.col("_k") + offset).drop("_m", "_p", "_k")
+    sizes = rows.groupBy("_p").count()  # one row for each partition
+    starts = sizes.select("_p", (F.sum("count").over(Window.orderBy("_p")) - F.col("count")).alias("_start"))
+    return rows.join(F.broadcast(starts), "_p").withColumn(name, F.col("_k") + F.col("_start")).drop("_m", "_p", "_k", "_start")
 
 
 def slice_items(df: DataFrame, start: int = 0, end: int | None = None, plain: bool = False) -> DataFrame:

@@ -83,3 +83,10 @@ def test_streaming_bins(spark, tmp_path):
     q.stop()
     got = error_of(spark.table("bins")).collect()
     assert [(round(r["ece"], 9), r["n"]) for r in got] == [(0.3, 2)]
+
+
+def test_positions_over_partitions(spark):
+    rows = J.with_position(spark.range(0, 103, numPartitions=7).where("id % 10 <> 3 and not id between 30 and 60")).collect()
+    ids = [i for i in range(103) if i % 10 != 3 and not 30 <= i <= 60]
+    assert {r["position"]: r["id"] for r in rows} == dict(enumerate(ids))
+    assert J.with_position(spark.range(0)).count() == 0
