@@ -27,18 +27,26 @@ from (select conv_id, turn, role, text, lag(text) over (partition by conv_id ord
 where role = 'assistant'
 """
 
-PASSAGES = """
-select d.doc_id, cast(floor(d.doc_id / 3.0) as bigint) as prompt, cast(d.doc_id % 3 as int) + 1 as pos,
-  case when l.toxic = 1 then 'counterfactual' when l.quality = 1 then 'consistent' when l.quality = 0 then 'relevant' else 'irrelevant' end as type,
-  d.text as content
-from {documents} d left join {labels} l on d.doc_id = l.doc_id
+_PROMPT = "cast(floor(doc_id / 3.0) as bigint)"
+
+#: What a passage is by its labels, which may be missing.
+_TYPE = "case when toxic = 1 then 'counterfactual' when quality = 1 then 'consistent' when quality = 0 then 'relevant' else 'irrelevant' end"
+
+PASSAGES = f"""
+select d.doc_id, cast(floor(d.doc_id / 3.0) as bigint) as prompt, cast(d.doc_id % 3 as int) + 1 as pos, {_TYPE} as type, d.text as content
+from {{documents}} d left join {{labels}} l on d.doc_id = l.doc_id
 """
 
-#: One row a prompt with three passages.
+
+def _three(name: str, value: str) -> str:
+    return ", ".join(f"max(case when doc_id % 3 = {i} then {value} end) as {name}{i + 1}" for i in range(3))
+
+
+#: One row a prompt with three passages. Types meet texts by prompt, so each text is shuffled once.
 PROMPTS = f"""
-select prompt, max(case when pos = 1 then type end) as t1, max(case when pos = 2 then type end) as t2, max(case when pos = 3 then type end) as t3,
-  max(case when pos = 1 then content end) as c1, max(case when pos = 2 then content end) as c2, max(case when pos = 3 then content end) as c3
-from ({PASSAGES}) p group by prompt having count(*) = 3
+select c.prompt, coalesce(t1, 'irrelevant') as t1, coalesce(t2, 'irrelevant') as t2, coalesce(t3, 'irrelevant') as t3, c1, c2, c3
+from (select {_PROMPT} as prompt, {_three('c', 'text')} from {{documents}} group by {_PROMPT} having count(*) = 3) c
+left join (select {_PROMPT} as prompt, {_three('t', _TYPE)} from {{labels}} group by {_PROMPT}) t on c.prompt = t.prompt
 """
 
 _THIRD = f"case when (prompt + s) % 5 = 0 then case when {_label('t3')} = 'Relevant' then 'Irrelevant' else 'Relevant' end else {_label('t3')} end"
