@@ -1,6 +1,6 @@
 """Language ID by interpolated Kneser-Ney character models, one per language, in sorted hash arrays.
 
-`fit` learns from a bounded sample of labelled rows (`max_docs` a language); `identify` scores every whole text
+`fit` learns from a bounded sample of labelled rows (`max_docs` a language, `max_rows` in all); `identify` scores every whole text
 in its own partition, without a shuffle. The language with the lowest cross-entropy per character wins, and a
 text whose cross-entropy is above the calibrated limit of the winner is marked `rejected`.
 
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, crc_mod, prepare, release_memory, spread, text_buffer
+from .common import chunks, crc_mod, drop, prepare, release_memory, spread, text_buffer, written
 
 #: Bits of a symbol in an n-gram's code, and with more letters than they tell apart: four such symbols fill 64 bits.
 BITS, WIDE_BITS = 8, 16
@@ -110,7 +110,7 @@ def estimate(samples: dict[str, tuple[np.ndarray, np.ndarray]], order: int, n_sy
         counts.append(own)
     grams = [np.unique(np.concatenate([c[k][0] for c in counts])) for k in range(order)]
     contexts = [np.unique(g >> np.uint64(bits)) for g in grams]
-    floor = -np.log(n_symbols + 1.0)
+    floor = -np.log(float(n_symbols))  # the space, the letters seen and the symbol of the others share the rest alike
     logp, loggamma = [], []
     for k in range(order):
         p = np.empty((len(grams[k]), len(langs)), np.float64)
@@ -217,20 +217,28 @@ def softmax(x: np.ndarray) -> np.ndarray:
 
 def fit(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-    max_docs: int = 400, max_chars: int = 50_000, order: int = 4, holdout: tuple[int, int] | None = (3, 1),
+    max_docs: int = 400, max_chars: int = 50_000, max_rows: int = 20_000, order: int = 4, holdout: tuple[int, int] | None = (3, 1),
 ) -> Model:
-    """Learn from at most about max_docs texts a language (rows of up to max_chars, drawn by a hash of the id).
+    """Learn from at most about max_docs texts a language and max_rows in all, drawn by a hash of the id. Of a longer
+    text max_chars characters are learned, from a place drawn by that hash, so that a language of long texts is too.
 
     holdout (n, r): rows whose crc32(id as text) mod n is r are not learned from.
     """
     prepare(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
-    rows = rows.where(F.col("l").isNotNull() & F.col("t").isNotNull() & (F.length("t") <= max_chars))
+    rows = rows.where(F.col("l").isNotNull() & F.col("t").isNotNull())
     if holdout:
         rows = rows.where(F.coalesce(crc_mod("i", holdout[0]), F.lit(0)) != holdout[1])
-    rate = rows.groupBy("l").count().select("l", (F.lit(float(max_docs)) / F.col("count")).alias("rate"))
+    sizes = written(rows.groupBy("l").count(), "languages")
+    n = sizes.count()
+    rate = sizes.select("l", (F.lit(min(float(max_docs), max_rows / max(n, 1))) / F.col("count")).alias("rate"))
+    rate = F.broadcast(rate) if n <= max_rows else rate
     drawn = F.pmod(F.xxhash64("i"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    got = rows.join(F.broadcast(rate), "l").where(drawn < F.col("rate")).select("t", "l", "i").orderBy("l", "i", "t").toArrow()
+    beyond = F.length("t") - F.lit(max_chars)
+    start = F.when(beyond > 0, F.pmod(F.xxhash64("i", F.lit("place")), beyond.cast("long") + 1)).otherwise(F.lit(0)) + 1
+    piece = F.substring(F.col("t"), start.cast("int"), F.lit(max_chars))
+    got = rows.join(rate, "l").where(drawn < F.col("rate")).select(piece.alias("t"), "l", "i").orderBy("l", "i", "t").toArrow()
+    drop(sizes)
     return train(got.column("t").to_pylist(), got.column("l").to_pylist(), order)
 
 
