@@ -160,11 +160,11 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _pow[0], _pow[1]
 
 
-def word_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Byte starts and ends of the words [^\\x20\\x09-\\x0D]+; a word never crosses rows."""
+def word_spans(data: np.ndarray, offs: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Byte starts and ends of the words [^\\x20\\x09-\\x0D]+ (or without the bytes of another table); a word never crosses rows."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    w = ~SPACE[data]
+    w = ~space[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offs] = True
     prev = np.empty_like(w)

@@ -205,6 +205,38 @@ from docs left join kept using (row) group by row, doc_id
 """
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .phrases import collocations
+
+    return collocations(_table(spark, sf_dir, "documents").select("lang", "text"))
+
+
+OP13_SQL = r"""
+with pieces as (
+  select coalesce(lang, 'und') as lang,
+    unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece
+  from documents),
+words as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from pieces),
+totals as (select lang, sum(len(w))::bigint as n from words group by 1),
+grams as (select lang, w, unnest([1, 2, 3, 4, 5]) as m from words),
+starts as (select lang, m, w, unnest(range(1, len(w) - m + 2)) as i from grams),
+f as (select lang, m, array_to_string(w[i:i + m - 1], ' ') as phrase, count(*) as f from starts group by all having count(*) >= 100),
+cuts as (select lang, m, phrase, f as a, string_split(phrase, ' ') as w, unnest(range(1, m)) as k from f where m > 1),
+scores as (
+  select c.lang, c.phrase, c.a, k, x.f as l, y.f as r, n, (1000::hugeint * a * n // (x.f::hugeint * y.f))::bigint as score
+  from cuts c join f x on x.lang = c.lang and x.phrase = array_to_string(w[1:k], ' ')
+    join f y on y.lang = c.lang and y.phrase = array_to_string(w[k + 1:], ' ') join totals t on t.lang = c.lang),
+best as (select * from scores qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+inner_ as (select lang, f, m, string_split(phrase, ' ') as w, unnest([2, 3, 4]) as part from f where m > 2),
+within as (
+  select lang, array_to_string(w[i:i + part - 1], ' ') as phrase, max(f) as f
+  from (select *, unnest(range(1, m - part + 2)) as i from inner_ where part < m) x group by 1, 2)
+select b.lang, row_number() over (partition by b.lang order by score desc, a desc, b.phrase) as rank, b.phrase, a, l, r, n, score
+from best b left join within using (lang, phrase) where within.f is null or 100 * within.f < 100 * a
+qualify rank <= 2000
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_nearest_neighbours": op2_nearest_neighbours,
@@ -216,6 +248,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_katz": op8_katz,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_secrets": op10_secrets,
+    "op13_collocations": op13_collocations,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -223,4 +256,5 @@ ORACLE_SQL: dict[str, str] = {
     "op6_minhash": OP6_SQL,
     "op8_katz": OP8_SQL,
     "op10_secrets": OP10_SQL,
+    "op13_collocations": OP13_SQL,
 }
