@@ -203,3 +203,13 @@ def word_hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndar
     for i in np.flatnonzero(ends - starts > POLYNOMIAL_BYTES):
         out[i] = int.from_bytes(hashlib.blake2b(low[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
     return out, np.searchsorted(starts, offs)
+
+
+def numbered_words(data: np.ndarray, offs: np.ndarray, space: np.ndarray = SPACE, lower: bool = False) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
+    """Numbers of the words by a dictionary (no hashes), the dictionary, and the words' byte starts and ends."""
+    starts, ends = word_spans(data, offs, space)
+    at = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(ends - starts, out=at[1:])
+    chars = data[~space[data]]
+    words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(at), pa.py_buffer(LOWER[chars] if lower else chars)).dictionary_encode()
+    return words.indices.to_numpy(zero_copy_only=False).astype(np.int64), words.dictionary.cast(pa.string()), starts, ends

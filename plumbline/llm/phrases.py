@@ -27,14 +27,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, SpanHasher, chunks, drop, mix, prepare, spread, text_buffer, word_spans, written
+from .common import SpanHasher, chunks, drop, mix, numbered_words, prepare, spread, text_buffer, written
 
 #: What parts words, and what parts pieces besides.
 BLANKS, BREAKS = b"\x20\x09", b".,;:!?\x0a\x0b\x0c\x0d"
 NO_LANG = "und"
 BUCKETS = 1 << 22
 #: Bytes of text that are numbered together.
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 2 << 20
 _SENT_ROWS = 1 << 17
 #: Rows a bitmap of Spark's bitmap functions covers.
 _BITMAP = 1 << 15
@@ -52,17 +52,12 @@ class _Words:
     """The words of some rows, numbered: which follow each other in a piece, and hashes of the phrases that start at each."""
 
     def __init__(self, data: np.ndarray, offs: np.ndarray, langs: pa.Array):
-        kind = _KIND[data]
-        starts, ends = word_spans(data, offs, _KIND > 0)
-        self.n, low = len(starts), LOWER[data]
-        at = np.zeros(self.n + 1, np.int32)
-        np.cumsum(ends - starts, out=at[1:])
-        words = pa.StringArray.from_buffers(self.n, pa.py_buffer(at), pa.py_buffer(low[kind == 0])).dictionary_encode()
-        self.ids, self.vocab = words.indices.to_numpy(zero_copy_only=False).astype(np.int64), words.dictionary
+        self.ids, self.vocab, starts, _ = numbered_words(data, offs, _KIND > 0, lower=True)
+        self.n = len(starts)
         row = np.searchsorted(offs, starts, "right") - 1
         coded = langs.dictionary_encode()
         self.langs, self.lang = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)[row]
-        breaks = np.cumsum(kind == 2, dtype=np.int32)[starts] if self.n else np.zeros(0, np.int32)
+        breaks = np.cumsum(_KIND[data] == 2, dtype=np.int32)[starts] if self.n else np.zeros(0, np.int32)
         self.joined = (row[1:] == row[:-1]) & (breaks[1:] == breaks[:-1])
         chars, cuts = text_buffer(self.vocab)
         hashes = SpanHasher(chars)(cuts[:-1], cuts[1:])

@@ -205,6 +205,19 @@ from docs left join kept using (row) group by row, doc_id
 """
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .periodic import best_run, find_runs, runs_digest, tiled
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", tiled(F.col("text"), F.col("doc_id")).alias("text"))
+    out = find_runs(docs, keep=("doc_id",)).withColumn("best", best_run(F.col("_runs")))
+    return out.select(
+        "doc_id", F.size("_runs").cast("long").alias("n_runs"), "best.*", F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        runs_digest(F.col("_runs")).alias("runs_sha256"), F.sha2("_collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .phrases import collocations
 
@@ -248,6 +261,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_katz": op8_katz,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_secrets": op10_secrets,
+    "op11_periodic_runs": op11_periodic_runs,
     "op13_collocations": op13_collocations,
 }
 
