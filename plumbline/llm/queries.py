@@ -218,6 +218,67 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .quality import judge_quality
+
+    out = judge_quality(_table(spark, sf_dir, "documents").select("doc_id", "text"), keep=("doc_id",))
+    base = [F.col("_counts")[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+    against = F.size(F.filter("_votes", lambda v: v < 0)).cast("long").alias("n_against")
+    return out.select("doc_id", *base, F.col("_base_failed").alias("base_failed"), F.col("_kept").alias("kept"), against)
+
+
+def _share(part: str, whole: str, good: int, bad: int, least: int = 1) -> str:
+    up = good > bad
+    return (
+        f"case when {whole} < {least} then 0 when 100 * {part} {'>=' if up else '<='} {good} * {whole} then 1 "
+        f"when 100 * {part} {'<' if up else '>'} {bad} * {whole} then -1 else 0 end"
+    )
+
+
+_VOTES = [
+    "case when n_words >= 50 then 1 when n_words < 25 then -1 else 0 end",
+    "case when n_words = 0 then 0 when word_chars between 3 * n_words and 10 * n_words then 1 when word_chars between 2 * n_words and 14 * n_words then 0 else -1 end",
+    _share("n_symbols", "n_words", 3, 10), _share("n_dup_lines", "n_lines", 10, 30, 3), _share("n_repeat_words", "n_words", 8, 20), _share("n_worded", "n_words", 90, 80),
+    _share("n_letters", "word_chars", 85, 75), _share("n_upper", "n_letters", 15, 40), _share("n_top_word", "n_words", 15, 30, 20), _share("n_ended_lines", "n_lines", 60, 20, 2),
+]
+_ODDS = " + ".join(["ln(prior / (1 - prior))", *(f"case v[{i}] when 1 then ln(a[{i}] / (1 - b[{i}])) when -1 then ln((1 - a[{i}]) / b[{i}]) else 0 end" for i in range(1, 11))])
+_SHARE = "({x} + coalesce(sum({w}) filter (v[{i}] {s} 0), 0)) / ({y} + coalesce(sum({w}) filter (v[{i}] <> 0), 0))"
+_ON_GOOD = [f"least(greatest({_SHARE.format(x=8, y=10, w='good', s='>', i=i)}, 0.6::double), 0.999::double)" for i in range(1, 11)]
+_ON_BAD = [f"least(greatest({_SHARE.format(x=2, y=4, w='n - good', s='<', i=i)}, 1 - {a}), 0.999::double)" for i, a in enumerate(_ON_GOOD, 1)]
+#: Expectation-maximisation as a recursion over the counts of vote patterns.
+OP12_SQL = r"""
+with recursive docs as (select doc_id, coalesce(text, '') as t, row_number() over () as row from documents),
+split as (
+  select *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines from docs),
+starts as (select row, w, unnest(range(1, len(w) - 6)) as i from split),
+windows as (select row, i, count(*) over (partition by row, array_to_string(w[i:i + 7], ' ')) as k from starts),
+repeated as (select row, count(distinct i + j) as n from windows, range(8) r(j) where k > 1 group by 1),
+tops as (select row, max(k) as n from (select row, x, count(*) as k from (select row, unnest(w) as x from split) y group by 1, 2) z group by 1),
+counts as (
+  select row, doc_id, len(w)::bigint as n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::bigint as word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols, (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines,
+    coalesce(repeated.n, 0)::bigint as n_repeat_words, len(lines) as n_lines,
+    len(list_filter(lines, lambda x: regexp_matches(x, '[.!?"'')][\x20\x09-\x0D]*$'))) as n_ended_lines,
+    length(regexp_replace(t, '[^A-Za-z\x{C0}-\x{10FFFF}]', '', 'g')) as n_letters, length(regexp_replace(t, '[^A-Z]', '', 'g')) as n_upper,
+    len(list_filter(w, lambda x: regexp_matches(x, '[A-Za-z\x{C0}-\x{10FFFF}]'))) as n_worded, coalesce(tops.n, 0) as n_top_word
+  from split left join repeated using (row) left join tops using (row)),
+voted as (select *, [{votes}]::int[] as v from counts),
+patterns as (select v, count(*)::double as n from voted group by 1),
+model(step, prior, a, b) as (
+  select 0, 0.8::double, [{start a}], [{start b}]
+  union all
+  select step + 1, (sum(good) + 8) / (sum(n) + 10), [{a}], [{b}]
+  from (select step, v, n, n / (1 + exp(-({odds}))) as good from model, patterns where step < 60) x group by step)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed,
+  not (n_words < 20 or 100 * n_repeat_words > 30 * n_words) and 1 / (1 + exp(-({odds}))) >= 0.5 as kept, len(list_filter(v, lambda x: x < 0))::bigint as n_against
+from voted, model where step = 60
+"""
+for _name, _value in {"votes": _VOTES, "start a": ["0.9::double"] * 10, "start b": ["0.5::double"] * 10, "a": _ON_GOOD, "b": _ON_BAD, "odds": [_ODDS]}.items():
+    OP12_SQL = OP12_SQL.replace(f"{{{_name}}}", ", ".join(_value))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .phrases import collocations
 
@@ -262,6 +323,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_byte_bpe": op9_byte_bpe,
     "op10_secrets": op10_secrets,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_quality": op12_quality,
     "op13_collocations": op13_collocations,
 }
 
@@ -270,5 +332,6 @@ ORACLE_SQL: dict[str, str] = {
     "op6_minhash": OP6_SQL,
     "op8_katz": OP8_SQL,
     "op10_secrets": OP10_SQL,
+    "op12_quality": OP12_SQL,
     "op13_collocations": OP13_SQL,
 }
