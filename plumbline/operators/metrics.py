@@ -2,25 +2,23 @@
 
 Every metric takes a DataFrame, the grouping keys (none: one row over all) and column expressions, and returns keys
 and values. Judging is done once, as a column; metrics that need an order first sum by distinct score, so what is
-ordered is small and partitioned by the keys.
+ordered is small and partitioned by the keys, or without keys by ranges of the score. `evaluate` gets all metrics from
+one pass (see `calibration`).
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
 from ..functions import text as T
+from . import calibration as K
+from .calibration import GROUPS, METRICS
 
-GROUPS = ("counterfactual", "consistent", "relevant_irrelevant")
-_NAN = float("nan")
-
-
-def _or_zero(c: Column) -> Column:
-    return F.coalesce(c, F.lit(0.0))
+_NAN, _or_zero = K.NAN, K.or_zero
 
 
 def accuracy(df: DataFrame, keys: Sequence[str], correct: Column) -> DataFrame:
@@ -42,68 +40,19 @@ def label_portion(df: DataFrame, keys: Sequence[str], labels: Sequence[Column])
     return df.groupBy(*keys).agg(T.portion(F.sum(found), F.count("*") * len(labels)).alias("label_extraction_portion"))
 
 
-def _by_score(df: DataFrame, keys: Sequence[str], score: Column, correct: Column) -> DataFrame:
-    """Rows (keys, score, n, hits): all later work is on distinct scores."""
-    rows = df.select(*keys, score.alias("score"), correct.cast("int").alias("hit")).where(F.col("score").isNotNull() & F.col("hit").isNotNull())
-    return rows.groupBy(*keys, "score").agg(F.count("*").alias("n"), F.sum("hit").alias("hits"))
-
-
-def _error(bins: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Weighted gap between mean confidence and accuracy over rows (keys, bin, n, hits, mass)."""
-    gap = F.abs(F.col("mass") - F.col("hits"))
-    return bins.groupBy(*keys).agg((F.sum(gap) / F.sum("n")).alias("ece"))
-
-
 def ece(df: DataFrame, keys: Sequence[str], confidence: Column, correct: Column, adaptive: bool = False) -> DataFrame:
-    """Expected calibration error over ten equal bins, or over deciles of the confidences."""
-    scores = _by_score(df, keys, T.confidence_unit(confidence), correct)
-    if adaptive:
-        ps = F.array(*[F.lit(i / 10) for i in range(11)])
-        cuts = scores.groupBy(*keys).agg(F.array_distinct(F.percentile("score", ps, F.col("n"))).alias("edges"))
-        scores = scores.join(cuts, list(keys)) if keys else scores.crossJoin(F.broadcast(cuts))  # one row
-        under = F.size(F.filter("edges", lambda e: e <= F.col("score"))) - 1
-        bin_ = F.greatest(F.lit(0), F.least(under, F.size("edges") - 2))
-    else:
-        bin_ = T.calibration_bin(F.col("score"))
-    bins = scores.groupBy(*keys, bin_.alias("bin")).agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"), F.sum(F.col("score") * F.col("n")).alias("mass"))
-    out = _error(bins, keys)
-    return out if keys else out.select(_or_zero(F.col("ece")).alias("ece"))
-
-
-def _ranked(df: DataFrame, keys: Sequence[str], confidence: Column, correct: Column) -> tuple[DataFrame, list[str]]:
-    scores = _by_score(df, keys, T.confidence_rank(confidence), correct)
-    by = list(keys) or ["_all"]
-    return (scores if keys else scores.withColumn("_all", F.lit(1))), by
-
-
-def _one_class(pos: Column, neg: Column, value: Column) -> Column:
-    return F.when(F.coalesce(pos + neg, F.lit(0)) == 0, F.lit(0.0)).when((pos == 0) | (neg == 0), F.lit(_NAN)).otherwise(value)
+    """Expected calibration error over ten equal bins, or over deciles of the confidences; 0 without scored rows."""
+    return K.measure(K.state(df, keys, correct, confidence), keys, ["ece"], adaptive=adaptive)
 
 
 def auroc(df: DataFrame, keys: Sequence[str], confidence: Column, correct: Column) -> DataFrame:
     """Chance that a correct row has more confidence than a wrong one, ties half; NaN with one class, 0 with none."""
-    scores, by = _ranked(df, keys, confidence, correct)
-    neg = F.col("n") - F.col("hits")
-    below = F.coalesce(F.sum(neg).over(Window.partitionBy(*by).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    won = scores.withColumn("won", F.col("hits") * (below + F.lit(0.5) * neg))
-    p, n = F.sum("hits"), F.sum(neg)
-    return won.groupBy(*keys).agg(_one_class(p, n, F.sum("won") / (p * n)).alias("auroc"))
+    return K.measure(K.state(df, keys, correct, confidence), keys, ["auroc"])
 
 
 def auprc(df: DataFrame, keys: Sequence[str], confidence: Column, correct: Column) -> DataFrame:
     """Area under precision over recall by trapezoids from (0, 1); NaN with one class, 0 with none."""
-    scores, by = _ranked(df, keys, confidence, correct)
-    order = Window.partitionBy(*by).orderBy(F.desc("score"))
-    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy(*by)
-    points = scores.select(
-        *by, "n", "hits", (F.sum("hits").over(upto) / F.sum("n").over(upto)).alias("p"),
-        F.when(F.sum("hits").over(whole) > 0, F.sum("hits").over(upto) / F.sum("hits").over(whole)).otherwise(0.0).alias("r"), "score",
-    )
-    before = lambda c, start: F.coalesce(F.lag(c).over(order), F.lit(start))
-    steps = points.withColumn("area", (F.col("r") - before("r", 0.0)) * (F.col("p") + before("p", 1.0)) / F.lit(2.0))
-    p, n = F.sum("hits"), F.sum(F.col("n") - F.col("hits"))
-    return steps.groupBy(*keys).agg(_one_class(p, n, F.sum("area")).alias("auprc"))
+    return K.measure(K.state(df, keys, correct, confidence), keys, ["auprc"])
 
 
 def reliability(df: DataFrame, keys: Sequence[str], confidence: Column, correct: Column) -> DataFrame:
@@ -116,31 +65,23 @@ def reliability(df: DataFrame, keys: Sequence[str], confidence: Column, correct:
     return rows.groupBy(*keys).agg(F.array(*bins).alias("bins"))
 
 
-def _all_groups(df: DataFrame, metric: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """A value for each of the three groups; null where a group is empty."""
-    skeleton = df.select(*keys).distinct() if keys else df.sparkSession.range(1).select()
-    skeleton = skeleton.withColumn("grp", F.explode(F.array(*[F.lit(g) for g in GROUPS])))
-    return skeleton.join(metric, [*keys, "grp"], "left").select(*keys, "grp", value)
+def _group_rows(df: DataFrame, keys: Sequence[str], name: str, value: str) -> DataFrame:
+    return df.select(*keys, F.explode(name).alias("g")).select(*keys, "g.grp", F.col("g.value").alias(value))
 
 
 def ece_by_group(df: DataFrame, keys: Sequence[str], confidence: Column, correct: Column, group: Column, adaptive: bool = False) -> DataFrame:
-    rows = df.withColumn("grp", group)
-    found = ece(rows.where("grp is not null"), [*keys, "grp"], confidence, correct, adaptive)
-    return _all_groups(rows, found, keys, "ece")
+    """Rows (keys, grp, ece) of all three groups; null where a group has no scored rows."""
+    return _group_rows(K.measure(K.state(df, keys, correct, confidence, group=group), keys, ["ece_by_group"], adaptive=adaptive), keys, "ece_by_group", "ece")
 
 
 def accuracy_by_group(df: DataFrame, keys: Sequence[str], correct: Column, group: Column) -> DataFrame:
-    rows = df.withColumn("grp", group)
-    found = rows.where(F.col("grp").isNotNull() & correct.isNotNull()).groupBy(*keys, "grp").agg(F.avg(correct.cast("double")).alias("accuracy"))
-    return _all_groups(rows, found, keys, "accuracy")
+    """Rows (keys, grp, accuracy) of all three groups; null where a group has no judged rows."""
+    return _group_rows(K.measure(K.state(df, keys, correct, group=group), keys, ["accuracy_by_group"]), keys, "accuracy_by_group", "accuracy")
 
 
 def _label_pairs(df: DataFrame, keys: Sequence[str], types: Column, predicted: Sequence[Column]) -> DataFrame:
     """Rows (keys, pos, expected, predicted) of all passages with a known expected label."""
-    pairs = F.arrays_zip(F.transform(types, lambda t: L.comparable_label(L.expected_label(t, fold=True))).alias("e"), F.array(*[L.comparable_label(c) for c in predicted]).alias("p"))
-    rows = df.select(*keys, F.posexplode(pairs).alias("pos", "pair"))
-    said = F.btrim(F.col("pair.p"), F.lit("#"))
-    return rows.select(*keys, (F.col("pos") + 1).alias("pos"), F.col("pair.e").alias("expected"), F.nullif(F.btrim(said), F.lit("")).alias("predicted")).where("expected is not null")
+    return df.select(*keys, F.inline(K.label_pairs(types, predicted)))
 
 
 def label_accuracy(df: DataFrame, keys: Sequence[str], types: Column, predicted: Sequence[Column], position: int | None = None) -> DataFrame:
@@ -182,41 +123,6 @@ def majority_vote(df: DataFrame, keys: Sequence[str], answer: Column, confidence
     return groups.groupBy(*keys).agg(best.alias("best")).select(*keys, "best.*")
 
 
-def _by_group(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
-    """The three groups' values as one array of (grp, value), in the order of GROUPS."""
-    cells = [F.struct(F.lit(g).alias("grp"), F.max(F.when(F.col("grp") == g, F.col(value))).alias("value")) for g in GROUPS]
-    return df.groupBy(*keys).agg(F.array(*cells).alias(name))
-
-
-#: Metric name to builder over the standard columns answer, confidence, correct, types, passage_k_label; the third
-#: argument chooses deciles as bins where a metric has bins.
-METRICS: dict[str, Callable[..., DataFrame]] = {
-    "accuracy": lambda d, k, adaptive=False: accuracy(d, k, F.col("correct")),
-    "valid_sample_portion": lambda d, k, adaptive=False: valid_portion(d, k, F.col("answer")),
-    "ave_conf": lambda d, k, adaptive=False: average_confidence(d, k, F.col("confidence")),
-    "ece": lambda d, k, adaptive=False: ece(d, k, F.col("confidence"), F.col("correct"), adaptive),
-    "ece_adaptive": lambda d, k, adaptive=True: ece(d, k, F.col("confidence"), F.col("correct"), True).withColumnRenamed("ece", "ece_adaptive"),
-    "auroc": lambda d, k, adaptive=False: auroc(d, k, F.col("confidence"), F.col("correct")),
-    "auprc": lambda d, k, adaptive=False: auprc(d, k, F.col("confidence"), F.col("correct")),
-    "reliability_diagram": lambda d, k, adaptive=False: reliability(d, k, F.col("confidence"), F.col("correct")).withColumnRenamed("bins", "reliability_diagram"),
-    "ece_by_group": lambda d, k, adaptive=False: _by_group(ece_by_group(d, k, F.col("confidence"), F.col("correct"), _group(), adaptive), k, "ece", "ece_by_group"),
-    "accuracy_by_group": lambda d, k, adaptive=False: _by_group(accuracy_by_group(d, k, F.col("correct"), _group()), k, "accuracy", "accuracy_by_group"),
-    "label_accuracy": lambda d, k, adaptive=False: label_accuracy(d, k, F.col("types"), _label_columns()),
-    "label_extraction_portion": lambda d, k, adaptive=False: label_portion(d, k, _label_columns()),
-}
-#: Metrics that need a confidence, and those that need the passages' types.
-_CONFIDENT = {"ave_conf", "ece", "ece_adaptive", "auroc", "auprc", "reliability_diagram", "ece_by_group"}
-_TYPED = {"ece_by_group", "accuracy_by_group", "label_accuracy"}
-
-
-def _group() -> Column:
-    return L.evaluation_group(F.col("types"))
-
-
-def _label_columns() -> list[Column]:
-    return [F.col(f"passage_{i}_label") for i in (1, 2, 3)]
-
-
 def detect(df: DataFrame) -> list[str]:
     """The metrics that the data has columns and values for."""
     has = lambda c: F.coalesce(F.bool_or(F.col(c).isNotNull()), F.lit(False)) if c in df.columns else F.lit(False)
@@ -224,24 +130,29 @@ def detect(df: DataFrame) -> list[str]:
     out = ["accuracy", "valid_sample_portion"]
     if row["a"] or row["b"] or row["d"]:
         out += ["label_accuracy"] * ("types" in df.columns) + ["label_extraction_portion"]
-    return out + ["ave_conf", "ece", "auroc", "auprc"] * bool(row["c"])
+    if row["c"]:
+        out += ["ave_conf", "ece", "auroc", "auprc", "reliability_diagram", *["ece_by_group", "accuracy_by_group"] * ("types" in df.columns)]
+    return out
 
 
-def evaluate(df: DataFrame, keys: Sequence[str] = ("model", "task"), metrics: Sequence[str] | None = None, places: int | None = None, adaptive: bool = False) -> DataFrame:
-    """One row for each group with a column for each metric; raises on unknown names and missing fields.
+def evaluate(
+    df: DataFrame, keys: Sequence[str] = ("model", "task"), metrics: Sequence[str] | None = None, places: int | None = None, adaptive: bool = False, merge: Sequence[str] = (),
+) -> DataFrame:
+    """One row for each group with a column for each metric, from one pass; raises on unknown names and missing fields.
 
-    adaptive: ece and ece_by_group take deciles of the confidences as bins.
+    adaptive: ece and ece_by_group take deciles of the confidences as bins. merge: some of the keys, say the data set;
+    rows with `merged` true have these taken together. Null keys are groups of their own. A group without judged rows or
+    confidences has each metric's empty value: 0, NaN for label accuracy, ten empty bins, null for an empty passage group.
     """
     metrics = list(metrics) if metrics is not None else detect(df)
     if unknown := [m for m in metrics if m not in METRICS]:
         raise ValueError(f"unknown metrics: {unknown}")
-    needed = ["answer", "correct", *["confidence"] * bool(_CONFIDENT & set(metrics)), *["types"] * bool(_TYPED & set(metrics))]
+    needed = ["answer", "correct", *["confidence"] * bool(K.CONFIDENT & set(metrics)), *["types"] * bool(K.TYPED & set(metrics))]
     if missing := [c for c in needed if c not in df.columns]:
         raise ValueError(f"missing fields: {missing}")
-    out = None
-    for m in metrics:
-        part = METRICS[m](df, list(keys), adaptive)
-        if places is not None and dict(part.dtypes)[m] == "double":
-            part = part.withColumn(m, F.bround(m, places))
-        out = part if out is None else (out.join(part, list(keys), "left") if keys else out.crossJoin(F.broadcast(part)))
-    return out
+    if unknown := [k for k in merge if k not in keys]:
+        raise ValueError(f"merged keys must be keys: {unknown}")
+    states, by = K.standard_state(df, list(keys)), list(keys)
+    if merge:
+        states, by = K.merged(states, by, list(merge)), [*by, "merged"]
+    return K.measure(states, by, metrics, places, adaptive)

@@ -65,7 +65,13 @@ def test_adaptive_single_value(spark):
 
 def test_detection_and_errors(spark, rows):
     df = frame(spark, rows[:5])
-    assert M.detect(df) == ["accuracy", "valid_sample_portion", "ave_conf", "ece", "auroc", "auprc"]
+    confident = ["ave_conf", "ece", "auroc", "auprc", "reliability_diagram"]
+    assert M.detect(df) == ["accuracy", "valid_sample_portion", *confident]
+    typed = df.withColumn("types", F.array(F.lit("relevant"))).withColumn("passage_2_label", F.lit("Relevant"))
+    labelled = ["label_accuracy", "label_extraction_portion"]
+    assert M.detect(typed.withColumn("passage_1_label", F.lit(None).cast("string")).withColumn("passage_3_label", F.lit(None).cast("string"))) == [
+        "accuracy", "valid_sample_portion", *labelled, *confident, "ece_by_group", "accuracy_by_group"
+    ]
     with pytest.raises(ValueError):
         M.evaluate(df, [], ["nonsense"])
     with pytest.raises(ValueError):
