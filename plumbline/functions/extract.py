@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -117,9 +117,21 @@ def first_match(text: Column, patterns: Sequence[str]) -> Column:
     return F.coalesce(*[F.when(text.rlike(FLAGS + p), F.regexp_extract(text, FLAGS + p, 1)) for p in patterns])
 
 
-def extract(responses: DataFrame, spec: ExtractorSpec, text_col: str = "text", unmatched: str = "skip") -> DataFrame:
+def unmatched_strategy(path: Column, default: str, by_prefix: Mapping[str, str]) -> Column:
+    """The strategy of the first prefix with which a path key begins, else the default."""
+    out = None
+    for prefix, strategy in by_prefix.items():
+        hit = path.startswith(prefix)
+        out = F.when(hit, F.lit(strategy)) if out is None else out.when(hit, F.lit(strategy))
+    return F.lit(default) if out is None else out.otherwise(F.lit(default))
+
+
+def extract(
+    responses: DataFrame, spec: ExtractorSpec, text_col: str = "text", unmatched: str = "skip", by_prefix: Mapping[str, str] | None = None, path_col: str = "path_key"
+) -> DataFrame:
     """responses with a column for each field, and matched. unmatched: skip drops rows without a required field,
-    empty_0 and empty_100 (also anything else) give them an empty answer with that confidence."""
+    empty_0 and empty_100 (also anything else) give them an empty answer with that confidence. by_prefix: other
+    strategies for the rows whose path_col begins with a prefix; the first that fits counts."""
     text = F.col(text_col)
     found = responses.withColumns({f: first_match(text, p) for f, p in spec.fields.items()})
     ok = F.lit(True)
@@ -129,18 +141,27 @@ def extract(responses: DataFrame, spec: ExtractorSpec, text_col: str = "text", u
     if spec.labels:
         recovered = recover_labels(text, [F.col(c) for c in spec.labels])
         found = found.withColumns(dict(zip(spec.labels, recovered, strict=True)))
-    if unmatched == "skip":
+    if unmatched == "skip" and not by_prefix:
         return found.where("matched")
-    filler = {"answer": "", "confidence": "0" if unmatched == "empty_0" else "100"}
-    return found.withColumns({f: F.when(F.col("matched"), F.col(f)).when(F.lit(f in filler), F.lit(filler.get(f))) for f in spec.fields})
+    strategy = unmatched_strategy(F.col(path_col), unmatched, by_prefix) if by_prefix else F.lit(unmatched)
+    filler = {"answer": F.lit(""), "confidence": F.when(strategy == "empty_0", F.lit("0")).otherwise(F.lit("100"))}
+    found = found.where(F.col("matched") | (strategy != "skip"))
+    return found.withColumns({f: F.when(F.col("matched"), F.col(f)).otherwise(filler.get(f, F.lit(None).cast("string"))) for f in spec.fields})
+
+
+#: The lines and marks that the rules look for.
+RULE_ANSWER = r"(?iuU)\[?\s*(?:Final\s+)?Answer\s*\]?\s*[:：]\s*([^\n]+)"
+RULE_CONFIDENCE = r"(?iuU)\[?\s*Confidence\s*\]?\s*[:：]\s*([^\n]+)"
+RULE_STEPS = r"(?iuU)step\s*\d+\s*[:：]"
+RULE_STEP_FOUR = r"(?iuU)step\s*4\s*[:：]"
 
 
 def rule_answer(text: Column) -> Column:
-    return _line_value(text, r"(?iuU)\[?\s*(?:Final\s+)?Answer\s*\]?\s*[:：]\s*([^\n]+)")
+    return _line_value(text, RULE_ANSWER)
 
 
 def rule_confidence(text: Column) -> Column:
-    return _line_value(text, r"(?iuU)\[?\s*Confidence\s*\]?\s*[:：]\s*([^\n]+)")
+    return _line_value(text, RULE_CONFIDENCE)
 
 
 def _line_value(text: Column, pattern: str) -> Column:
@@ -148,11 +169,11 @@ def _line_value(text: Column, pattern: str) -> Column:
 
 
 def has_steps(text: Column) -> Column:
-    return text.rlike(r"(?iuU)step\s*\d+\s*[:：]")
+    return text.rlike(RULE_STEPS)
 
 
 def has_step_four(text: Column) -> Column:
-    return text.rlike(r"(?iuU)step\s*4\s*[:：]")
+    return text.rlike(RULE_STEP_FOUR)
 
 
 #: The partner line of each kind of generated passage.

@@ -111,11 +111,12 @@ def label_block(text: Column) -> Column:
             .otherwise(state(more, (F.size(more) == 3).cast("int")))
         )
 
-    read = F.aggregate(lines, state(none, F.lit(0)), step)
     low = F.lower(text)
-    within = F.slice(_inline(F.regexp_extract(low, INLINE_BLOCK, 1)), 1, 3)
-    found = F.when(F.size(read["labels"]) == 3, read["labels"]).when(F.size(within) == 3, within)
-    return F.when((at > 0) & (read["mode"] != 2), found)
+
+    def chosen(x: Column) -> Column:
+        return F.when(x["mode"] == 2, None).when(F.size(x["labels"]) == 3, x["labels"]).otherwise(let(F.slice(_inline(F.regexp_extract(low, INLINE_BLOCK, 1)), 1, 3), lambda w: F.when(F.size(w) == 3, w)))
+
+    return F.when(at > 0, let(F.aggregate(lines, state(none, F.lit(0)), step), chosen))
 
 
 def normal_block(text: Column, labels: Column | None = None) -> Column:

@@ -35,8 +35,17 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))
 
 
-def _count(xs: Column, x: Column) -> Column:
-    return F.size(F.filter(xs, lambda y: y == x))
+def common_words(p: Column, t: Column) -> Column:
+    """Size of the intersection of two word arrays as multisets: one fold over both, sorted together."""
+    marked = lambda xs, one: F.transform(xs, lambda w: F.struct(w.alias("w"), F.lit(one).alias("p")))
+    state = lambda w, a, b, same: F.struct(w.alias("w"), a.alias("a"), b.alias("b"), same.alias("same"))
+    closed = lambda s: s["same"] + F.least(s["a"], s["b"])
+
+    def step(s: Column, x: Column) -> Column:
+        again = state(s["w"], s["a"] + x["p"], s["b"] + 1 - x["p"], s["same"])
+        return F.when(s["w"] == x["w"], again).otherwise(state(x["w"], x["p"], 1 - x["p"], closed(s)))
+
+    return F.aggregate(F.array_sort(F.concat(marked(p, 1), marked(t, 0))), state(F.lit(""), F.lit(0), F.lit(0), F.lit(0)), step, closed)
 
 
 def token_f1_of(p: Column, t: Column) -> Column:
@@ -44,7 +53,7 @@ def token_f1_of(p: Column, t: Column) -> Column:
 
     def score(x: Column) -> Column:
         n, m = F.size(x["p"]).cast("double"), F.size(x["t"]).cast("double")
-        same = F.aggregate(F.array_distinct(x["p"]), F.lit(0), lambda acc, w: acc + F.least(_count(x["p"], w), _count(x["t"], w))).cast("double")
+        same = common_words(x["p"], x["t"]).cast("double")
         return let(same, lambda k: F.when(k == 0, F.lit(0.0)).otherwise(2 * (k / n) * (k / m) / (k / n + k / m)))
 
     return let(F.struct(p.alias("p"), t.alias("t")), score)
@@ -197,6 +206,41 @@ def evaluation_truths(answer: Column, gold: Column, gt: Column, consistent: Colu
     return F.when(consistent.isNull(), first).otherwise(F.array_distinct(F.concat(F.coalesce(first, F.array().cast("array<string>")), consistent)))
 
 
+def first_filled(*arrays: Column) -> Column:
+    """The first of several arrays that is neither null nor empty; the last one where none is."""
+    return F.coalesce(*[F.when(F.size(a) > 0, a) for a in arrays], arrays[-1])
+
+
+def draw(values: Column, k: int, key: Column, seed: int = 42) -> Column:
+    """k places of an array drawn without repeats (all, if fewer), in the order of the draw.
+
+    The draw is by md5 of key, place and seed: the same on any cluster and in SQL, another one for another key.
+    """
+    digest = lambda i: F.md5(F.concat_ws("-", key.cast("string"), i.cast("string"), F.lit(str(seed))))
+    tickets = F.array_sort(F.transform(values, lambda x, i: F.struct(digest(i).alias("d"), i.alias("i"), x.alias("x"))))
+    return F.transform(F.slice(tickets, 1, k), lambda t: t["x"])
+
+
+def combinations(values: Column, k: int, most: int = 10_000) -> Column:
+    """All choices of k places of an array in the order of the places; an error where there would be more than `most`."""
+    if k < 0:
+        raise ValueError("k must not be negative")
+    n = F.size(values)
+    count = F.aggregate(F.sequence(F.lit(1), F.lit(k)), F.lit(1.0), lambda a, i: a * (n - k + i) / i) if k else F.lit(1.0)
+    none = F.array(F.array().cast("array<int>"))
+
+    def step(chosen: Column, i: Column) -> Column:
+        """Choices so far, and with place i those that lack places, if enough places are left for the rest."""
+        longer = F.transform(F.filter(chosen, lambda c: F.size(c) < k), lambda c: F.array_append(c, i))
+        return F.filter(F.concat(chosen, longer), lambda c: F.size(c) + n - 1 - i >= k)
+
+    places = F.filter(F.sequence(F.lit(0), n), lambda i: i < n)
+    full = F.array_sort(F.aggregate(places, none, step))
+    picked = F.transform(full, lambda c: F.transform(c, lambda i: F.get(values, i)))
+    too_many = F.raise_error(F.concat(F.lit("more combinations than "), F.lit(str(most))))
+    return F.when((n >= k) & (count > most), too_many).when(n < k, F.slice(picked, 1, 0)).otherwise(picked)
+
+
 def portion(part: Column, whole: Column) -> Column:
     """"c/t (p%)" with one decimal."""
     share = F.when(whole > 0, part / whole * F.lit(100.0)).otherwise(F.lit(0.0))

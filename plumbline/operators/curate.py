@@ -22,29 +22,53 @@ def validated_text(text: Column, think: Column) -> Column:
 
 
 def apply_rules(responses: DataFrame, text: Column, types: Column, think: Column, tolerate: bool = False) -> DataFrame:
-    """responses with reject_reason (null: kept), tolerated, labels, model_answer, stated_confidence and content."""
-    rows = responses.withColumn("_text", T.strip(text)).withColumn("_think", think).withColumn("_valid", validated_text(F.col("_text"), F.col("_think")))
-    valid, full, thinks = F.col("_valid"), F.col("_text"), F.col("_think")
-    rows = rows.withColumns({"labels": L.label_block(valid), "model_answer": E.rule_answer(valid), "stated_confidence": E.rule_confidence(valid), "_truth": L.expected_labels(types)})
-    differ = F.filter(F.arrays_zip(F.col("labels").alias("p"), F.col("_truth").alias("t")), lambda x: x["p"] != x["t"])
-    rows = rows.withColumn("_differ", differ)
-    mild = lambda x: x["p"].isin(L.SOME, L.NONE) & x["t"].isin(L.SOME, L.NONE)
-    excused = F.lit(tolerate) & (F.size("_differ") == 1) & F.forall("_differ", mild)
-    reason = (
-        F.when(full.isNull() | (full == ""), "blank")
-        .when(thinks & F.coalesce(valid == "", F.lit(True)), "no_think")
-        .when(~thinks & ~E.has_steps(full), "no_steps")
-        .when(~thinks & ~E.has_step_four(full), "no_step_four")
-        .when(F.col("labels").isNull(), "no_labels")
-        .when(F.col("model_answer").isNull() | F.col("stated_confidence").isNull(), "no_answer_or_confidence")
-        .when((F.size("_differ") > 0) & ~excused, "mismatch")
-    )
+    """responses with reject_reason (null: kept), tolerated, labels, model_answer, stated_confidence and content.
+
+    What a text is parsed to is generated as one struct a row: filters on the result stay above it, so a text is parsed once.
+    """
+    rows = responses.withColumn("_truth", L.expected_labels(types)).where(F.col("_truth").isNotNull())
+    parsed = T.let(F.struct(T.strip(text).alias("full"), think.alias("think")), lambda x: T.let(
+        F.struct(x["full"].alias("full"), x["think"].alias("think"), validated_text(x["full"], x["think"]).alias("valid")),
+        lambda y: F.struct(
+            y["full"].alias("full"), y["think"].alias("think"), y["valid"].alias("valid"), L.label_block(y["valid"]).alias("labels"),
+            E.rule_answer(y["valid"]).alias("answer"), E.rule_confidence(y["valid"]).alias("stated"),
+        ),
+    ))
+    judged = T.let(parsed, lambda x: _judged(x, tolerate))
+    rows = rows.select("*", F.explode(F.array(judged)).alias("_ruled"))
+    return rows.select(*[F.col(c) for c in responses.columns], *[F.col("_ruled")[c].alias(c) for c in ("labels", "model_answer", "stated_confidence", "reject_reason", "tolerated", "content")])
+
+
+def _judged(x: Column, tolerate: bool) -> Column:
+    """The result of the rules for a parsed text, beside the column _truth."""
+    full, valid, thinks, labels = x["full"], x["valid"], x["think"], x["labels"]
+    mild = lambda d: d["p"].isin(L.SOME, L.NONE) & d["t"].isin(L.SOME, L.NONE)
+    differ = F.filter(F.arrays_zip(labels.alias("p"), F.col("_truth").alias("t")), lambda d: d["p"] != d["t"])
     at = F.when(thinks, F.instr(full, "</think>")).otherwise(0)
     cut = F.when(at > 0, at + len("</think>") - 1).otherwise(0)
-    content = F.concat(F.substr(full, F.lit(1), cut), L.standard_answer(L.normal_block(F.substr(full, cut + 1), F.col("labels"))))
-    rows = rows.where(F.col("_truth").isNotNull()).withColumns({"reject_reason": reason, "tolerated": F.coalesce(excused & (F.size("_differ") == 1), F.lit(False))})
-    rows = rows.withColumn("tolerated", F.col("tolerated") & F.col("reject_reason").isNull()).withColumn("content", F.when(F.col("reject_reason").isNull(), content))
-    return rows.drop("_text", "_think", "_valid", "_truth", "_differ")
+
+    def ruled(d: Column) -> Column:
+        excused = F.lit(tolerate) & (F.size(d) == 1) & F.forall(d, mild)
+        reason = (
+            F.when(full.isNull() | (full == ""), "blank")
+            .when(thinks & F.coalesce(valid == "", F.lit(True)), "no_think")
+            .when(~thinks & ~E.has_steps(full), "no_steps")
+            .when(~thinks & ~E.has_step_four(full), "no_step_four")
+            .when(labels.isNull(), "no_labels")
+            .when(x["answer"].isNull() | x["stated"].isNull(), "no_answer_or_confidence")
+            .when((F.size(d) > 0) & ~excused, "mismatch")
+        )
+        return F.struct(reason.alias("reason"), F.coalesce(excused, F.lit(False)).alias("excused"))
+
+    def result(r: Column) -> Column:
+        kept = r["reason"].isNull()
+        content = F.concat(F.substr(full, F.lit(1), cut), L.standard_answer(L.normal_block(F.substr(full, cut + 1), labels)))
+        return F.struct(
+            labels.alias("labels"), x["answer"].alias("model_answer"), x["stated"].alias("stated_confidence"), r["reason"].alias("reject_reason"),
+            (r["excused"] & kept).alias("tolerated"), F.when(kept, content).alias("content"),
+        )
+
+    return T.let(T.let(differ, ruled), result)
 
 
 def funnel(ruled: DataFrame, keys: Sequence[str]) -> DataFrame:
