@@ -80,13 +80,18 @@ def resume_source(spark: SparkSession, input_path: str, output_path: str, check:
     return output_path if head and all(r["id"] is not None and r["question"] is not None for r in head) else input_path
 
 
-def with_position(df: DataFrame, name: str = "position") -> DataFrame:
-    """Rows numbered from 0 in file order: numbers within partitions, moved by the sizes of earlier partitions."""
+def with_position(df: DataFrame, name: str = "position", file_col: str = "file") -> DataFrame:
+    """Rows numbered from 0: by file name and place within the file where df has the file's name, else by partition.
+
+    A file of one JSON array is read by one task, row after row; which partition holds which file is Spark's choice, so the
+    places count from the file's first row and the files' sizes move them. Call it before rows are filtered or shuffled.
+    """
     rows = df.withColumn("_m", F.monotonically_increasing_id())
-    rows = rows.withColumns({"_p": F.shiftright("_m", 33), "_k": F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))})
-    sizes = rows.groupBy("_p").count()  # one row for each partition
-    starts = sizes.select("_p", (F.sum("count").over(Window.orderBy("_p")) - F.col("count")).alias("_start"))
-    return rows.join(F.broadcast(starts), "_p").withColumn(name, F.col("_k") + F.col("_start")).drop("_m", "_p", "_k", "_start")
+    part = F.col(file_col) if file_col in df.columns else F.shiftright("_m", 33)
+    rows = rows.withColumn("_p", part)
+    sizes = rows.groupBy("_p").agg(F.count("*").alias("_n"), F.min("_m").alias("_first"))  # one row for each file or partition
+    starts = sizes.select("_p", "_first", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_start"))
+    return rows.join(starts, "_p").withColumn(name, F.col("_m") - F.col("_first") + F.col("_start")).drop("_m", "_p", "_first", "_start")
 
 
 def slice_items(df: DataFrame, start: int = 0, end: int | None = None, plain: bool = False) -> DataFrame:
@@ -102,6 +107,31 @@ def slice_items(df: DataFrame, start: int = 0, end: int | None = None, plain: bo
     return rows.where((F.col("position") >= lo) & (F.col("position") < hi)).drop("position")
 
 
+def continue_in_place(spark: SparkSession, results: DataFrame, input_path: str, output_path: str, key: str = "id", schema: str = ITEM) -> int:
+    """The whole file with the results of some of its items, in place of the output; returns the number of items.
+
+    The whole file is the output where it can be continued, else the input. Items keep their order and, where results
+    have none for them, their values; results for other ids follow in the order of the ids. Of several results of an id
+    one at random would stay, so they are an error. The output is replaced at the end by a rename: a run that
+    fails before leaves it as it was.
+    """
+    from .array_sink import write_array
+
+    repeated = results.groupBy(key).count().where("count > 1").limit(1).collect()
+    if repeated:
+        raise ValueError(f"several results for {repeated[0][0]}")
+    old = with_position(read_items(spark, resume_source(spark, input_path, output_path), schema)).drop("file")
+    new = results.select(*[F.col(c).alias(f"_new_{c}") for c in results.columns], F.lit(True).alias("_has"))
+    both = old.join(new, F.col(key) == F.col(f"_new_{key}"), "full")
+    fresh = {c: F.when(F.col("_has"), F.col(f"_new_{c}")) for c in results.columns}
+    kept = {c: F.when(F.col("_has"), fresh[c]).otherwise(F.col(c)) if c in fresh else F.col(c) for c in old.columns if c not in (key, "position")}
+    added = {c: v for c, v in fresh.items() if c not in old.columns}
+    rows = both.select(F.coalesce(key, f"_new_{key}").alias(key), *[v.alias(c) for c, v in {**kept, **added}.items()], F.col("position").alias("_at"))
+    rows = rows.orderBy(F.col("_at").asc_nulls_last(), key)
+    write_array(rows.drop("_at"), output_path)
+    return read_items(spark, output_path, schema).count()
+
+
 def list_files(spark: SparkSession, directory: str, names: Sequence[str] = ()) -> DataFrame:
     """Rows (path, file) of a directory's JSON files whose names hold any of names (all, without names)."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(directory).select("path", F.element_at(F.split("path", "/"), -1).alias("file"))
