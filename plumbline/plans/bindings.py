@@ -42,10 +42,10 @@ def _three(name: str, value: str) -> str:
     return ", ".join(f"max(case when doc_id % 3 = {i} then {value} end) as {name}{i + 1}" for i in range(3))
 
 
-#: One row a prompt with three passages. Types meet texts by prompt, so each text is shuffled once.
+#: One row a prompt with three passages, empty ones where a document is missing. Types meet texts by prompt, so each text is shuffled once.
 PROMPTS = f"""
-select c.prompt, coalesce(t1, 'irrelevant') as t1, coalesce(t2, 'irrelevant') as t2, coalesce(t3, 'irrelevant') as t3, c1, c2, c3
-from (select {_PROMPT} as prompt, {_three('c', 'text')} from {{documents}} group by {_PROMPT} having count(*) = 3) c
+select c.prompt, coalesce(t1, 'irrelevant') as t1, coalesce(t2, 'irrelevant') as t2, coalesce(t3, 'irrelevant') as t3, coalesce(c1, '') as c1, coalesce(c2, '') as c2, coalesce(c3, '') as c3
+from (select {_PROMPT} as prompt, {_three('c', 'text')} from {{documents}} where doc_id is not null group by {_PROMPT}) c
 left join (select {_PROMPT} as prompt, {_three('t', _TYPE)} from {{labels}} group by {_PROMPT}) t on c.prompt = t.prompt
 """
 

@@ -104,12 +104,14 @@ _STATED = "nullif(trim(regexp_extract(text, '(?i)confidence: ([^\\n]+)', 1)), ''
 _TRUTH = f"[{_lab('t1')}, {_lab('t2')}, {_lab('t3')}]"
 
 
-def _ruled_sql(tolerate: bool) -> str:
+def _ruled_sql(tolerate: bool, think: str = "false", closed: str = "true") -> str:
+    """think: which rows are of thinking models; closed: which of these close their thought."""
     differ = "len(list_filter([1, 2, 3], lambda i: block[i] <> truth[i]))"
     excused = f"({differ} = 1 and len(list_filter([1, 2, 3], lambda i: block[i] <> truth[i] and (block[i] = 'Highly Relevant' or truth[i] = 'Highly Relevant'))) = 0)" if tolerate else "false"
     return f"""(
 select *, {excused} and reason is null as excused from (
-select *, case when trim(text) = '' then 'blank' when not regexp_matches(text, '(?i)step\\s*\\d+\\s*:') then 'no_steps' when not regexp_matches(text, '(?i)step\\s*4\\s*:') then 'no_step_four'
+select *, case when trim(text) = '' then 'blank' when {think} and not ({closed}) then 'no_think'
+  when not ({think}) and not regexp_matches(text, '(?i)step\\s*\\d+\\s*:') then 'no_steps' when not ({think}) and not regexp_matches(text, '(?i)step\\s*4\\s*:') then 'no_step_four'
   when block is null then 'no_labels' when ans is null or stated is null then 'no_answer_or_confidence'
   when {differ} > 0 and not {excused} then 'mismatch' end as reason
 from (select *, {_BLOCK} as block, {_ANSWER} as ans, {_STATED} as stated, {_TRUTH} as truth from {duck('resp')} r0) r1) r2)"""
@@ -442,9 +444,14 @@ def remove_longest(spark: SparkSession, d: str) -> DataFrame:
     return C.remove_longest(spark.read.parquet(f"{d}/conversations.parquet"), ["conv_id"], _c("text"), _c("turn"), 0.3).select("conv_id", "turn")
 
 
-@query("common_ids", "select user_id from events where value > 150 group by user_id having count(distinct event_type) = (select count(distinct event_type) from events where value > 150)")
+_TEN = "cast(floor(event_id / 10.0) as bigint)"
+
+
+@query("common_ids", f"select {_TEN} as block from events group by 1 having count(distinct event_type) = (select count(distinct event_type) from events)")
 def common_ids(spark: SparkSession, d: str) -> DataFrame:
-    return C.common_ids(spark.read.parquet(f"{d}/events.parquet").where("value > 150"), "user_id", "event_type")
+    """Blocks of ten events in which every type occurs."""
+    rows = spark.read.parquet(f"{d}/events.parquet").select(F.expr(_TEN).alias("block"), "event_type")
+    return C.common_ids(rows, "block", "event_type")
 
 
 _PG = f"(select prompt, {_GROUP.format('irrelevant', chr(39) + 'unknown' + chr(39))} as grp from {duck('prompts')} g)"
@@ -669,3 +676,6 @@ def evaluate_nested(spark: SparkSession, d: str) -> DataFrame:
     out = M.evaluate(rows, ["model"], ["reliability_diagram", "accuracy_by_group"])
     keep = {"ignoreNullFields": "false"}
     return out.select("model", F.to_json("reliability_diagram", keep).alias("reliability_diagram"), F.to_json("accuracy_by_group", keep).alias("accuracy_by_group"))
+
+
+from . import edge_queries  # noqa: E402, F401  (registers its queries)
