@@ -1,10 +1,13 @@
 """Main text of web pages: flat text blocks classified by a decision tree on shallow features.
 
 A page is read once, as a flat list of blocks (text between block-level tags). A block's features are its number of
-words and its link density, the same of the block before and after, whether it is a heading, and a structural
-hint from the innermost element that says something: no part of an article by its own meaning (-2: a menu, footer,
-form, readers' comments), a name that boilerplate often has (-1), article (+1) or nothing (0). The tree is
-grown (Gini impurity) on the small labelled table below. Pages stay in their partition: there is no shuffle.
+words and its link density, the same of the block before and after, whether it is a heading, a structural hint from
+the innermost element that says something (-2: by its meaning no part of an article, say a menu, a footer, a form; -1: a name
+that boilerplate often has; +1: article; 0: nothing), and the share of the page's words that stand under that element.
+Inside readers' comments it is the comments' element that speaks. No hint decides alone: an element that holds most of
+a page is no sidebar whatever its name, and then words and links decide. Names count as a whole (`no-sidebar` and
+`article-header` name no sidebar and no header), and those of html and body, which say what a page has, do not count.
+The tree is grown (Gini impurity) on the small labelled table below. Pages stay in their partition: there is no shuffle.
 
 Defined cases: null and empty pages give an empty text; pages without tags are one block; unclosed elements end
 where an enclosing element ends; a start tag that ends in /> opens nothing; the text of HIDDEN elements is left out only
@@ -39,22 +42,26 @@ _CONTAINERS = frozenset("html body div section article main nav header footer as
 HIDDEN = frozenset("noscript select svg iframe object canvas audio video button".split())
 _BAD_TAGS = frozenset("nav footer aside form menu dialog fieldset".split())
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_WHERE = r"(?:(?:site|page|main|top|bottom|left|right|primary|secondary|global|sub|mobile|desktop|user|cookie|privacy|header|footer|comment|comments)[-_])?"
+_WHAT = r"(?:[-_](?:container|wrapper|wrap|inner|outer|box|bar|area|list|section|block|links?|left|right|top|bottom|primary|secondary|slot|unit))?"
 _BAD_NAME = re.compile(
-    r"^(?:ads?|adv|adverts?|advertisement|breadcrumbs?|comments?|comment\w*|consent|contentinfo|cookies?|cookie\w*|disqus|footer|foot|form|header|"
-    r"masthead|menu|menubar|nav|navbar|navigation|newsletter|notice|notices|pagination|replies|reply|sidebar|sponsor|sponsored|subscribe|"
-    r"topbar|gdpr|login|signup|discussion|responses)$",
+    rf"^{_WHERE}(?:ads?|adv|adverts?|advertisement|breadcrumbs?|comments?|consent|contentinfo|cookies?|disqus|footer|foot|"
+    rf"masthead|menu|menubar|nav|navbar|navigation|newsletter|notice|notices|pagination|replies|reply|sidebar|sponsor|sponsored|subscribe|"
+    rf"topbar|gdpr|login|signup|discussion|responses){_WHAT}$",
     re.I,
 )
-#: Names that boilerplate often has; whether it is some is for words and links to say.
+#: A header by name, which within an article is the article's own.
+_HEAD_NAME = re.compile(rf"^{_WHERE}(?:header|masthead){_WHAT}$", re.I)
+#: Names that boilerplate often has.
 _DOUBTFUL = re.compile(
-    r"^(?:alert|banner|complementary|modal|pager|popup|promo|promotion|recommended|related|search|share|sharing|side|social|tags|toolbar|widgets?)$", re.I
+    rf"^{_WHERE}(?:alert|banner|complementary|form|modal|pager|popup|promo|promotion|recommended|related|search|share|sharing|side|social|tags|toolbar|widgets?){_WHAT}$", re.I
 )
-_GOOD_NAME = re.compile(r"^(?:article|articlebody|body|content|entry|hentry|main|maincontent|post|posttext|story|text)$", re.I)
-_COMMENTS = re.compile(r"^(?:comments?|comment\w*|replies|reply|disqus|discussion|responses)$", re.I)
+_GOOD_NAME = re.compile(r"^(?:article|articlebody|body|content|entry|hentry|main|maincontent|post|posttext|story|text|(?:article|entry|main|page|post|story)[-_](?:body|content|text))$", re.I)
+_COMMENTS = re.compile(rf"^{_WHERE}(?:comments?|replies|reply|disqus|discussion|responses){_WHAT}$", re.I)
 
 #: Labelled blocks, made by hand: words, link density, words before, link density before, words after, link density
-#: after, heading, hint; then 1 for main text.
-LABELLED = [
+#: after, heading, hint; then 1 for main text. Their elements hold the usual share of a page, see USUAL.
+_USUAL_BLOCKS = [
     (6, 1.0, 0, 0.0, 1, 1.0, 0, -2, 0), (1, 1.0, 6, 1.0, 1, 1.0, 0, -2, 0), (1, 1.0, 1, 1.0, 9, 0.0, 0, -2, 0),
     (12, 0.0, 1, 1.0, 10, 0.0, 0, -2, 0), (25, 0.0, 2, 1.0, 60, 0.0, 0, -2, 0), (80, 0.0, 40, 0.0, 6, 0.5, 0, -2, 0),
     (14, 0.1, 70, 0.0, 0, 0.0, 0, -2, 0), (3, 0.0, 12, 0.0, 45, 0.0, 1, -2, 0), (45, 0.0, 3, 0.0, 30, 0.0, 0, -2, 0),
@@ -98,7 +105,27 @@ LABELLED = [
     (3, 0.0, 120, 0.0, 150, 0.0, 0, -1, 0), (70, 0.0, 50, 0.0, 2, 1.0, 0, -1, 0), (16, 0.0, 2, 0.5, 3, 0.0, 0, -1, 0),
     (120, 0.0, 90, 0.0, 100, 0.0, 0, -1, 1), (150, 0.0, 20, 0.0, 80, 0.0, 0, -1, 1), (300, 0.0, 9, 0.0, 0, 0.0, 0, -1, 1),
     (110, 0.1, 60, 0.0, 70, 0.0, 0, -1, 1), (200, 0.0, 2, 1.0, 3, 1.0, 0, -1, 1), (180, 0.2, 0, 0.0, 140, 0.1, 0, -1, 1),
+    (120, 0.0, 90, 0.0, 60, 0.0, 0, 1, 1), (45, 0.0, 2, 1.0, 3, 1.0, 0, 1, 1), (9, 0.0, 60, 0.0, 16, 0.0, 0, 1, 1),
 ]
+#: The share of a page's words under an element, by hint, that the blocks above stand for.
+USUAL = {-2: 0.1, -1: 0.2, 0: 0.8, 1: 0.8}
+#: More labelled blocks, with the share before the label: names against most of a page's words, little articles, pages without names.
+_UNUSUAL_BLOCKS = [
+    (60, 0.0, 30, 0.0, 3, 0.0, 0, -2, 0.9, 1), (20, 0.0, 25, 0.0, 40, 0.0, 0, -2, 0.9, 1), (150, 0.0, 90, 0.0, 80, 0.0, 0, -2, 0.95, 1),
+    (12, 0.0, 60, 0.0, 45, 0.0, 0, -2, 0.9, 1), (8, 0.0, 2, 1.0, 45, 0.0, 1, -2, 0.9, 1), (30, 0.1, 20, 0.0, 0, 0.0, 0, -2, 1.0, 1),
+    (9, 0.0, 8, 0.0, 10, 0.0, 0, -2, 0.9, 1), (5, 0.0, 30, 0.0, 35, 0.0, 1, -2, 0.95, 1), (300, 0.0, 0, 0.0, 0, 0.0, 0, -2, 1.0, 1),
+    (60, 0.0, 30, 0.0, 3, 0.0, 0, -1, 0.9, 1), (20, 0.0, 25, 0.0, 40, 0.0, 0, -1, 0.95, 1), (12, 0.0, 60, 0.0, 45, 0.0, 0, -1, 0.9, 1),
+    (3, 1.0, 2, 1.0, 2, 1.0, 0, -2, 0.9, 0), (2, 1.0, 50, 0.0, 2, 1.0, 0, -2, 0.9, 0), (20, 0.8, 3, 1.0, 6, 0.9, 0, -2, 0.8, 0),
+    (1, 1.0, 1, 1.0, 1, 1.0, 0, -2, 1.0, 0), (6, 0.7, 9, 0.5, 4, 1.0, 0, -1, 0.9, 0), (120, 0.6, 30, 0.4, 90, 0.7, 0, -1, 0.9, 0),
+    (2, 0.0, 250, 0.0, 90, 1.0, 0, -1, 1.0, 0), (3, 0.0, 60, 0.0, 20, 1.0, 0, -2, 0.9, 0), (2, 0.0, 120, 0.0, 30, 1.0, 0, -1, 0.9, 0),
+    (300, 0.0, 0, 0.0, 90, 0.0, 0, -2, 0.77, 0), (60, 0.0, 40, 0.0, 80, 0.0, 0, -2, 0.75, 0), (30, 0.0, 12, 0.0, 25, 0.0, 0, -2, 0.7, 0),
+    (16, 0.0, 9, 0.0, 0, 0.0, 0, -2, 0.5, 0), (14, 0.0, 6, 1.0, 2, 0.0, 0, -2, 0.4, 0), (40, 0.0, 12, 0.0, 20, 0.0, 0, -2, 0.5, 0),
+    (25, 0.0, 2, 1.0, 3, 1.0, 0, 1, 0.1, 1), (2, 0.0, 14, 0.0, 16, 0.0, 1, 1, 0.1, 1), (4, 0.0, 13, 0.0, 16, 0.0, 0, 1, 0.2, 1),
+    (7, 0.0, 0, 0.0, 0, 0.0, 0, 0, 1.0, 1), (3, 0.0, 4, 0.0, 2, 0.0, 0, 0, 1.0, 1), (5, 0.0, 5, 0.0, 6, 0.0, 0, 0, 1.0, 1),
+    (2, 0.0, 6, 0.0, 7, 0.0, 0, 0, 1.0, 1), (6, 0.0, 7, 0.0, 0, 0.0, 0, 0, 1.0, 1), (4, 0.0, 0, 0.0, 6, 0.0, 1, 0, 1.0, 1),
+    (4, 0.0, 3, 1.0, 2, 1.0, 0, 0, 1.0, 0), (2, 0.5, 0, 0.0, 3, 1.0, 0, 0, 1.0, 0), (1, 1.0, 7, 0.0, 0, 0.0, 0, 0, 1.0, 0), (3, 0.67, 0, 0.0, 48, 0.0, 0, 0, 1.0, 0),
+]
+LABELLED = [(*b[:8], USUAL[b[7]], b[8]) for b in _USUAL_BLOCKS] + _UNUSUAL_BLOCKS
 
 
 @dataclass
@@ -141,22 +168,27 @@ def tree() -> Node:
 
 
 @lru_cache(4096)
-def _hint(tag: str, attrs: str) -> tuple[int, bool]:
-    """What an element says of its text, and whether it holds readers' comments."""
-    names = [x for m in _NAMED.finditer(attrs) for x in re.split(r"[\s_-]+", next(g for g in (*m.groups(), "") if g is not None)) if x]
+def _hint(tag: str, attrs: str) -> tuple[int, str]:
+    """What an element says of its text, and what it is: readers' comments, a header, an article, or none of these."""
+    if tag in ("html", "body"):
+        return 0, ""
+    names = [x for m in _NAMED.finditer(attrs) for x in next(g for g in (*m.groups(), "") if g is not None).split()]
     if any(_COMMENTS.match(x) for x in names):
-        return -2, True
-    if tag in _BAD_TAGS or (tag == "header" and not names) or any(_BAD_NAME.match(x) for x in names):
-        return -2, False
+        return -2, "comments"
+    if tag == "header" or any(_HEAD_NAME.match(x) for x in names):
+        return -2, "header"
+    if tag in _BAD_TAGS or any(_BAD_NAME.match(x) for x in names):
+        return -2, ""
     if any(_DOUBTFUL.match(x) for x in names):
-        return -1, False
-    return (1, False) if tag in ("article", "main") or any(_GOOD_NAME.match(x) for x in names) else (0, False)
+        return -1, ""
+    return (1, "article") if tag in ("article", "main") or any(_GOOD_NAME.match(x) for x in names) else (0, "")
 
 
 class _Reader:
     def __init__(self) -> None:
-        self.blocks: list[tuple[str, int, int, int, int]] = []  # text, words, linked words, heading, hint
-        self.stack: list[tuple[str, int, bool]] = []
+        self.blocks: list[tuple[str, int, int, int, int, int]] = []  # text, words, linked words, heading, hint, element that gives the hint
+        self.stack: list[tuple[str, int, str, int]] = []  # tag, hint, what it is, number
+        self.elements = 0
         self.parts: list[str] = []
         self.linked: list[str] = []
         self.in_link = 0
@@ -169,17 +201,17 @@ class _Reader:
             if text:
                 linked = len(html.unescape(" ".join(self.linked)).split())
                 words = text.count(" ") + 1
-                self.blocks.append((text, words, min(linked, words), self.heading, self.hint()))
+                self.blocks.append((text, words, min(linked, words), self.heading, *self.hint()))
         self.parts, self.linked = [], []
 
-    def hint(self) -> int:
-        """The innermost element that says something decides; inside comments nothing is an article."""
-        found = 0
-        for tag, hint, comments in reversed(self.stack):
-            if comments:
-                return -2
-            if not found and hint and not (tag == "header" and any(t in ("article", "main") for t, _, _ in self.stack)):
-                found = hint
+    def hint(self) -> tuple[int, int]:
+        """The hint and the number of the element that gives it: comments first, else the innermost that says something."""
+        found, article = (0, 0), any(kind == "article" for _, _, kind, _ in self.stack)
+        for _, hint, kind, number in reversed(self.stack):
+            if kind == "comments":
+                return hint, number
+            if not found[0] and hint and not (kind == "header" and article):
+                found = hint, number
         return found
 
     def text(self, s: str) -> None:
@@ -192,7 +224,7 @@ class _Reader:
         if name in HIDDEN:
             self.flush()
             if hides:
-                self.stack.append((name, 0, False))
+                self.push(name, 0, "")
                 self.hidden += 1
             elif end:
                 self.close(name)
@@ -216,12 +248,16 @@ class _Reader:
             if end:
                 self.close(name)
             elif not attrs.rstrip().endswith("/"):
-                self.stack.append((name, *_hint(name, attrs)))
+                self.push(name, *_hint(name, attrs))
+
+    def push(self, name: str, hint: int, kind: str) -> None:
+        self.elements += 1
+        self.stack.append((name, hint, kind, self.elements))
 
     def close(self, name: str) -> None:
         for k in range(len(self.stack) - 1, -1, -1):
             if self.stack[k][0] == name:
-                self.hidden -= sum(t in HIDDEN for t, _, _ in self.stack[k:])
+                self.hidden -= sum(x[0] in HIDDEN for x in self.stack[k:])
                 del self.stack[k:]
                 break
 
@@ -246,8 +282,7 @@ def _hiding(tokens: list[re.Match]) -> set[int]:
     return found
 
 
-def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
-    """The flat list of a page's text blocks: text, words, linked words, heading, hint."""
+def _read(page: str) -> list[tuple[str, int, int, int, int, int]]:
     r, at = _Reader(), 0
     tokens = list(_TOKEN.finditer(page))
     hiding = _hiding(tokens)
@@ -263,19 +298,32 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
     return r.blocks
 
 
-def main_text(page: str | None) -> str:
-    found = blocks(page or "")
+def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
+    """The flat list of a page's text blocks: text, words, linked words, heading, hint."""
+    return [b[:5] for b in _read(page)]
+
+
+def features(page: str) -> list[tuple[str, tuple]]:
+    """Each block's text and features, in the order of LABELLED."""
+    found = _read(page)
     dense = [(b[1], b[2] / b[1]) for b in found]
-    edge, keep, t = (0, 0.0), [], tree()
+    under: dict[int, int] = {}
+    for b in found:
+        under[b[5]] = under.get(b[5], 0) + b[1]
+    total, edge, out = sum(under.values()), (0, 0.0), []
     for i, b in enumerate(found):
         before, after = dense[i - 1] if i else edge, dense[i + 1] if i + 1 < len(dense) else edge
-        if t((*dense[i], *before, *after, b[3], b[4])):
-            keep.append(b[0])
-    return "\n".join(keep)
+        out.append((b[0], (*dense[i], *before, *after, b[3], b[4], under[b[5]] / total)))
+    return out
+
+
+def main_text(page: str | None) -> str:
+    t = tree()
+    return "\n".join(text for text, x in features(page or "") if t(x))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ("url",)) -> DataFrame:
-    """Per row: id, the columns in keep, text and n_chars (its code points)."""
+    """Per row: id, the columns in keep, text and n_chars (its code points); names that keep has already get underscores behind them."""
     prepare(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,7 +332,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", k
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=names)
 
     html_at = fresh(pages, "_html")
-    df = spread(pages.select(*dict.fromkeys([id_col, *keep]), F.col(html_col).cast("string").alias(html_at)))
-    schema = df.drop(html_at).schema.add("text", "string").add("n_chars", "long")
+    kept = pages.select(*dict.fromkeys([id_col, *keep]))
+    df = spread(pages.select(*kept.columns, F.col(html_col).cast("string").alias(html_at)))
+    schema = kept.schema.add(fresh(kept, "text"), "string").add(fresh(kept, "n_chars"), "long")
     names = schema.names
     return df.mapInArrow(run, schema)
