@@ -107,8 +107,8 @@ _USUAL_BLOCKS = [
     (110, 0.1, 60, 0.0, 70, 0.0, 0, -1, 1), (200, 0.0, 2, 1.0, 3, 1.0, 0, -1, 1), (180, 0.2, 0, 0.0, 140, 0.1, 0, -1, 1),
     (120, 0.0, 90, 0.0, 60, 0.0, 0, 1, 1), (45, 0.0, 2, 1.0, 3, 1.0, 0, 1, 1), (9, 0.0, 60, 0.0, 16, 0.0, 0, 1, 1),
 ]
-#: The share of a page's words under an element, by hint, that the blocks above stand for.
-USUAL = {-2: 0.1, -1: 0.2, 0: 0.8, 1: 0.8}
+#: The shares of a page's words under an element, by hint, that each of the blocks above stands for.
+USUAL = {-2: (0.1, 0.4), -1: (0.1, 0.4), 0: (0.2, 0.5, 0.8), 1: (0.2, 0.5, 0.8)}
 #: More labelled blocks, with the share before the label: names against most of a page's words, little articles, pages without names.
 _UNUSUAL_BLOCKS = [
     (60, 0.0, 30, 0.0, 3, 0.0, 0, -2, 0.9, 1), (20, 0.0, 25, 0.0, 40, 0.0, 0, -2, 0.9, 1), (150, 0.0, 90, 0.0, 80, 0.0, 0, -2, 0.95, 1),
@@ -125,7 +125,7 @@ _UNUSUAL_BLOCKS = [
     (2, 0.0, 6, 0.0, 7, 0.0, 0, 0, 1.0, 1), (6, 0.0, 7, 0.0, 0, 0.0, 0, 0, 1.0, 1), (4, 0.0, 0, 0.0, 6, 0.0, 1, 0, 1.0, 1),
     (4, 0.0, 3, 1.0, 2, 1.0, 0, 0, 1.0, 0), (2, 0.5, 0, 0.0, 3, 1.0, 0, 0, 1.0, 0), (1, 1.0, 7, 0.0, 0, 0.0, 0, 0, 1.0, 0), (3, 0.67, 0, 0.0, 48, 0.0, 0, 0, 1.0, 0),
 ]
-LABELLED = [(*b[:8], USUAL[b[7]], b[8]) for b in _USUAL_BLOCKS] + _UNUSUAL_BLOCKS
+LABELLED = [(*b[:8], share, b[8]) for b in _USUAL_BLOCKS for share in USUAL[b[7]]] + _UNUSUAL_BLOCKS
 
 
 @dataclass
