@@ -14,7 +14,8 @@ The benchmark is used in slices of about `max_items` items and `max_bytes` bytes
 documents that writes its matches only, so what the driver and an executor hold is bounded however large the benchmark
 is. With one slice documents are never shuffled; with several the few matches are joined to their rows at the end.
 
-Defined cases: null texts and texts without words match nothing; items without words are left out; an item with
+Defined cases: null texts and texts without words match nothing; items without words or without an id (a whole number) are
+left out; rows of the benchmark that share an id are items of their own, each with its matches; an item with
 fewer words than a shingle is one shingle; a document shorter than an item is one window; repeated items and
 documents each have their own matches; of equally similar windows the first counts; empty tables give no match.
 """
@@ -120,7 +121,7 @@ class Index:
 
     def search(self, by_k: dict[int, tuple[np.ndarray, np.ndarray]], n_words: int) -> list[tuple]:
         """Matches of one document; by_k: its shingles and which are hits, by shingle length."""
-        best: dict[int, tuple] = {}
+        best: dict[tuple[int, int], tuple] = {}
         sums: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for k, (s, hit) in by_k.items():
             count = np.zeros(len(s) + 1, np.int64)
@@ -138,7 +139,7 @@ class Index:
             for run in np.split(starts, np.flatnonzero(np.diff(starts) > size) + 1) if len(starts) else ():
                 for lo in range(0, len(run), 4096):
                     self._windows(g, s, run[lo : lo + 4096], size, best)
-        return [best[i] for i in sorted(best)]
+        return sorted(best.values())
 
     def _windows(self, g: Group, s: np.ndarray, starts: np.ndarray, size: int, best: dict) -> None:
         a, z = starts[0], starts[-1] + size
@@ -148,9 +149,9 @@ class Index:
         for w, i, d in zip(window, item, dist, strict=True):
             p = int(starts[w])
             sim = weighted_jaccard(np.unique(s[p : p + size], return_counts=True), g.sets[i])
-            old = best.get(g.ids[i])
+            old = best.get(at := (g.size, int(i)))  # an item is a row of the benchmark, whatever its id
             if sim >= self.threshold and (old is None or (-sim, p) < (-old[3], old[1])):
-                best[g.ids[i]] = (g.ids[i], p, size + g.k - 1, sim, int(d))
+                best[at] = (g.ids[i], p, size + g.k - 1, sim, int(d))
 
     def search_all(self, col: pa.Array) -> list[list[tuple]]:
         out: list[list[tuple]] = []

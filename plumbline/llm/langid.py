@@ -12,13 +12,14 @@ labelled row gives `und` for all; empty tables give empty results.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -217,27 +218,33 @@ def softmax(x: np.ndarray) -> np.ndarray:
 
 def fit(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-    max_docs: int = 400, max_chars: int = 50_000, max_rows: int = 20_000, order: int = 4, holdout: tuple[int, int] | None = (3, 1),
+    max_docs: int = 400, max_chars: int = 50_000, max_rows: int = 20_000, max_total: int = 64_000_000, order: int = 4, holdout: tuple[int, int] | None = (3, 1),
 ) -> Model:
-    """Learn from at most about max_docs texts a language and max_rows in all, drawn by a hash of the id. Of a longer
-    text max_chars characters are learned, from a place drawn by that hash, so that a language of long texts is too.
+    """Learn from at most max_docs texts a language and about max_rows in all, drawn by a hash of id and text; equal rows
+    are drawn once, and every language has one at least. Of a longer text max_chars characters are learned, or fewer where all
+    together would pass max_total, from a place drawn by that hash, so that a language of long texts is learned too.
 
     holdout (n, r): rows whose crc32(id as text) mod n is r are not learned from.
     """
     prepare(docs.sparkSession)
+    digest = F.pmod(F.xxhash64("i", "t"), F.lit(1 << 62))
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
     rows = rows.where(F.col("l").isNotNull() & F.col("t").isNotNull())
     if holdout:
         rows = rows.where(F.coalesce(crc_mod("i", holdout[0]), F.lit(0)) != holdout[1])
-    sizes = written(rows.groupBy("l").count(), "languages")
-    n = sizes.count()
-    rate = sizes.select("l", (F.lit(min(float(max_docs), max_rows / max(n, 1))) / F.col("count")).alias("rate"))
+    sizes = written(rows.groupBy("l").agg(F.count("*").alias("count"), F.min(digest).alias("first")), "languages")
+    n = max(sizes.count(), 1)
+    share = min(float(max_docs), max_rows / n)
+    rate = sizes.select("l", "first", (F.lit(share) / F.col("count")).alias("rate"))
     rate = F.broadcast(rate) if n <= max_rows else rate
-    drawn = F.pmod(F.xxhash64("i"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    beyond = F.length("t") - F.lit(max_chars)
+    chars = max(1, min(max_chars, int(max_total / (n * share))))
+    beyond = F.length("t") - F.lit(chars)
     start = F.when(beyond > 0, F.pmod(F.xxhash64("i", F.lit("place")), beyond.cast("long") + 1)).otherwise(F.lit(0)) + 1
-    piece = F.substring(F.col("t"), start.cast("int"), F.lit(max_chars))
-    got = rows.join(rate, "l").where(drawn < F.col("rate")).select(piece.alias("t"), "l", "i").orderBy("l", "i", "t").toArrow()
+    piece = F.substring(F.col("t"), start.cast("int"), F.lit(chars))
+    drawn = rows.withColumn("d", digest).join(rate, "l").where((F.col("d") / F.lit(float(1 << 62)) < F.col("rate")) | (F.col("d") == F.col("first")))
+    drawn = drawn.select(piece.alias("t"), "l", "i", "d").dropDuplicates(["l", "d"])  # about max_docs rows a language are left
+    place = F.row_number().over(Window.partitionBy("l").orderBy("d"))
+    got = drawn.withColumn("n", place).where(F.col("n") <= max(1, min(max_docs, math.ceil(share)))).select("t", "l", "i").orderBy("l", "i", "t").toArrow()
     drop(sizes)
     return train(got.column("t").to_pylist(), got.column("l").to_pylist(), order)
 

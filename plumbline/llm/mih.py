@@ -11,7 +11,8 @@ blocks like any others, so no vector or code makes a hot task. The number of res
 
 Defined cases: vectors that are null, zero, of another length than most, or hold null or non-finite values take no
 part; rows without an id take no part; rows that share an id count once, with the smallest vector; a block with
-fewer than k codes within the radius is ranked whole; ties go to the smaller id; empty tables give empty results.
+fewer than k codes within the radius is ranked whole; ties go to the smaller id; products beyond the range of doubles are
+infinite, those below it zero, and a sum of both infinities (NaN) comes last; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -38,7 +39,12 @@ class Model:
 
     def codes(self, x: np.ndarray) -> np.ndarray:
         """(n, PARTS) substrings of WIDTH bits."""
-        return np.packbits(x @ self.rotation > 0, axis=1)
+        return np.packbits(scaled(x) @ self.rotation > 0, axis=1)
+
+
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Each row divided by its largest component, so that squares and sums neither overflow nor vanish."""
+    return x / np.abs(x).max(axis=1, keepdims=True, initial=0.0)
 
 
 def distances(codes: np.ndarray, code: np.ndarray) -> np.ndarray:
@@ -51,7 +57,8 @@ def learn(x: np.ndarray, k: int = 20, target: float = 0.95, rounds: int = 30, se
     dim = x.shape[1] if len(x) else 1
     if len(x) < 2:
         return Model(rng.standard_normal((dim, BITS)), BITS)
-    y = x / np.linalg.norm(x, axis=1, keepdims=True)
+    y = scaled(x)
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
     take = min(dim, BITS)
     _, axes = np.linalg.eigh(y.T @ y)
     axes = axes[:, ::-1][:, :take]
@@ -65,9 +72,9 @@ def learn(x: np.ndarray, k: int = 20, target: float = 0.95, rounds: int = 30, se
         rotation = np.concatenate([rotation, rng.standard_normal((dim, BITS - take))], axis=1)
     m = Model(rotation, BITS)
     codes = m.codes(x)
-    seen = []
+    seen, most = [], x / np.abs(x).max()  # nearest stay nearest when all are divided by one number
     for q in rng.permutation(len(x))[:256]:
-        score = x @ x[q]
+        score = most @ most[q]
         score[q] = -np.inf
         near = np.argpartition(-score, min(k, len(x) - 1) - 1)[: min(k, len(x) - 1)]
         seen.append(distances(codes[near], codes[q]))
@@ -104,11 +111,13 @@ class Block:
         found = found[self.ids[found] != query_id]
         if len(found) < k:
             found = np.flatnonzero(self.ids != query_id)
-        score = self.x[found] @ q
+        with np.errstate(over="ignore", invalid="ignore"):
+            score = self.x[found] @ q
         if len(found) > k:
-            kth = np.partition(score, len(score) - k)[len(score) - k]
-            found = found[score >= kth - 1e-9 * max(1.0, abs(kth))]
-        score = (self.x[found] * q).sum(axis=1)  # the same order of addition for every row, so ties are ties
+            kth = np.partition(score, len(score) - k)[len(score) - k] if np.isfinite(score).all() else -np.inf
+            found = found[score >= kth - 1e-9 * max(1.0, abs(kth))] if np.isfinite(kth) else found
+        with np.errstate(over="ignore", invalid="ignore"):
+            score = (self.x[found] * q).sum(axis=1)  # the same order of addition for every row, so ties are ties
         best = np.lexsort((self.ids[found], -score))[:k]
         return self.ids[found[best]], score[best]
 
@@ -162,5 +171,5 @@ def search(
     left = rows.select("id", "v", block("id", nb).alias("b")).withColumn("qb", each(nq))
     right = queries.select("id", "v", block("id", nq).alias("qb")).withColumn("b", each(nb))
     found = left.groupBy("b", "qb").cogroup(right.groupBy("b", "qb")).applyInArrow(run, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query_id").orderBy(F.isnan("score"), F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
