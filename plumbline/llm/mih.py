@@ -12,7 +12,7 @@ blocks like any others, so no vector or code makes a hot task. The number of res
 Defined cases: vectors that are null, zero, of another length than most, or hold null or non-finite values take no
 part; rows without an id take no part; rows that share an id count once, with the smallest vector; a block with
 fewer than k codes within the radius is ranked whole; ties go to the smaller id; products beyond the range of doubles are
-infinite, those below it zero, and a sum of both infinities (NaN) comes last; empty tables give empty results.
+infinite, those below it zero, and a sum of both infinities (NaN) ranks as the lower one; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -118,7 +118,7 @@ class Block:
             found = found[score >= kth - 1e-9 * max(1.0, abs(kth))] if np.isfinite(kth) else found
         with np.errstate(over="ignore", invalid="ignore"):
             score = (self.x[found] * q).sum(axis=1)  # the same order of addition for every row, so ties are ties
-        best = np.lexsort((self.ids[found], -score))[:k]
+        best = np.lexsort((self.ids[found], -np.where(np.isnan(score), -np.inf, score)))[:k]
         return self.ids[found[best]], score[best]
 
 
@@ -162,7 +162,9 @@ def search(
                 r.append(ids)
                 s.append(score)
         none = [np.zeros(0)]
-        return pa.table({"query_id": np.concatenate(q or none).astype(np.int64), "vec_id": np.concatenate(r or none).astype(np.int64), "score": np.concatenate(s or none)})
+        score = np.concatenate(s or none)
+        order = np.where(np.isnan(score), -np.inf, score)
+        return pa.table({"query_id": np.concatenate(q or none).astype(np.int64), "vec_id": np.concatenate(r or none).astype(np.int64), "score": score, "order": order})
 
     queries = rows.where(is_query(F.col("id")))
     nb, nq = -(-n // ROW_BLOCK), max(1, -(-queries.count() // QUERY_BLOCK))
@@ -170,6 +172,6 @@ def search(
     each = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     left = rows.select("id", "v", block("id", nb).alias("b")).withColumn("qb", each(nq))
     right = queries.select("id", "v", block("id", nq).alias("qb")).withColumn("b", each(nb))
-    found = left.groupBy("b", "qb").cogroup(right.groupBy("b", "qb")).applyInArrow(run, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.isnan("score"), F.desc("score"), "vec_id")
+    found = left.groupBy("b", "qb").cogroup(right.groupBy("b", "qb")).applyInArrow(run, "query_id long, vec_id long, score double, order double")
+    order = Window.partitionBy("query_id").orderBy(F.desc("order"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -61,6 +61,6 @@ def test_vectors_of_any_size(spark, size):
     with np.errstate(all="ignore"):
         for q, rows in got.items():
             want = [(i, float((x[i] * x[q]).sum())) for i in keep if i != q]
-            want.sort(key=lambda t: (np.isnan(t[1]), -t[1] if not np.isnan(t[1]) else 0, t[0]))
+            want.sort(key=lambda t: (np.inf if np.isnan(t[1]) else -t[1], t[0]))
             assert [i for i, _ in rows] == [i for i, _ in want]
             assert all(a == b or np.isnan(a) and np.isnan(b) for (_, a), (_, b) in zip(rows, want, strict=True))

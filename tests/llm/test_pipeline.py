@@ -49,7 +49,7 @@ def test_pipeline(spark, tmp_path):
 
 def test_registry():
     assert [n for n, _ in P.STAGES] and P.ORACLE_SQL is None
-    assert {int(k[2:].split("_")[0]) for k in QUERIES} == set(range(1, 11)) and set(ORACLE_SQL) <= set(QUERIES)
+    assert {int(k[2:].split("_")[0]) for k in QUERIES} == set(range(1, 14)) and set(ORACLE_SQL) <= set(QUERIES)
 
 
 def test_line_dedup_sql(spark, sf_dir):
