@@ -235,9 +235,11 @@ def fit(
     sizes = written(rows.groupBy("l").agg(F.count("*").alias("count"), F.min(digest).alias("first")), "languages")
     n = max(sizes.count(), 1)
     share = min(float(max_docs), max_rows / n)
+    if share <= 0:
+        return train([], [], order)
     rate = sizes.select("l", "first", (F.lit(share) / F.col("count")).alias("rate"))
     rate = F.broadcast(rate) if n <= max_rows else rate
-    chars = max(1, min(max_chars, int(max_total / max(n * share, 1))))
+    chars = max(1, min(max_chars, int(max_total / (n * share))))
     beyond = F.length("t") - F.lit(chars)
     start = F.when(beyond > 0, F.pmod(F.xxhash64("i", F.lit("place")), beyond.cast("long") + 1)).otherwise(F.lit(0)) + 1
     piece = F.substring(F.col("t"), start.cast("int"), F.lit(chars))
