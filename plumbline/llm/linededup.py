@@ -6,8 +6,11 @@ text: of copies one counts, else the copies of one page would make all its lines
 Lines are compared by a 64-bit hash after trimming blanks; blank lines are neither counted nor dropped.
 
 Plan: lines are exploded as hashes only, never as text; counts are partial sums; of each host at most
-(lines a page / ratio) lines can exceed the ratio, so the table to drop is small beside the input. It is
+(lines a page / ratio) lines can exceed the ratio, so a host's list is no longer than some of its pages and the table
+to drop is small beside the input. It is
 written, its size checked, and broadcast only under `broadcast_lines`; beyond that a salted join takes over.
+A host's list travels as buckets by the hash's remainder, so a line looks at one bucket of about `BUCKET` hashes,
+however many lines its host drops.
 
 Defined cases: null text stays null and has no lines; a null host is a host of its own; repeated rows are
 cleaned alike; empty tables give empty results; extra columns pass through, whatever their names: a count column
@@ -22,6 +25,8 @@ from pyspark.sql import functions as F
 from .common import fresh, prepare, written
 
 _BLANKS = " \t\r\f\x0b"
+#: Hashes in a bucket of a host's list, on average.
+BUCKET = 8
 
 
 def _lines(text: Column) -> Column:
@@ -48,6 +53,20 @@ def boilerplate(docs: DataFrame, host_col: str, text_col: str, ratio: float, min
     return held.join(total, "host").where(F.col("pages") > F.lit(float(ratio)) * F.col("total"))
 
 
+def buckets(found: DataFrame, host: str, drop: str) -> DataFrame:
+    """Rows (host, drop) of found: the keys of a host, in the bucket of their remainder by the number of buckets."""
+    size = found.groupBy("host").agg(F.ceil(F.count("key") / BUCKET).cast("int").alias("size"))
+    empty = size.select("host", F.explode(F.sequence(F.lit(0), F.col("size") - 1)).alias("at"), F.lit(None).cast("long").alias("key"))
+    full = found.join(size, "host").select("host", F.pmod("key", F.col("size")).cast("int").alias("at"), "key")
+    filled = empty.unionByName(full).groupBy("host", "at").agg(F.collect_set("key").alias("keys"))
+    rows = filled.groupBy(F.col("host").alias(host)).agg(F.sort_array(F.collect_list(F.struct("at", "keys"))).alias("all"))
+    return rows.select(host, F.col("all")["keys"].alias(drop))
+
+
+def _within(drop: Column, key: Column) -> Column:
+    return F.array_contains(F.get(drop, F.pmod(key, F.size(drop)).cast("int")), key)
+
+
 def drop_lines(
     docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = 0.1, min_pages: int = 5,
     broadcast_lines: int = 200_000, salts: int = 64,
@@ -56,7 +75,7 @@ def drop_lines(
     prepare(docs.sparkSession)
     found = written(boilerplate(docs, host_col, text_col, ratio, min_pages), "lines")
     host, drop, salt, kept = (fresh(docs, c) for c in ("_host", "_drop", "_salt", "_kept"))
-    by_host = found.groupBy(F.col("host").alias(host)).agg(F.sort_array(F.collect_set("key")).alias(drop))
+    by_host = buckets(found, host, drop)
     rows = docs.withColumn(host, F.coalesce(F.col(host_col).cast("string"), F.lit("")))
     if found.count() <= broadcast_lines:
         rows = rows.join(F.broadcast(by_host), host, "left")
@@ -64,9 +83,8 @@ def drop_lines(
         salted = by_host.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         rows = rows.withColumn(salt, (F.monotonically_increasing_id() % salts).cast("int")).join(salted, [host, salt], "left")
     lines = _lines(F.col(text_col))
-    rows = rows.withColumn(drop, F.coalesce(drop, F.array().cast("array<bigint>")))
-    left = F.filter(lines, lambda x: _blank(x) | ~F.array_contains(F.col(drop), _key(x)))
-    rows = rows.withColumn(kept, F.when(F.size(drop) == 0, lines).otherwise(left))
+    left = F.filter(lines, lambda x: _blank(x) | ~_within(F.col(drop), _key(x)))
+    rows = rows.withColumn(kept, F.when(F.col(drop).isNull(), lines).otherwise(left))
     none = F.lit(0).cast("long")
     text = F.when(F.col(text_col).isNotNull(), F.array_join(kept, "\n")).alias(text_col)
     counts = {"_n_lines": F.coalesce(F.size(lines).cast("long"), none), "_n_dropped": F.coalesce((F.size(lines) - F.size(kept)).cast("long"), none)}

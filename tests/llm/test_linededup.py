@@ -4,7 +4,7 @@ from collections import defaultdict
 
 import pytest
 
-from plumbline.llm.linededup import drop_lines
+from plumbline.llm.linededup import BUCKET, buckets, drop_lines
 
 
 def plain(rows, ratio, least):
@@ -34,3 +34,20 @@ def test_odd_rows(odd_docs, no_docs):
     assert drop_lines(odd_docs, min_pages=1, ratio=0.0).count() == 9
     assert drop_lines(no_docs).count() == 0
     assert drop_lines(odd_docs).columns[:6] == odd_docs.columns
+
+
+def test_buckets_hold_each_key_once(spark):
+    rows = [("a", k * 7919 - 40_000) for k in range(900)] + [("b", -1), ("c", 5), ("c", -9_223_372_036_854_775_808)]
+    got = {r["h"]: r["d"] for r in buckets(spark.createDataFrame(rows, "host string, key long"), "h", "d").collect()}
+    assert {h: sorted(k for b in d for k in b) for h, d in got.items()} == {h: sorted(k for g, k in rows if g == h) for h in "abc"}
+    assert all(k % len(d) == i for d in got.values() for i, b in enumerate(d) for k in b)
+    assert len(got["a"]) == -(-900 // BUCKET) and max(map(len, got["a"])) < 100
+
+
+@pytest.mark.parametrize("few", [200_000, 0])
+def test_long_lists_of_a_host(spark, few):
+    menu = [f"entry {j} of the menu" for j in range(400)]
+    rows = [(i, "\n".join([*menu[i % 3 :], f"own line {i}", "", *menu[:5]]), "h") for i in range(12)] + [(50, "entry 7 of the menu", "other")]
+    df = spark.createDataFrame(rows, "doc_id int, text string, source string")
+    got = {r["doc_id"]: r["text"] for r in drop_lines(df, ratio=0.5, min_pages=5, broadcast_lines=few).collect()}
+    assert got == plain(rows, 0.5, 5)
