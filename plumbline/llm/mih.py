@@ -6,8 +6,11 @@ of the id; in each block every code's substrings are indexed, and a query probes
 radius // parts bits: by the pigeonhole principle this reaches every code within the radius. What is found is
 ranked by the exact inner product in double precision.
 
-A task holds one block of rows and one block of queries, both of bounded size; equal vectors are spread over the
-blocks like any others, so no vector or code makes a hot task. The number of results is queries times k.
+Rows are shuffled to their block, queries to every block, and sorted so that a task reads a block's rows first: it
+indexes them once and streams all queries past the index, an Arrow batch at a time. A task holds one block, whose size
+is bounded; only where blocks are fewer than `TASKS` is each copied, for parts of the queries, to keep the cores busy.
+Equal vectors are spread over the blocks like any others, so no vector or code makes a hot task. The number of
+results is queries times k.
 
 Defined cases: vectors that are null, zero, of another length than most, or hold null or non-finite values take no
 part; rows without an id take no part; rows that share an id count once, with the smallest vector; a block with
@@ -17,6 +20,7 @@ infinite, those below it zero, and a sum of both infinities (NaN) ranks as the l
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,7 +32,9 @@ from .common import prepare, written
 
 BITS, PARTS = 64, 8
 WIDTH = BITS // PARTS
-ROW_BLOCK, QUERY_BLOCK = 32_768, 4_096
+ROW_BLOCK, QUERY_BLOCK = 65_536, 4_096
+#: Blocks beyond this number are not copied; fewer are copied once for at least QUERY_BLOCK queries.
+TASKS = 256
 _ONES = np.bitwise_count(np.arange(1 << WIDTH, dtype=np.uint8))
 
 
@@ -130,11 +136,17 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return rows.groupBy("id").agg(F.min("v").alias("v"))
 
 
-def _matrix(col: pa.ChunkedArray, dim: int) -> np.ndarray:
+def _matrix(col: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
     col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
     return np.asarray(col.flatten(), np.float64).reshape(-1, dim)
 
 
+def layout(n: int, queries: int) -> tuple[int, int]:
+    """Blocks of rows, and parts of the queries for each of which all blocks are copied: one from `TASKS` blocks on."""
+    blocks = max(1, -(-n // ROW_BLOCK))
+    return blocks, max(1, min(-(-TASKS // blocks), -(-queries // QUERY_BLOCK)))
+
+
 def search(
     vectors: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20, sample_rows: int = 20_000, target: float = 0.95
 ) -> DataFrame:
@@ -151,27 +163,38 @@ def search(
     drawn = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     model = learn(_matrix(rows.where(drawn < sample_rows / n).orderBy("id").select("v").toArrow().column(0), dim), k, target)
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        q, r, s = [], [], []
-        if left.num_rows and right.num_rows:
-            block = Block(model, left.column("id").to_numpy(), _matrix(left.column("v"), dim))
-            x = _matrix(right.column("v"), dim)
-            for i, query, code in zip(right.column("id").to_pylist(), x, model.codes(x), strict=True):
-                ids, score = block.nearest(i, query, code, k)
-                q.append(np.full(len(ids), i))
-                r.append(ids)
-                s.append(score)
-        none = [np.zeros(0)]
-        score = np.concatenate(s or none)
-        order = np.where(np.isnan(score), -np.inf, score)
-        return pa.table({"query_id": np.concatenate(q or none).astype(np.int64), "vec_id": np.concatenate(r or none).astype(np.int64), "score": score, "order": order})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, held, block = None, [], None
+        for batch in batches:
+            marks = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("b", "part", "query")]).astype(np.int64)
+            cuts = np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(axis=0)) + 1
+            for lo, hi in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+                if lo == hi:
+                    continue
+                if (marks[0, lo], marks[1, lo]) != here:
+                    here, held, block = (marks[0, lo], marks[1, lo]), [], None
+                ids, x = batch.column("id")[lo:hi].to_numpy(), _matrix(batch.column("v")[lo:hi], dim)
+                if not marks[2, lo]:
+                    held.append((ids, x))
+                elif held:
+                    if block is None:
+                        block = Block(model, np.concatenate([i for i, _ in held]), np.concatenate([v for _, v in held]))
+                        held = [None]  # the index has its own copy
+                    yield answers(block, ids, x)
+
+    def answers(block: Block, ids: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+        found = [block.nearest(i, q, code, k) for i, q, code in zip(ids.tolist(), x, model.codes(x), strict=True)]
+        score = np.concatenate([s for _, s in found])
+        columns = {"query_id": np.repeat(ids, [len(s) for _, s in found]), "vec_id": np.concatenate([r for r, _ in found]), "score": score}
+        return pa.RecordBatch.from_pydict({**columns, "order": np.where(np.isnan(score), -np.inf, score)})
 
     queries = rows.where(is_query(F.col("id")))
-    nb, nq = -(-n // ROW_BLOCK), max(1, -(-queries.count() // QUERY_BLOCK))
-    block = lambda x, m: F.pmod(F.xxhash64(x), F.lit(m)).cast("int")
+    blocks, parts = layout(n, queries.count())
+    slot = lambda m: F.pmod(F.xxhash64("id"), F.lit(m)).cast("int")
     each = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    left = rows.select("id", "v", block("id", nb).alias("b")).withColumn("qb", each(nq))
-    right = queries.select("id", "v", block("id", nq).alias("qb")).withColumn("b", each(nb))
-    found = left.groupBy("b", "qb").cogroup(right.groupBy("b", "qb")).applyInArrow(run, "query_id long, vec_id long, score double, order double")
+    left = rows.select("id", "v", slot(blocks).alias("b"), each(parts).alias("part"), F.lit(0).alias("query"))
+    right = queries.select("id", "v", slot(parts).alias("part"), each(blocks).alias("b"), F.lit(1).alias("query"))
+    tasks = left.unionByName(right).repartition(blocks * parts, "b", "part").sortWithinPartitions("b", "part", "query")
+    found = tasks.mapInArrow(run, "query_id long, vec_id long, score double, order double")
     order = Window.partitionBy("query_id").orderBy(F.desc("order"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

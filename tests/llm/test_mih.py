@@ -50,3 +50,27 @@ def test_odd_vectors(spark):
     got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in M.search(df, lambda i: i == 0).orderBy("rank").collect()]
     assert got == [(0, 1, 1, 1.0), (0, 2, 8, 0.0)]
     assert M.search(df.where("vec_id = 2"), lambda i: i == 0).count() == 0
+
+
+def test_layout_copies_small_tables_only():
+    assert M.layout(1000, 50) == (1, 1)
+    assert M.layout(10**6, 50_000) == (16, 13)
+    for n in (10**6, 10**7, 10**8, 10**10):
+        blocks, parts = M.layout(n, n // 20)
+        assert blocks * M.ROW_BLOCK >= n and parts <= -(-M.TASKS // blocks)
+    assert M.layout(10**8, 5 * 10**6)[1] == 1
+
+
+@pytest.mark.parametrize("rows, block, part", [(700, 90, 3), (700, 10_000, 2), (3, 1, 1)])
+def test_whatever_the_layout_answers_are_exact_within_a_full_radius(spark, monkeypatch, rows, block, part):
+    monkeypatch.setattr(M, "ROW_BLOCK", block)
+    monkeypatch.setattr(M, "QUERY_BLOCK", part)
+    full = M.learn
+    monkeypatch.setattr(M, "learn", lambda *a: M.Model(full(*a).rotation, M.BITS))
+    x = np.random.default_rng(11).integers(-3, 4, (rows, 16)).astype(float)
+    x[:, 0] = 1.0  # none is zero
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in M.search(df, lambda i: i % 20 == 0, k=5).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    assert got == {q: brute(np.arange(rows), x, q, 5) for q in range(0, rows, 20)}
