@@ -64,7 +64,8 @@ def buckets(found: DataFrame, host: str, drop: str) -> DataFrame:
 
 
 def _within(drop: Column, key: Column) -> Column:
-    return F.array_contains(F.get(drop, F.pmod(key, F.size(drop)).cast("int")), key)
+    held = lambda k: F.array_contains(F.get(drop, F.pmod(k, F.size(drop)).cast("int")), k)
+    return F.exists(F.array(key), held)  # the line is hashed once
 
 
 def drop_lines(
