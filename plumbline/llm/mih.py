@@ -32,9 +32,10 @@ from .common import prepare, written
 
 BITS, PARTS = 64, 8
 WIDTH = BITS // PARTS
-ROW_BLOCK, QUERY_BLOCK = 65_536, 4_096
-#: Blocks beyond this number are not copied; fewer are copied once for at least QUERY_BLOCK queries.
-TASKS = 256
+#: A block has at least so many rows, of larger tables a part in TASKS, and never more numbers than BLOCK_VALUES (64 MB).
+ROW_BLOCK, BLOCK_VALUES = 32_768, 1 << 23
+#: TASKS blocks or more are not copied; fewer are copied once for every QUERY_BLOCK queries, up to TASKS copies in all.
+TASKS, QUERY_BLOCK = 256, 2_048
 _ONES = np.bitwise_count(np.arange(1 << WIDTH, dtype=np.uint8))
 
 
@@ -141,9 +142,10 @@ def _matrix(col: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
     return np.asarray(col.flatten(), np.float64).reshape(-1, dim)
 
 
-def layout(n: int, queries: int) -> tuple[int, int]:
+def layout(n: int, queries: int, dim: int) -> tuple[int, int]:
     """Blocks of rows, and parts of the queries for each of which all blocks are copied: one from `TASKS` blocks on."""
-    blocks = max(1, -(-n // ROW_BLOCK))
+    rows = min(max(ROW_BLOCK, -(-n // TASKS)), max(1, BLOCK_VALUES // dim))
+    blocks = max(1, -(-n // rows))
     return blocks, max(1, min(-(-TASKS // blocks), -(-queries // QUERY_BLOCK)))
 
 
@@ -189,7 +191,7 @@ def search(
         return pa.RecordBatch.from_pydict({**columns, "order": np.where(np.isnan(score), -np.inf, score)})
 
     queries = rows.where(is_query(F.col("id")))
-    blocks, parts = layout(n, queries.count())
+    blocks, parts = layout(n, queries.count(), dim)
     slot = lambda m: F.pmod(F.xxhash64("id"), F.lit(m)).cast("int")
     each = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     left = rows.select("id", "v", slot(blocks).alias("b"), each(parts).alias("part"), F.lit(0).alias("query"))

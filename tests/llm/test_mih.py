@@ -53,12 +53,15 @@ def test_odd_vectors(spark):
 
 
 def test_layout_copies_small_tables_only():
-    assert M.layout(1000, 50) == (1, 1)
-    assert M.layout(10**6, 50_000) == (16, 13)
+    assert M.layout(1000, 50, 64) == (1, 1)
+    assert M.layout(10**6, 50_000, 64) == (31, 9)
     for n in (10**6, 10**7, 10**8, 10**10):
-        blocks, parts = M.layout(n, n // 20)
-        assert blocks * M.ROW_BLOCK >= n and parts <= -(-M.TASKS // blocks)
-    assert M.layout(10**8, 5 * 10**6)[1] == 1
+        for dim in (1, 64, 1024, 1 << 24):
+            blocks, parts = M.layout(n, n // 20, dim)
+            rows = -(-n // blocks)
+            assert rows == 1 or rows * dim <= M.BLOCK_VALUES
+            assert parts <= -(-M.TASKS // blocks)
+    assert M.layout(10**8, 5 * 10**6, 64)[1] == 1
 
 
 @pytest.mark.parametrize("rows, block, part", [(700, 90, 3), (700, 10_000, 2), (3, 1, 1)])
