@@ -76,12 +76,21 @@ def evaluate(
     return M.evaluate(judged, list(keys), metrics, adaptive=adaptive)
 
 
-def curate(responses: DataFrame, items: DataFrame, instruction: str, template: str, share: float = 0.0, tolerate: bool = False, policy: str = "reference", seed: int = 42) -> tuple[DataFrame, DataFrame]:
+class Curated(tuple):
+    """(triples, funnel), with the ruled rows that both read; close() frees them when both are done with."""
+
+    ruled: DataFrame
+
+    def close(self) -> None:
+        self.ruled.unpersist()
+
+
+def curate(responses: DataFrame, items: DataFrame, instruction: str, template: str, share: float = 0.0, tolerate: bool = False, policy: str = "reference", seed: int = 42) -> Curated:
     """Training triples with their model, and each model's funnel.
 
     responses: (id, model, sample_id, text, distill); items: (id, question, types, contents, truths). Ids that all
     models kept are balanced by prompt group, and each model's best response becomes a triple. The ruled rows are
-    persisted (memory, then disk): parsing is the costly step and four branches need it.
+    persisted (memory, then disk) until the caller calls close(): parsing is the costly step and four branches need it.
     """
     rows = responses.join(items, "id")
     ruled = C.apply_rules(rows, F.col("text"), F.col("types"), F.col("distill"), tolerate).persist()  # used by all that follows
@@ -96,4 +105,6 @@ def curate(responses: DataFrame, items: DataFrame, instruction: str, template: s
     output = T.strip(F.coalesce("content", F.lit("")))
     marked_output = F.when(F.col("distill") & ~output.startswith("<think>"), F.concat(F.lit("<think>"), output)).otherwise(output)
     triples = chosen.select("model", "id", "grp", F.lit(instruction).alias("instruction"), shown.alias("input"), marked_output.alias("output"))
-    return triples, funnel
+    out = Curated((triples, funnel))
+    out.ruled = ruled
+    return out

@@ -26,6 +26,15 @@ def test_curate(spark):
     assert {r["model"]: (r["seen"], r["kept"]) for r in funnel.collect()} == {"x": (4, 3), "y": (4, 3)}
 
 
+def test_curated_rows_are_freed(spark):
+    responses = spark.createDataFrame([("s1", "x", 0, GOOD.format("Rome", 90), False)], "id string, model string, sample_id int, text string, distill boolean")
+    out = W.curate(responses, items(spark), "Do it.", "{question}")
+    before = out[0].collect()
+    assert out.ruled.storageLevel.useDisk and len(before) == 1
+    out.close()
+    assert not out.ruled.storageLevel.useDisk and out[0].collect() == before
+
+
 def test_evaluate(spark):
     rows = [("s1", "m", GOOD.format("Rome", 80)), ("2", "m", GOOD.format("Bergen", 40)), ("2", "m", "nothing")]
     responses = spark.createDataFrame(rows, "id string, model string, text string")
