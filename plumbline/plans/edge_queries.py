@@ -15,7 +15,7 @@ from ..operators import curate as C
 from ..operators import metrics as M
 from ..sources import trees as V
 from .bindings import duck, view
-from .queries import _BIN, _GOT, _HAS, _PERCENT, _PRED, _RANK, _UNIT, _c, _ruled, _ruled_sql, _types, query
+from .queries import _BIN, _GOT, _HAS, _NOISE_LINES, _PERCENT, _PRED, _RANK, _UNIT, _c, _ruled, _ruled_sql, _types, query
 
 # --- evaluation -----------------------------------------------------------------------------------------------
 
@@ -181,10 +181,7 @@ def extract_default(spark: SparkSession, d: str) -> DataFrame:
 _KINDS = ("counterfactual", "relevant", "consistent")
 
 
-@query("parse_noise_kinds", f"""
-select prompt, kind, trim(regexp_replace(c, '\\s+', ' ', 'g')) as content, p as partner from (
-  select prompt, unnest([c1, c2]) as c, unnest(['late', t2]) as p from {duck('prompts')} g) x cross join (select unnest({list(_KINDS)}) as kind) k
-where trim(regexp_replace(c, '\\s+', ' ', 'g')) <> ''""")
+@query("parse_noise_kinds", f"select prompt, kind, content, p as partner from {_NOISE_LINES} z cross join (select unnest({list(_KINDS)}) as kind) k")
 def parse_noise_kinds(spark: SparkSession, d: str) -> DataFrame:
     """The three kinds of generated passages beside the irrelevant ones."""
     clean = lambda c: F.regexp_replace(c, r"\s+", " ")

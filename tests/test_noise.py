@@ -37,3 +37,7 @@ def test_empty_passages(spark, odd_dir):
 def test_line_without_text(spark):
     got = spark.range(1).select(E.generated_passages(F.lit("Passage 1: \nTopic 1: t\nPassage 2\nTopic 2:\nPassage 3: p"), "irrelevant").alias("p")).first()["p"]
     assert [(r["content"], r["partner"]) for r in got] == [("Passage 1:", "t"), ("Passage 2", "Topic 2:")]
+
+
+def test_empty_passages_of_all_kinds(spark, odd_dir):
+    check(spark, odd_dir, "parse_noise_kinds", 3)
