@@ -5,12 +5,13 @@ is the sum of its own row and those of its first 4, 5 and 6 bytes, so that infle
 their stem. Filters of widths 1, 2 and 3 slide over the whole text, the maximum of each filter over all positions feeds one logistic output.
 Filters run in bounded blocks of positions with a running maximum, so a text of any length is scored whole.
 
-`fit` learns from a bounded sample of labelled rows; `score` runs in the documents' own partitions without a
+`fit` trains the network on a bounded sample of labelled rows; `score` runs in the documents' own partitions without a
 shuffle. Inputs of a score are the words alone. The language column is used only to calibrate one decision
-threshold per language on held-back training rows; scores themselves are made so that 0.7 is a good threshold.
+threshold per language; scores themselves are made so that 0.7 is a good threshold. Scale and thresholds come from
+every labelled row that is held back (a fifth of the ids, whole texts), counted on the executors (`calibrate`).
 
 Defined cases: null and empty texts score as a text without any word; unlabelled rows are scored only; without
-both classes in the sample every score is the sample's rate of the label (0 if there is none); repeated rows have
+both classes in the sample every score is the label's rate over all labelled rows (0 if there is none); repeated rows have
 equal scores; empty tables give empty results.
 """
 
@@ -21,10 +22,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, SpanHasher, chunks, crc_mod, mix, prepare, spread, text_buffer
+from .common import LOWER, SpanHasher, chunks, crc_mod, drop, mix, prepare, spread, text_buffer, written
 
 BUCKETS, DIM, FILTERS, WIDTHS, STEMS = 1 << 16, 8, 8, (1, 2, 3), (4, 5, 6)
 #: Texts of a training step.
@@ -133,19 +134,23 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def scores(m: Model, col: pa.Array) -> np.ndarray:
-    if m.constant is not None:
-        return np.full(len(col), m.constant)
+def logits(m: Model, col: pa.Array) -> np.ndarray:
     data, offs = text_buffer(col)
     out = [np.zeros(0)]
     for lo, hi in chunks(offs):
-        ids, at = word_ids(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
-        out.append(sigmoid(_logits(m, ids, at) * m.scale[0] + m.scale[1]))
+        out.append(_logits(m, *word_ids(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])))
     return np.concatenate(out)
 
 
-def train(texts: list[str], labels: list[int], langs: list[str], epochs: int = 12, seed: int = 7) -> Model:
-    """Adam over the convolutional classifier, of embeddings only over those in a step; every fifth text is held back for calibration."""
+def scores(m: Model, col: pa.Array) -> np.ndarray:
+    if m.constant is not None:
+        return np.full(len(col), m.constant)
+    return sigmoid(logits(m, col) * m.scale[0] + m.scale[1])
+
+
+def train(texts: list[str], labels: list[int], langs: list[str] | None, epochs: int = 12, seed: int = 7) -> Model:
+    """Adam over the convolutional classifier, of embeddings only over those in a step; every fifth text is held back for
+    calibration. Without langs all texts are learned from and nothing is calibrated."""
     rng = np.random.default_rng(seed)
     y = np.asarray(labels, np.float64)
     m = Model(
@@ -160,7 +165,7 @@ def train(texts: list[str], labels: list[int], langs: list[str], epochs: int = 1
     m.embed[0] = 0
     data, offs = text_buffer(pa.array(texts, pa.large_string()))
     ids, at = word_ids(data, offs)
-    held = np.arange(len(y)) % 5 == 4
+    held = (np.arange(len(y)) % 5 == 4) & (langs is not None)
     rows = np.flatnonzero(~held)
     params = [m.embed, *m.conv, *m.bias, m.out]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
@@ -183,6 +188,8 @@ def train(texts: list[str], labels: list[int], langs: list[str], epochs: int = 1
                 b[at_rows] = 0.99 * b[at_rows] + 0.01 * g * g
                 p[at_rows] -= rate * (a[at_rows] / (1 - 0.9**step)) / (np.sqrt(b[at_rows] / (1 - 0.99**step)) + 1e-6)
             m.embed[0] = 0
+    if langs is None:
+        return m
     z = _logits(m, ids, at)
     _calibrate(m, z, y, np.asarray(langs, object), held)
     return m
@@ -243,11 +250,56 @@ def _calibrate(m: Model, z: np.ndarray, y: np.ndarray, langs: np.ndarray, held:
             m.thresholds[lang] = float(sigmoid(np.array(_best_cut(z[own], y[own]) * m.scale[0] + m.scale[1])))
 
 
+def best_cuts(rows: DataFrame) -> DataFrame:
+    """Of each lang (also null) the cut of `_best_cut`: rows (lang, z, y) -> (lang, n, hits, cut).
+
+    Sums of ranges of z (a 64th wide) are added up first, then equal z within a range: no task sees all rows of a language.
+    """
+    same = rows.groupBy("lang", F.floor(F.col("z") * 64).alias("at"), "z").agg(F.count("*").alias("n"), F.sum("y").alias("hits"))
+    down = Window.partitionBy("lang").orderBy(F.desc("at"))
+    ranges = same.groupBy("lang", "at").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"))
+    ranges = ranges.select(
+        F.col("lang").alias("l"), F.col("at").alias("a"), (F.sum("n").over(down) - F.col("n")).alias("n0"), (F.sum("hits").over(down) - F.col("hits")).alias("h0"),
+        F.sum("hits").over(Window.partitionBy("lang")).alias("all"),
+    )
+    within = Window.partitionBy("lang", "at").orderBy(F.desc("z"))
+    both = same.join(ranges, same["lang"].eqNullSafe(ranges["l"]) & (same["at"] == ranges["a"]))
+    f1 = 2 * (F.col("h0") + F.sum("hits").over(within)) / (F.col("n0") + F.sum("n").over(within) + F.col("all"))
+    best = both.select("lang", "z", "n", "hits", f1.alias("f1")).groupBy("lang").agg(
+        F.max(F.struct("f1", "z"))["z"].alias("top"), F.sum("n").alias("n"), F.sum("hits").alias("hits")
+    ).select(F.col("lang").alias("l"), "top", F.col("n").alias("_n"), F.col("hits").alias("_hits"))
+    beside = same.join(F.broadcast(best), same["lang"].eqNullSafe(best["l"]))  # a row a language
+    below = F.max(F.when(F.col("z") < F.col("top"), F.col("z")))
+    return beside.groupBy("lang", "top", "_n", "_hits").agg(((F.col("top") + F.coalesce(below, "top")) / 2).alias("cut")).select("lang", F.col("_n").alias("n"), F.col("_hits").alias("hits"), "cut")
+
+
+def calibrate(model: Model, labelled: DataFrame, held: Column) -> None:
+    """`_calibrate` over all labelled rows (i, y, t, l) that are held back, or all, where those lack a class."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(logits(model, b.column(2)), pa.float64())], names=["lang", "y", "z"])
+
+    for rows in (labelled.where(held), labelled):
+        found = written(rows.select(F.col("l").cast("string").alias("lang"), "y", F.col("t").cast("string").alias("t")).mapInArrow(run, "lang string, y int, z double"), "logits")
+        n, hits, sd = found.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0)), F.stddev_pop("z")).first()
+        if 0 < hits < n or rows is labelled:
+            break
+        drop(found)
+    cut = best_cuts(found.select(F.lit(None).cast("string").alias("lang"), "z", "y")).first()["cut"]
+    slope = 2 / max(sd, 1e-3)
+    model.scale = (slope, float(np.log(DECISION / (1 - DECISION)) - slope * cut))
+    for r in best_cuts(found.where("lang is not null")).where("hits >= 5 and hits < n").collect():  # languages: a few
+        model.thresholds[r["lang"]] = float(sigmoid(np.array(r["cut"] * slope + model.scale[1])))
+    drop(found)
+
+
 def fit(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "toxic",
     max_rows: int = 2000, max_chars: int = 20_000, holdout: tuple[int, int] | None = (3, 1),
 ) -> Model:
-    """Learn from at most max_rows labelled rows of each class (texts of up to max_chars; ids, then rows, drawn by a hash).
+    """Train on at most max_rows labelled rows of each class (texts of up to max_chars; ids, then rows, drawn by a hash) that
+    are not held back for calibration, and calibrate on all that are.
 
     holdout (n, r): rows whose crc32(id as text) mod n is r are not learned from.
     """
@@ -256,15 +308,22 @@ def fit(
     marks = marks.groupBy("i").agg(F.max("y").alias("y"))  # an id with both labels counts as 1
     if holdout:
         marks = marks.where(crc_mod("i", holdout[0]) != holdout[1])
-    rate = marks.groupBy("y").count().select("y", (F.lit(float(max_rows)) / F.col("count")).alias("rate"))
+    held = F.pmod(F.xxhash64("i", F.lit("held")), F.lit(5)) == 4
+    learned = marks.where(~held)
+    rate = learned.groupBy("y").count().select("y", (F.lit(float(max_rows)) / F.col("count")).alias("rate"))
     drawn = F.pmod(F.xxhash64("i"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    few = marks.join(F.broadcast(rate), "y").where(drawn < F.col("rate")).select("i", "y")  # at most about 2 * max_rows ids
-    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
-    rows = rows.where(F.col("t").isNotNull() & (F.length("t") <= max_chars))
-    labelled = rows.join(F.broadcast(few), "i")
+    few = learned.join(F.broadcast(rate), "y").where(drawn < F.col("rate")).select("i", "y")  # at most about 2 * max_rows ids
+    every = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).where(F.col("t").isNotNull())
+    labelled = every.where(F.length("t") <= max_chars).join(F.broadcast(few), "i")
     each = [labelled.where(F.col("y") == y).orderBy(F.xxhash64("i", "t"), "i", "t").limit(max_rows) for y in (0, 1)]  # an id may have any number of rows
     got = each[0].unionByName(each[1]).orderBy("i", "t").toArrow()
-    return train(got.column("t").to_pylist(), got.column("y").to_pylist(), got.column("l").to_pylist())
+    model = train(got.column("t").to_pylist(), got.column("y").to_pylist(), None)
+    whole = every.join(marks, "i")
+    if model.constant is None:
+        calibrate(model, whole, held)
+    else:
+        model.constant = whole.agg(F.coalesce(F.avg("y"), F.lit(0.0))).first()[0]
+    return model
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = None) -> DataFrame:

@@ -105,3 +105,30 @@ def test_gradients_by_differences():
             down = loss()
             p[at] = old
             assert abs((up - down) / (2 * eps) - whole[at]) < 2e-3
+
+
+def test_cuts_of_all_rows(spark):
+    """The distributed cut is that of the whole table, by language and over all."""
+    r = np.random.default_rng(5)
+    z, y, lang = np.round(r.standard_normal(3000) * 3, 6), r.random(3000) < 0.2, r.choice(["en", "de"], 3000)
+    z += y * 2
+    rows = spark.createDataFrame([(str(a), float(b), int(c)) for a, b, c in zip(lang, z, y, strict=True)], "lang string, z double, y int")
+    got = {x["lang"]: x for x in X.best_cuts(rows.unionByName(rows.withColumn("lang", X.F.lit(None).cast("string")))).collect()}
+    for k, use in (("en", lang == "en"), ("de", lang == "de"), (None, lang != "")):
+        assert np.isclose(got[k]["cut"], X._best_cut(z[use], y[use].astype(float))) and (got[k]["n"], got[k]["hits"]) == (use.sum(), y[use].sum())
+
+
+def test_thresholds_see_rows_beyond_the_sample(spark):
+    """All held-back rows calibrate, also those over max_rows and max_chars."""
+    texts, labels = data()
+    docs = spark.createDataFrame([(i, t, "en" if i % 2 else "de") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    marks = spark.createDataFrame(list(enumerate(labels)), "doc_id long, toxic int")
+    seen = []
+    whole = X.best_cuts
+    X.best_cuts = lambda rows: seen.append(rows.count()) or whole(rows)
+    try:
+        X.fit(docs, marks, max_rows=20, holdout=None)
+    finally:
+        X.best_cuts = whole
+    held = docs.where(X.F.pmod(X.F.xxhash64("doc_id", X.F.lit("held")), X.F.lit(5)) == 4).count()
+    assert seen == [held, held] and held > 20
